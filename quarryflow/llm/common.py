@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -93,3 +94,35 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = text.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def row_key() -> F.Column:
+    """Hash of a row's text: with doc_id it says which text is meant where ids repeat."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``marks`` (doc_id, row_key, kept) rejects.
+
+    A row of ``docs`` that ``marks`` does not name stays.  One that it names with kept = true
+    stays once, however often it is repeated.  Rows outside a bitmap of the marked keys pass
+    without a shuffle; only the others are joined.
+    """
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap_of(marks, "row_key"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("key"))
+    flagged = packed.mapInArrow(_split(flags), StructType([*packed.schema.fields, StructField("marked", BooleanType())]))
+    clear = flagged.where("not marked").select("row.*")
+    named = marks.select(F.col("doc_id").alias("m_id"), F.col("row_key").alias("m_key"), F.col("kept").alias("m_kept"))
+    joined = flagged.where("marked").join(named, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
+    once = joined.where("m_kept").dropDuplicates(["id", "key"])
+    return clear.unionByName(joined.where("m_kept is null").select("row.*")).unionByName(once.select("row.*"))
+
+
+def _split(bitmap):
+    def run(batches):
+        flags = bitmap.value
+        for batch in batches:
+            marked = pa.array(in_bitmap(flags, batch.column("key").to_numpy()) if batch.num_rows else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([*batch.columns, marked], ["row", "id", "key", "marked"])
+
+    return run

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .exact_dedup import op9_exact_dedup
+from .fingerprints import op4_fingerprints
 from .substring_dedup import op2_substring_dedup
+from .tag_paths import op1_html_extraction
+from .warc import op7_warc
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_fingerprints": op4_fingerprints,
+    "op7_warc": op7_warc,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
@@ -20,4 +28,20 @@ kept AS (
   FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+q AS (
+  SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest, octet_length(encode(h)) >= 1000 AS long,
+    max(page_id) OVER (PARTITION BY h) AS m, row_number() OVER (PARTITION BY h, page_id) AS k
+  FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN long AND (m <> page_id OR k > 1) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN long AND (m <> page_id OR k > 1) THEN m END AS refers_to
+FROM q""",
+    "op9_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n, length(coalesce(text, '')) AS c FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id)""",
 }

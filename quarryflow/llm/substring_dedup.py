@@ -115,7 +115,8 @@ def _run_rows(bitmap, width: int, gram: int):
                     raw = own.tobytes()
                     blobs = [raw[8 * a : 8 * (a + n)] for a, n in zip(first.tolist(), size.tolist())] if compare else [None] * len(first)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchors[start].view(np.int64)), pa.array(_ids(part)[row]), pa.array(keys[row]), pa.array(start - words.offsets[row]), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())],
+                        # what needs no comparison is dealt by document, so that no anchor's key gets a row from each of its documents
+                        [pa.array(anchors[start].view(np.int64) if compare else keys[row]), pa.array(_ids(part)[row]), pa.array(keys[row]), pa.array(start - words.offsets[row]), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())],
                         ["anchor", "doc_id", "row_key", "pos", "size", "hashes"],
                     )
 
