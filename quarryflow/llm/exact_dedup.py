@@ -26,6 +26,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each of many small stores reserves megabytes of disk for files that stay almost empty
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
