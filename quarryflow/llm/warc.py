@@ -52,17 +52,15 @@ def captures(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_key"))
     # types are settled on rows without payloads; then payloads are dealt once, by row, never by content
-    keys = ["page_id", "url", "payload_key"]
-    small = base.select(*keys, (F.octet_length("html") >= REVISIT_FROM).alias("long")).groupBy(*keys, "long").agg(F.count("*").alias("copies"))
-    heads = small.where("long").groupBy("payload_key").agg(F.max(F.struct("page_id", "url")).alias("head"), F.sum("copies").alias("n")).where("n > 1")
-    plan = small.join(heads.drop("n"), "payload_key", "left").select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("payload_key").alias("k"), "head")
-    rows = base.join(plan, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")) & (F.col("payload_key") == F.col("k"))).drop("p", "u", "k")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("url")))
-    is_head = F.col("page_id").eqNullSafe(F.col("head.page_id")) & (F.col("url") == F.col("head.url")) & (F.col("copy") == 1)
-    revisit = F.col("head").isNotNull() & ~is_head
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    ident = _uuid(F.lit("capture"), text(F.col("page_id")), F.col("url"), F.col("payload_key"), text(F.col("copy")))
-    head_ident = _uuid(F.lit("capture"), text(F.col("head.page_id")), F.col("head.url"), F.col("payload_key"), F.lit("1"))
+    base = base.withColumn("row_ref", F.md5(F.concat_ws("\x1f", text(F.col("page_id")), "url", "payload_key")))
+    small = base.groupBy("row_ref", "payload_key").agg(F.max(F.struct("page_id", "url", "row_ref")).alias("own"), F.max(F.octet_length("html") >= REVISIT_FROM).alias("long"), F.count("*").alias("copies"))
+    heads = small.where("long").groupBy("payload_key").agg(F.max("own").alias("head"), F.sum("copies").alias("n")).where("n > 1")
+    plan = small.select("row_ref", "payload_key").join(heads.drop("n"), "payload_key").select("row_ref", "head")
+    rows = base.join(plan, "row_ref", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row_ref").orderBy("row_ref")))
+    revisit = F.col("head").isNotNull() & ~((F.col("row_ref") == F.col("head.row_ref")) & (F.col("copy") == 1))
+    ident = _uuid(F.lit("capture"), F.col("row_ref"), F.col("copy").cast("string"))
+    head_ident = _uuid(F.lit("capture"), F.col("head.row_ref"), F.lit("1"))
     return rows.select(
         "page_id", "url", ident.alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, head_ident).alias("refers_to"), F.sha1("html").alias("digest"), F.when(revisit, "").otherwise(F.col("html")).alias("html"),
