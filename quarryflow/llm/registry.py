@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe_lexicon import op6_bpe
 from .exact_dedup import op9_exact_dedup
 from .fingerprints import op4_fingerprints
 from .substring_dedup import op2_substring_dedup
 from .tag_paths import op1_html_extraction
+from .toxicity import op8_toxicity
 from .warc import op7_warc
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
