@@ -229,7 +229,9 @@ class Encoder:
         if len(self.kept) > KEEP:
             self.kept = {}
         names = self.merges.names
-        for piece in pieces - self.kept.keys():
+        for piece in pieces:
+            if piece in self.kept:
+                continue
             ids = self.piece(piece)
             self.kept[piece] = (" ".join(map(str, ids)), " ".join(names[i] for i in ids), len(ids))
         return self.kept
