@@ -27,8 +27,9 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import materialise, scratch
+from .common import bitmap_of, in_bitmap, materialise, scratch
 
 REVISIT_FROM, ARCHIVE_BYTES = 1000, 16 << 20
 END = "\r\n\r\n"
@@ -47,23 +48,38 @@ def _record(kind, ident, uri, headers: list, content_type: str, block):
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
+def _mark(bitmap):
+    def run(batches):
+        flags = bitmap.value
+        for batch in batches:
+            again = in_bitmap(flags, batch.column("key").to_numpy()) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again, pa.bool_())], [*batch.schema.names, "again"])
+
+    return run
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` with its record type, identifiers and the payload to write."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_key"))
-    # types are settled on rows without payloads; then payloads are dealt once, by row, never by content
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    base = base.withColumn("row_ref", F.md5(F.concat_ws("\x1f", text(F.col("page_id")), "url", "payload_key")))
-    small = base.groupBy("row_ref", "payload_key").agg(F.max(F.struct("page_id", "url", "row_ref")).alias("own"), F.max(F.octet_length("html") >= REVISIT_FROM).alias("long"), F.count("*").alias("copies"))
-    heads = small.where("long").groupBy("payload_key").agg(F.max("own").alias("head"), F.sum("copies").alias("n")).where("n > 1")
-    plan = small.select("row_ref", "payload_key").join(heads.drop("n"), "payload_key").select("row_ref", "head")
-    rows = base.join(plan, "row_ref", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row_ref").orderBy("row_ref")))
+    base = base.withColumn("row_ref", F.md5(F.concat_ws("\x1f", text(F.col("page_id")), "url", "digest"))).withColumn("key", F.xxhash64("digest"))
+    # types are settled on rows without payloads; only payloads that occur again are dealt by row
+    small = base.groupBy("row_ref", "digest", "key").agg(F.max(F.struct("page_id", "url", "row_ref")).alias("own"), F.max(F.octet_length("html") >= REVISIT_FROM).alias("long"), F.count("*").alias("copies"))
+    again = small.groupBy("digest", "key").agg(F.max(F.when(F.col("long"), F.col("own"))).alias("head"), F.sum("copies").alias("n")).where("n > 1")
+    again = materialise(again, "payloads")
+    flags = pages.sparkSession.sparkContext.broadcast(bitmap_of(again, "key"))
+    base = base.mapInArrow(_mark(flags), StructType([*base.schema.fields, StructField("again", BooleanType())]))
+    alone = base.where("not again").select("page_id", "url", "html", "digest", "row_ref", F.lit(None).cast(again.schema["head"].dataType).alias("head"), F.lit(1).alias("copy"))
+    plan = small.join(again.select("digest", "head"), "digest").select("row_ref", "head")
+    rows = base.where("again").drop("key", "again").join(plan, "row_ref", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row_ref").orderBy("row_ref")))
+    rows = alone.unionByName(rows)
     revisit = F.col("head").isNotNull() & ~((F.col("row_ref") == F.col("head.row_ref")) & (F.col("copy") == 1))
     ident = _uuid(F.lit("capture"), F.col("row_ref"), F.col("copy").cast("string"))
     head_ident = _uuid(F.lit("capture"), F.col("head.row_ref"), F.lit("1"))
     return rows.select(
         "page_id", "url", ident.alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, head_ident).alias("refers_to"), F.sha1("html").alias("digest"), F.when(revisit, "").otherwise(F.col("html")).alias("html"),
+        F.when(revisit, head_ident).alias("refers_to"), "digest", F.when(revisit, "").otherwise(F.col("html")).alias("html"),
     )
 
 
