@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_lexicon import op6_bpe
 from .exact_dedup import op9_exact_dedup
 from .fingerprints import op4_fingerprints
+from .ngram_join import op5_ngram_jaccard
 from .substring_dedup import op2_substring_dedup
 from .tag_paths import op1_html_extraction
 from .toxicity import op8_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_fingerprints": op4_fingerprints,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
