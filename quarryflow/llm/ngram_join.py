@@ -15,9 +15,9 @@ the product is taken over fewer rows and columns without losing a link:
    costs a row a slice.
 3. *Columns.*  Of the sets left, members are ordered by rarity.  Only the first
    ``size - need + 1`` make candidates, and those that no other set has make none.
-4. *Pairs.*  Sets that share a column form a bucket.  In each round the set of a bucket with the
-   largest share of known n-grams is compared with those of the bucket not yet in its component,
-   and leaves the bucket.  When few pairs across components are left they are all compared.  So
+4. *Pairs.*  Sets of about one size that share a column form a bucket.  In each round one set of each of the largest
+   components in a bucket (that with the largest share of n-grams known elsewhere) is compared
+   with those of the bucket not yet in its component, and leaves the bucket.  When few pairs across components are left they are all compared.  So
    a group of n near copies takes about n comparisons, and no pair that could join two
    components is left out.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, keep_rows, materialise, row_key, slices
@@ -40,6 +40,10 @@ from .textkernel import WORD_BASE, mix, ngram_hashes, span_hashes, words_of
 GRAM, LEVEL = 4, 85
 #: Members of a set that one block of columns holds at most, on average, for the largest set.
 BLOCK = 16384
+#: Components of a bucket whose heads are compared with all its sets in one round.
+LEADS = 8
+#: Comparisons of two rows of a bucket, for each row of all buckets, up to which the pairs that are left are counted.
+COMPARED = 1000
 
 
 def need(size, level: int = LEVEL):
@@ -204,7 +208,7 @@ def _overlapping(pairs: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
     return total.where(F.col("overlap") * (100 + level) >= (F.col("na") + F.col("nb")) * level).select("a", "b")
 
 
-def _link(sets: DataFrame, level: int, few: float = 4.0) -> DataFrame:
+def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
     """(doc, component) of the sets (doc, n, tokens) that link with another."""
     spark = sets.sparkSession
     largest = sets.agg(F.max("n")).first()[0] or 1
@@ -216,28 +220,49 @@ def _link(sets: DataFrame, level: int, few: float = 4.0) -> DataFrame:
     often = inc.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = inc.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("known"))
     room = F.col("n") - F.ceil(F.col("n") * level / 100) + 1 - (F.col("n") - F.size("known"))
-    first = ranked.withColumn("room", room.cast("int")).where("room > 0").select("doc", "n", (1 - F.size("known") / F.col("n")).alias("own"), F.explode(F.slice("known", F.lit(1), F.col("room"))).alias("x"))
-    bucket = materialise(first.select(F.col("x.token").alias("token"), "doc", "n", "own"), "buckets")
+    first = ranked.withColumn("room", room.cast("int")).where("room > 0").select("doc", "n", (F.col("n") - F.size("known")).alias("own"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("at", "x"))
+    # linked sizes differ by one class at most, so each set goes to its own class and the next
+    size_class = F.floor(F.log("n") / -np.log(level / 100)).cast("int")
+    first = first.select(F.col("x.token").alias("token"), "doc", "n", "own", (F.col("own") + F.col("at")).alias("pos"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
+    # the largest partner that the members from this place on allow; of a linked pair the smaller set allows its own size
+    partner = F.floor((F.col("n") - F.col("pos")) * (100 + level) / level) - F.col("n")
+    first = first.withColumn("open", partner >= F.col("n")).where(partner >= F.ceil(F.col("n") * level / 100))
+    bucket = materialise(first.select(F.xxhash64("token", "size_class").alias("token"), "doc", "n", "own", "pos", "open"), "buckets")
     component = materialise(bucket.select("doc", F.col("doc").alias("component")).distinct(), "components")
     tested = spark.createDataFrame([], "a long, b long")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * level
+
+    def fits(n1, pos1, n2, pos2):
+        """Whether two sets that first share the member at these places can overlap enough, by their sizes alone."""
+        least = F.ceil((n1 + n2) * level / (100 + level))
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * level) & (F.least(n1 - pos1, n2 - pos2) >= least)
+
+    def across(placed, live):
+        """Pairs of a bucket across components that can overlap enough; the smaller set is always an open one."""
+        one = placed.join(live.select("token"), "token")
+        a, b = (part.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "pos", "component"))) for part, side in ((one.where("open"), "a"), (one, "b")))
+        met = a.join(b, "token").where((F.col("na") <= F.col("nb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb")))
+        less = F.col("doca") < F.col("docb")
+        return met.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b"), F.when(less, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(less, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+
+    rounds = 0
     while True:
         placed = materialise(bucket.join(component, "doc"), "placed")
-        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(F.struct("own", "doc", "n")).alias("head"))
-        per = per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("parts"), F.min(F.struct("head", "component")).alias("lead"))
-        live = materialise(per.where("parts > 1"), "live")
-        size = live.agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("rows") - F.col("inside")) / 2).alias("pairs")).first()
+        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.sum(F.col("open").cast("long")).alias("opens"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc", "n", "pos")).alias("head"))
+        live = materialise(per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum("opens").alias("opens"), F.sum(F.col("k") * F.col("opens")).alias("inside"), F.count("*").alias("parts")).where("parts > 1 and opens > 0"), "live")
+        size = live.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("opens") - F.col("inside")).alias("pairs")).first()
         if not size["rows"]:
             return component
         last = size["pairs"] <= few * size["rows"]
+        if not last and rounds and size["pairs"] <= COMPARED * size["rows"]:
+            last = across(placed, live).count() <= few * size["rows"]
+        rounds += 1
         if last:
-            one = placed.join(live.select("token"), "token")
-            a, b = (one.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "component"))) for side in "ab")
-            pairs = a.join(b, "token").where((F.col("doca") < F.col("docb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb")))
-            pairs = pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b"), "na", "nb").distinct()
+            pairs = across(placed, live).distinct()
         else:
-            lead = live.select("token", F.col("lead.head.doc").alias("p"), F.col("lead.head.n").alias("np"), F.col("lead.component").alias("pc"))
-            met = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("np")))
+            largest_first = Window.partitionBy("token").orderBy(F.desc("k"), "head")
+            lead = per.join(live.select("token"), "token").withColumn("rank", F.row_number().over(largest_first)).where(F.col("rank") <= LEADS)
+            lead = materialise(lead.select("token", F.col("head.doc").alias("p"), F.col("head.n").alias("np"), F.col("head.pos").alias("pp"), F.col("component").alias("pc")), "leads")
+            met = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
             less = F.col("p") < F.col("doc")
             pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b"), F.when(less, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("np")).alias("nb")).distinct()
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -249,7 +274,7 @@ def _link(sets: DataFrame, level: int, few: float = 4.0) -> DataFrame:
         if last:
             return component
         tested = tested.unionByName(pairs.select("a", "b"))
-        bucket = materialise(placed.join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti").join(live.select("token"), "token", "left_semi").select("token", "doc", "n", "own"), "buckets")
+        bucket = materialise(placed.join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti").join(live.select("token"), "token", "left_semi").select("token", "doc", "n", "own", "pos", "open"), "buckets")
 
 
 def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL) -> DataFrame:
