@@ -40,7 +40,9 @@ from .common import materialise
 
 LEXICON = 1 << 16
 #: Entries a worker keeps before it starts a new table.
-KEEP = 1 << 19
+KEEP = 3 << 18
+#: Letters from which on a word is merged by a heap.
+LONG = 64
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: str.split() also cuts at these four, which are not white space here.
@@ -63,46 +65,68 @@ class Merges:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"].get("end_of_word_suffix") or ""
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+        # a pair of ids as one number -> its rank (from 1) and the id that it becomes, as one number, so that the least is the best
+        self.pairs: dict[int, int] = {}
+        for rank, m in enumerate(spec["model"]["merges"], 1):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.pairs[self.vocab[left] << 20 | self.vocab[right]] = rank << 20 | self.vocab[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.letters = byte_letters()
-
-    def symbols(self, word: str) -> list[str]:
-        out = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        out[-1] += self.suffix
-        return out
+        letters = byte_letters()
+        self.inner = [self.vocab[x] for x in letters]
+        self.final = [self.vocab[x + self.suffix] for x in letters]
 
     def merge(self, word: str) -> list[int]:
-        """Token ids of one word: the best-ranked pair first, the leftmost of equals, by a heap over a linked list."""
-        parts: list[str | None] = list(self.symbols(word))
-        n = len(parts)
+        """Token ids of one word: the best-ranked pair is merged first, the leftmost of equals."""
+        raw = word.encode("utf-8", "surrogatepass")
+        inner, get = self.inner, self.pairs.get
+        ids = [inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
+        found = [get(a << 20 | b) for a, b in zip(ids, ids[1:])]
+        while best := min(filter(None, found), default=0):
+            i = found.index(best)
+            ids[i] = merged = best & 0xFFFFF
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | merged)
+            if i < len(found):
+                found[i] = get(merged << 20 | ids[i + 1])
+        return ids
+
+    def _merge_long(self, ids: list) -> list[int]:
+        """The same by a heap over a linked list, for words of many letters."""
+        n = len(ids)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        get = self.pairs.get
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else n
-            if parts[i] != left or j >= n or parts[j] != right:
+            best, i, left, right = heapq.heappop(heap)
+            j = after[i] if ids[i] is not None else n
+            if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            parts[i] = left + right
-            parts[j] = None
+            ids[i] = merged = best & 0xFFFFF
+            ids[j] = None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+                if r := get(merged << 20 | ids[k]):
+                    heapq.heappush(heap, (r, i, merged, ids[k]))
             h = before[i]
-            if h >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [self.vocab[p] for p in parts if p is not None]
+            if h >= 0 and (r := get(ids[h] << 20 | merged)):
+                heapq.heappush(heap, (r, h, ids[h], merged))
+        return [x for x in ids if x is not None]
 
 
 def pretokens(piece: str) -> list[str]:
     """Words of a piece of text without white space, after NFC and lower case (letter by letter, as the file asks)."""
     text = unicodedata.normalize("NFC", piece)
+    lowered = text.lower()
+    if lowered.isalpha() and (text.isascii() or "Σ" not in text):  # letters alone are one word
+        return [lowered]
     if not text.isascii():
         text = text.replace("Σ", "σ")  # a final sigma is not a case of its own here
     return _PIECES.findall(text.lower())
@@ -157,12 +181,13 @@ def compile_lexicon(entries: dict[str, list[int]], path: str) -> None:
         first.append(len(label))
     ids = [i for _, own in words for i in own]
     offsets = np.cumsum([0, *(len(own) for _, own in words)])
-    arrays = [np.array(first), np.array(label), np.array(target), np.array(add), np.array([f for f, _ in nodes]), offsets, np.array(ids)]
-    head = np.array([root, *(len(a) for a in arrays)], dtype=np.int32)
+    arrays = [np.array(first), np.array(target), np.array(add), np.array([f for f, _ in nodes]), offsets, np.array(ids)]
+    head = np.array([root, max((len(w.decode("utf-8", "surrogatepass")) for w, _ in words), default=0), *(len(a) for a in arrays)], dtype=np.int32)
     with open(path, "wb") as out:
         out.write(head.tobytes())
         for a in arrays:
             out.write(a.astype(np.int32).tobytes())
+        out.write(bytes(label))
 
 
 class Lexicon:
@@ -170,30 +195,27 @@ class Lexicon:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.map = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
-        self.root, *sizes = self.map[:8]
-        at, parts = 8, []
+            self.bytes = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        words = memoryview(self.bytes)
+        self.root, self.longest, *sizes = words[:32].cast("i")
+        at, parts = 32, []
         for n in sizes:
-            parts.append(self.map[at : at + n])
-            at += n
-        self.first, self.label, self.target, self.add, self.final, self.offsets, self.ids = parts
+            parts.append(words[at : at + 4 * n].cast("i"))
+            at += 4 * n
+        self.first, self.target, self.add, self.final, self.offsets, self.ids = parts
+        self.labels = at
 
     def get(self, word: str) -> list[int] | None:
         """Ids of the word, or None if the lexicon does not hold it."""
-        node, number = self.root, 0
-        first, label, target, add = self.first, self.label, self.target, self.add
-        for byte in word.encode("utf-8", "surrogatepass"):
-            low, high = first[node], first[node + 1]
-            while low < high:
-                mid = (low + high) >> 1
-                if label[mid] < byte:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[node + 1] or label[low] != byte:
+        node, number, base = self.root, 0, self.labels
+        first, target, add, find = self.first, self.target, self.add, self.bytes.find
+        raw = word.encode("utf-8", "surrogatepass")
+        for k in range(len(raw)):
+            edge = find(raw[k : k + 1], base + first[node], base + first[node + 1]) - base
+            if edge < 0:
                 return None
-            number += add[low]
-            node = target[low]
+            number += add[edge]
+            node = target[edge]
         if not self.final[node]:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
@@ -211,30 +233,37 @@ class Encoder:
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True)) + ")") if merges.special else None
 
     def word(self, word: str) -> list[int]:
-        found = self.lexicon.get(word) if self.lexicon else None
-        return self.merges.merge(word) if found is None else found
+        if self.lexicon and len(word) <= self.lexicon.longest:
+            found = self.lexicon.get(word)
+            if found is not None:
+                return found
+        return self.merges.merge(word)
 
     def piece(self, piece: str) -> list[int]:
-        parts = self.special.split(piece) if self.special and "<" in piece else [piece]
+        """Token ids of a piece of text without white space."""
+        if "<" not in piece or not self.special:
+            words = pretokens(piece)
+            if len(words) == 1:
+                return self.word(words[0])
+            return [i for w in words for i in self.word(w)]
         ids: list[int] = []
-        for part in parts:
+        for part in self.special.split(piece):
             if part in self.merges.special:
                 ids.append(self.merges.special[part])
             elif part:
-                for word in pretokens(part):
-                    ids += self.word(word)
+                for w in pretokens(part):
+                    ids += self.word(w)
         return ids
 
-    def look_up(self, pieces: set[str]) -> dict[str, tuple[str, str, int]]:
+    def look_up(self, pieces) -> dict[str, tuple[str, str, int]]:
         if len(self.kept) > KEEP:
             self.kept = {}
-        names = self.merges.names
+        kept, names = self.kept, self.merges.names
         for piece in pieces:
-            if piece in self.kept:
-                continue
-            ids = self.piece(piece)
-            self.kept[piece] = (" ".join(map(str, ids)), " ".join(names[i] for i in ids), len(ids))
-        return self.kept
+            if piece not in kept:
+                ids = self.piece(piece)
+                kept[piece] = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids))
+        return kept
 
 
 def pieces_of(text: str) -> list[str]:
@@ -253,38 +282,28 @@ def _encoder(vocabulary: str, lexicon: str | None) -> Encoder:
     return _encoders[key]
 
 
-def _count_words(vocabulary: str):
-    def run(batches):
-        special = _encoder(vocabulary, None).special
-        seen: Counter = Counter()
-
-        def flush():
-            words: Counter = Counter()
-            for piece, n in seen.items():
-                for part in special.split(piece) if special and "<" in piece else (piece,):
-                    if not (special and special.fullmatch(part)):
-                        for word in pretokens(part):
-                            words[word] += n
+def _count_pieces(batches):
+    seen: Counter = Counter()
+    for batch in _then_none(batches):
+        if batch is not None:
+            for text in batch.column("text").to_pylist():
+                seen.update(pieces_of(text or ""))
+        if seen and (batch is None or len(seen) > KEEP):
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(pieces_of(text.as_py() or ""))
-                if len(seen) > KEEP:
-                    yield flush()
-        if seen:
-            yield flush()
 
-    return run
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> list[str]:
-    """The words that make up at least 1 / ``most`` of all words; no more than ``most`` can."""
-    counts = docs.select("text").mapInArrow(_count_words(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, most: int = LEXICON) -> set[str]:
+    """The words of the pieces of text that make up at least 1 / ``most`` of all pieces; no more than ``most`` pieces can."""
+    counts = docs.select("text").mapInArrow(_count_pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.word for r in counts.where(F.col("n") * most >= total).select("word").collect()]
+    return {w for r in counts.where(F.col("n") * most >= total).select("piece").collect() for w in pretokens(r.piece)}
 
 
 def _encode(vocabulary: str, lexicon: str, keep_ids: bool):
@@ -296,7 +315,7 @@ def _encode(vocabulary: str, lexicon: str, keep_ids: bool):
                 rows = []
                 for text in part.column("text"):
                     pieces = pieces_of(text.as_py() or "")
-                    kept = encoder.look_up(set(pieces))
+                    kept = encoder.look_up(pieces)
                     found = [x for x in map(kept.__getitem__, pieces) if x[2]]
                     ids = " ".join([x[0] for x in found])
                     tokens = " ".join([x[1] for x in found])
@@ -322,7 +341,7 @@ def encode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False, carry:
     spark.sparkContext.addFile(vocabulary_path)
     vocabulary = os.path.basename(vocabulary_path)
     merges = Merges(vocabulary_path)
-    entries = {w: merges.merge(w) for w in frequent_words(docs, vocabulary)}
+    entries = {w: merges.merge(w) for w in frequent_words(docs)}
     folder = tempfile.mkdtemp(prefix="spark-lexicon-")
     path = os.path.join(folder, f"{os.path.basename(folder)}.bin")
     compile_lexicon(entries, path)
