@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS: list[str] = []
+SECTIONS = ["basics", "shapes"]
 
 
 def _collect(name: str) -> dict:
