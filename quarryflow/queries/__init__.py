@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["basics", "shapes"]
+SECTIONS = ["basics", "shapes", "loads"]
 
 
 def _collect(name: str) -> dict:
