@@ -89,6 +89,42 @@ def _signatures(gram: int):
     return run
 
 
+def _settled(tokens: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    """(token, sig, c) rows of one slice: a token of one set (c = 0), one of several (c = -1, no set), and per set the number of the latter (c > 0)."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, sigs = tokens[order], sigs[order]
+    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+    alone = new & np.concatenate((new[1:], [True]))
+    settled, times = np.unique(sigs[~alone], return_counts=True)
+    shared = tokens[new & ~alone]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((tokens[alone], shared, mix(settled + np.uint64(1)))).view(np.int64)),
+            pa.array(np.concatenate((sigs[alone], np.zeros(len(shared), dtype=np.uint64), settled)).view(np.int64)),
+            pa.array(np.concatenate((np.zeros(int(alone.sum())), np.full(len(shared), -1), times)).astype(np.int32)),
+        ],
+        ["token", "sig", "c"],
+    )
+
+
+def _all_members(batches):
+    """Rows of sets (doc, n, tokens) in, (token, sig, c) of all their members out."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 20, side="right")) + at)
+            part = batch.slice(at, to - at)
+            tokens = part.column("tokens").flatten().to_numpy().view(np.uint64)
+            yield _settled(tokens, np.repeat(part.column("doc").to_numpy().view(np.uint64), n[at:to]))
+            at = to
+
+
+def _known(members: DataFrame) -> DataFrame:
+    """(sig, c): how many of its members each set shares with another."""
+    return members.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_members, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c"))
+
+
 def _first_members(gram: int, level: int):
     """(token, sig, c): a first member of a set (c = 0), one settled in its slice (c = -1), or a count settled there (c > 0)."""
 
@@ -104,21 +140,7 @@ def _first_members(gram: int, level: int):
                 once = np.zeros(len(sizes), dtype=bool)  # equal sets of a slice count once
                 once[np.unique(keys, return_index=True)[1]] = True
                 chosen = (rank < lengths[owner]) & once[owner]
-                tokens, sigs = hashes[chosen], keys[owner[chosen]]
-                order = np.argsort(tokens, kind="stable")
-                tokens, sigs = tokens[order], sigs[order]
-                new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-                alone = new & np.concatenate((new[1:], [True]))
-                settled, times = np.unique(sigs[~alone], return_counts=True)
-                shared = tokens[new & ~alone]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((tokens[alone], shared, mix(settled + np.uint64(1)))).view(np.int64)),
-                        pa.array(np.concatenate((sigs[alone], np.zeros(len(shared), dtype=np.uint64), settled)).view(np.int64)),
-                        pa.array(np.concatenate((np.zeros(int(alone.sum())), np.full(len(shared), -1), times)).astype(np.int32)),
-                    ],
-                    ["token", "sig", "c"],
-                )
+                yield _settled(hashes[chosen], keys[owner[chosen]])
 
     return run
 
@@ -214,9 +236,9 @@ def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
     largest = sets.agg(F.max("n")).first()[0] or 1
     count = max(1, -(-int(largest) // BLOCK))
     inc = sets.select("doc", "n", F.explode("tokens").alias("token"))
-    block = F.pmod(F.shiftright("token", 20), F.lit(count))
-    blocks = sets.select("doc", F.lit(0).cast("long").alias("block"), "tokens") if count == 1 else inc.groupBy("doc", block.alias("block")).agg(F.collect_list("token").alias("tokens"))
-    blocks = materialise(blocks, "blocks") if count > 1 else blocks
+    own = F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 20), F.lit(count)) == F.col("block"))
+    blocks = sets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    blocks = blocks.select("doc", "block", own.alias("tokens") if count > 1 else "tokens")
     often = inc.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = inc.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("known"))
     room = F.col("n") - F.ceil(F.col("n") * level / 100) + 1 - (F.col("n") - F.size("known"))
@@ -284,7 +306,7 @@ def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL) -> DataFra
     each = materialise(base.mapInArrow(_signatures(gram), "doc_id long, row_key long, n long, sig long"), "signatures")
     known = base.where("doc_id is not null").select("doc_id", "text")
     members = known.select("text").mapInArrow(_first_members(gram, level), "token long, sig long, c int")
-    counts = members.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_members, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c"))
+    counts = _known(members)
     classes = each.where("doc_id is not null and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * level / 100) / 20))
     alive = materialise(classes.join(counts, "sig").where(F.col("c") >= least).select("sig", "n", "doc"), "alive")
@@ -292,6 +314,9 @@ def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL) -> DataFra
     sets = known.mapInArrow(_chosen_sets(flags, gram), "doc_id long, sig long, n long, tokens array<long>")
     sets = sets.join(alive.select("sig", "n", F.col("doc").alias("doc_id")), ["sig", "n", "doc_id"]).dropDuplicates(["sig", "n"])
     sets = materialise(sets.select(F.col("sig").alias("doc"), "n", "tokens"), "sets")
+    # now with all members: a linked set finds at least ``need`` of them in others
+    whole = _known(sets.mapInArrow(_all_members, "token long, sig long, c int")).withColumnRenamed("sig", "doc")
+    sets = materialise(sets.join(whole, "doc").where(F.col("c") * 100 >= F.col("n") * level).select("doc", "n", "tokens"), "sets")
     linked = _link(sets, level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
     named = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
     linked = materialise(linked.join(named, "component").select("sig", "component_id"), "linked")
