@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ["basics", "shapes", "loads"]
+SECTIONS = ["basics", "shapes", "loads", "products"]
 
 
 def _collect(name: str) -> dict:
