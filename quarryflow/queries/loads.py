@@ -13,7 +13,6 @@ from .base import Section, load
 
 q = Section()
 QUERIES, ORACLES = q.queries, q.oracles
-DAY = F.lit("2024-01-01").cast("date")
 # two versions of customer: every seventh balance changes, every eleventh key is gone, keys of suppliers with 900000 added are new
 OLD = "old AS (SELECT c_custkey AS k, c_acctbal AS bal, c_mktsegment AS seg FROM customer)"
 NEW = "new AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT s_suppkey + 900000, s_acctbal, 'NEW' FROM supplier)"
@@ -39,7 +38,7 @@ def scd1_upsert(spark, d):
 
 
 def _dim(spark, d):
-    return H.scd2_init(old(spark, d), ["k"], ["bal", "seg"], DAY)
+    return H.scd2_init(old(spark, d), ["k"], ["bal", "seg"], F.lit("2024-01-01").cast("date"))
 
 
 def _applied(spark, d):
