@@ -28,12 +28,12 @@ def events(spark, d):
 # --- 2.6 windows
 @q("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS row_number, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS rank, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dense_rank FROM orders")
 def win_rank_trio(spark, d):
-    return W.rank_all(orders(spark, d), KEYS, ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", "row_number", "rank", "dense_rank")
+    return W.rank_all(orders(spark, d), KEYS, ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", *(F.col(c).cast("long").alias(c) for c in ("row_number", "rank", "dense_rank")))
 
 
 @q("SELECT o_custkey, o_orderkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 def win_topn_per_group(spark, d):
-    return W.top_n(orders(spark, d), KEYS, [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rn")
+    return W.top_n(orders(spark, d), KEYS, [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey", F.col("rn").cast("long").alias("rn"))
 
 
 @q("SELECT c_custkey, CASE ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) WHEN 1 THEN 'low' WHEN 2 THEN 'mid' WHEN 3 THEN 'high' ELSE 'top' END AS band FROM customer")
@@ -80,7 +80,7 @@ def win_range_days(spark, d):
 
 q.sql("win_first_last", f"SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_key, last_value(o_orderkey) OVER w AS last_key FROM orders WINDOW w AS ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 q.sql("win_group_avg_diff", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 3) AS diff, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
-q.sql("win_named", f"SELECT o_orderkey, row_number() OVER w AS rn, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS ({BY})")
+q.sql("win_named", f"SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS ({BY})")
 
 
 @q("""WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM events)
