@@ -53,7 +53,7 @@ def _share(children: DataFrame, parent: list[str], of: Column) -> DataFrame:
     # a child is full if its capacity per weight is below the level that the rest would reach without it
     x = x.withColumn("full", F.col("ratio") * F.col("rest") <= F.col("given") - F.col("taken"))
     open_ = F.when(~F.col("full"), F.col("w"))
-    level = (F.col("given") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(every), F.lit(0))) / F.sum(open_).over(every)
+    level = F.coalesce(F.try_divide(F.col("given") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(every), F.lit(0)), F.sum(open_).over(every)), F.lit(0.0))
     return x.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.col("w") * level)).cast("long")).drop("w", "ratio", "given", "taken", "rest", "full")
 
 

@@ -215,6 +215,9 @@ def test_mixing_redistributes_among_siblings_first(spark):
     got = {r.source: r.quota for r in mixing.quotas(leaves, {("web",): 1.0, ("code",): 1.0}, share=0.25, max_epochs=1).collect()}
     # 1775 in all: 887 to each domain; 443 to each language of web; of en, a is full at 100 and b takes the rest
     assert got == {"a": 100, "b": 343, "c": 443, "d": 887}
+    # a weight of 0 beside one that is full gets nothing
+    none = {r.source: r.quota for r in mixing.quotas(leaves, {("web",): 1.0, ("code",): 0.0}, share=0.9, max_epochs=1).collect()}
+    assert none == {"a": 100, "b": 1000, "c": 1000, "d": 0}
 
 
 def test_mixing_takes_prefixes_of_epochs(spark):
