@@ -1,7 +1,8 @@
 """Corpus preparation from end to end.
 
 Each stage takes all documents that its predecessor kept and returns the columns of documents,
-the last one the encoded form of each text.
+the last one the encoded form of each text: its token ids, the text decoded from them, their
+number and the digests of both.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     quarryflow.ship(spark)
-    return bpe_lexicon.encode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id", "lang", "source"])
+    return bpe_lexicon.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, carry=["doc_id", "lang", "source"])
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("encode", encode)]

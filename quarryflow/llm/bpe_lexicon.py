@@ -224,12 +224,25 @@ class Lexicon:
 # --- the jobs ---------------------------------------------------------------------------------
 
 
+def token_table(names: dict[int, str]) -> np.ndarray:
+    """Token names by id; ids without a token have an empty name."""
+    return np.array([names.get(i, "") for i in range(max(names) + 1)], dtype=object)
+
+
+def text_of(ids: np.ndarray, table: np.ndarray) -> str:
+    """The tokens of the ids joined by one blank."""
+    if len(ids) and ids.min() < 0:
+        raise IndexError("token ids are not negative")
+    return " ".join(table[ids].tolist())
+
+
 class Encoder:
-    """Encodes pieces of text by lexicon, then by merges; keeps (ids as text, tokens as text, count) of each piece."""
+    """Encodes pieces of text by lexicon, then by merges; keeps (ids as text, ids as bytes) of each piece."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
-        self.kept: dict[str, tuple[str, str, int]] = {}
+        self.kept: dict[str, tuple[str, bytes]] = {}
+        self.table = token_table(merges.names)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True)) + ")") if merges.special else None
 
     def word(self, word: str) -> list[int]:
@@ -255,14 +268,14 @@ class Encoder:
                     ids += self.word(w)
         return ids
 
-    def look_up(self, pieces) -> dict[str, tuple[str, str, int]]:
+    def look_up(self, pieces) -> dict[str, tuple[str, bytes]]:
         if len(self.kept) > KEEP:
             self.kept = {}
-        kept, names = self.kept, self.merges.names
+        kept = self.kept
         for piece in pieces:
             if piece not in kept:
                 ids = self.piece(piece)
-                kept[piece] = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]), len(ids))
+                kept[piece] = (" ".join(map(str, ids)), np.array(ids, np.int32).tobytes())
         return kept
 
 
@@ -316,10 +329,10 @@ def _encode(vocabulary: str, lexicon: str, keep_ids: bool):
                 for text in part.column("text"):
                     pieces = pieces_of(text.as_py() or "")
                     kept = encoder.look_up(pieces)
-                    found = [x for x in map(kept.__getitem__, pieces) if x[2]]
-                    ids = " ".join([x[0] for x in found])
-                    tokens = " ".join([x[1] for x in found])
-                    rows.append((sum([x[2] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode("utf-8")).hexdigest(), *((np.fromstring(ids, np.int32, sep=" "), tokens) if keep_ids else ())))
+                    found = [x for x in map(kept.__getitem__, pieces) if x[1]]
+                    ids = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
+                    tokens = text_of(ids, encoder.table)
+                    rows.append((len(ids), hashlib.sha256(" ".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(tokens.encode("utf-8")).hexdigest(), *((ids, tokens) if keep_ids else ())))
                 columns = list(zip(*rows))
                 arrays = [part.column("row"), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])]
                 names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -355,13 +368,12 @@ def encode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False, carry:
 
 def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids") -> DataFrame:
     """Adds ``decoded``: the tokens of the id array joined by one blank."""
-    names = Merges(vocabulary_path).names
-    table = pa.array([names.get(i, "") for i in range(max(names) + 1)])
+    table = token_table(Merges(vocabulary_path).names)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(column)
-            texts = [" ".join(table.take(x.values).to_pylist()) if x.is_valid else None for x in ids]
+            texts = [text_of(x.values.to_numpy(zero_copy_only=False), table) if x.is_valid else None for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     from pyspark.sql.types import StringType, StructField, StructType

@@ -155,6 +155,23 @@ def test_bpe_equals_the_library(spark):
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_pipeline_ends_with_ids_that_decode(spark):
+    import corpus_pipeline
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some words, don't split <|endoftext|> éß", "", None, "word" * 50]
+    out = corpus_pipeline.encode(spark, docs_of(spark, texts), "")
+    rows = bpe_lexicon.decode(out.withColumnRenamed("decoded", "was"), path).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert row.n_tokens == len(row.ids) and row.decoded == row.was
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, row.ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(row.decoded.encode()).hexdigest()
+    foreign = spark.createDataFrame([(None,), ([],), ([0, 1],)], "ids array<int>")
+    names = bpe_lexicon.Merges(path).names
+    assert [r.decoded for r in bpe_lexicon.decode(foreign, path).collect()] == [None, "", f"{names[0]} {names[1]}"]
+
+
 def test_lexicon_shares_suffixes_and_maps_ids(tmp_path):
     words = {f"{a}{b}ing": [i, j] for i, a in enumerate(("play", "work", "read", "")) for j, b in enumerate(("", "s", "er"))}
     path = str(tmp_path / "lexicon.bin")
