@@ -6,7 +6,9 @@ punctuation.  The two are smoothed (each path takes a share of its parent path's
 into one score (length times punctuation share) and cut at a threshold: the paths above it are
 content.  Their common container - an ``article`` or ``main`` element where they lie in one,
 else the deepest element that holds most of their text - gives the content nodes, so headings
-and short lines beside the long paragraphs stay.
+and short lines beside the long paragraphs stay.  Content beside the container is kept too: the
+largest element around it that does not hold the container, or, where there is none, the text
+that lies directly in the same element.
 
 Never content: elements whose tag or class, id or role says menu, header, footer, sidebar,
 notice, advert, form, comment, script or style; hidden elements; anything outside ``body``.
@@ -146,6 +148,26 @@ def path_scores(found: list) -> dict[tuple, float]:
     return scores
 
 
+def _container(tag: str) -> bool:
+    return tag in _BOUNDARY or tag == "main"
+
+
+def _beside(content: list, roots: list[tuple]) -> tuple[set, set]:
+    """Largest containers outside ``roots`` that hold content, and containers whose own text holds some but whose other parts do not count."""
+    around = {r[:k] for r in roots for k in range(len(r) + 1)}
+    whole, direct = set(), set()
+    for path, _, text in content:
+        if not text.strip() or any(path[: len(r)] == r for r in roots):
+            continue
+        held = [path[:k] for k in range(1, len(path) + 1) if _container(path[k - 1][0])]
+        apart = [p for p in held if p not in around]
+        if apart:
+            whole.add(apart[0])
+        else:
+            direct.add(held[-1] if held else ())
+    return whole, direct
+
+
 def main_text(page: str | None, threshold: float = 0.1) -> str:
     """The main text of one page; ``threshold`` is the share of the best path's score that a content path needs."""
     found = leaves(page or "")
@@ -159,7 +181,7 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
     weight: dict[tuple, int] = defaultdict(int)
     for path, _, text in content:
         for k in range(1, len(path) + 1):
-            if path[k - 1][0] in _BOUNDARY or path[k - 1][0] == "main":
+            if _container(path[k - 1][0]):
                 weight[path[:k]] += len(text.strip())
     total = sum(len(x[2].strip()) for x in content)
     named = [p for p in weight if p[-1][0] in ("article", "main") and 2 * weight[p] >= total]
@@ -170,10 +192,13 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
         articles = [p for p in weight if p[-1][0] == "article" and not any(t == "article" for t, _ in p[:-1])]
         if articles and 2 * sum(weight[p] for p in articles) >= total:
             roots = articles
+    whole, direct = _beside(content, roots)
+    roots = [*roots, *whole]
     lines: list[str] = []
     current, parts = None, []
     for path, block, text in inside:
-        if not any(path[: len(r)] == r for r in roots):
+        own = next((path[:k] for k in range(len(path), 0, -1) if _container(path[k - 1][0])), ()) if direct else None
+        if own not in direct and not any(path[: len(r)] == r for r in roots):
             continue
         if block != current:
             lines.append("".join(parts))

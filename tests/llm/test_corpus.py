@@ -200,6 +200,24 @@ def test_html_extraction(page):
     assert tag_paths.main_text(page) == "Title here\nFirst paragraph, with a & and bold text. It goes on, and on.\nSecond one, of some length; it too has commas, and stops."
 
 
+SENTENCES = ["One part has words, and stops. " * n for n in (11, 9, 16, 4)]
+
+
+@pytest.mark.parametrize(
+    ("page", "parts"),
+    [
+        ("<body><main><article><p>{0}</p></article><section><h2>More</h2><p>{1}</p></section></main></body>", "{0}|More|{1}"),
+        ("<body><article><p>{0}</p></article><article><p>{1}</p></article><div>Site map</div></body>", "{0}|{1}"),
+        ("<body><div><section><p>{2}</p></section><section><p>{3}</p></section></div></body>", "{2}|{3}"),
+        ("<body><article><p>{0}</p></article><h2>More</h2><p>{1}</p><footer>Foot, note.</footer></body>", "{0}|More|{1}"),
+        ("<body><h2>More</h2><p>{0}</p><p>{1}</p></body>", "More|{0}|{1}"),
+        ("<body><article><p>{0}</p></article><article><p>{0}</p></article><section><p>{1}</p></section></body>", "{0}|{0}|{1}"),
+    ],
+)
+def test_html_content_in_several_containers(page, parts):
+    assert tag_paths.main_text(page.format(*SENTENCES)) == "\n".join(x.strip() for x in parts.format(*SENTENCES).split("|"))
+
+
 def test_html_edges(spark):
     for page in (None, "", "<html></html>", "<p", "<!-- x", "<script>x", "<" * 2000):
         assert isinstance(tag_paths.main_text(page), str)
