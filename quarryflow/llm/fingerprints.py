@@ -5,9 +5,10 @@ From it any span's hash comes in constant time, so spans of two texts are compar
 reading them, and the longest common extension of two positions is found by binary search.
 
 A document's fingerprint is a string of fixed length: the hash of the whole text (16 hex
-digits), then the smallest span hash in each of ``BINS`` bins (4 hex digits a bin) over all
-spans of five consecutive words (of five code points in a text with fewer than 16 of these).  The likeness of
-two fingerprints is the share of equal bins among those that either fills.
+digits), then the smallest span hash in each of ``BINS`` bins (4 hex digits a bin), first over all
+spans of five consecutive words, then over all spans of five code points.  The bins of words are
+empty in a text with fewer than 16 of their spans.  The likeness of two fingerprints is the share
+of equal bins among those that either fills: by words if both have bins of these, else by code points.
 
 Each text meets the next document's by one shuffle: rows are dealt into ranges of doc_id and
 the first row of each range is also sent to the range before.  The ranges' first ids, one a
@@ -33,7 +34,7 @@ from .textkernel import mix
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1220703125)
 BINS, SPAN = 64, 5
-#: A text with fewer word spans than SHORT takes spans of LETTERS code points instead.
+#: A text with fewer word spans than SHORT is compared by spans of LETTERS code points.
 SHORT, LETTERS = 16, 5
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -102,10 +103,14 @@ def fingerprint(symbols: np.ndarray) -> str:
     starts, ends = edges[::2], edges[1::2]
     if len(starts) >= SPAN:
         starts, ends = starts[: len(starts) - SPAN + 1], ends[SPAN - 1 :]
-    if len(starts) < SHORT and n:
-        width = min(n, LETTERS)
-        starts = np.arange(n - width + 1)
-        ends = starts + width
+    if len(starts) < SHORT:
+        starts = ends = starts[:0]
+    width = min(n, LETTERS)
+    letters = np.arange(n - width + 1 if n else 0)
+    return f"{int(whole[0]):016x}" + _bins(hashes, starts, ends) + _bins(hashes, letters, letters + width)
+
+
+def _bins(hashes: PrefixHash, starts: np.ndarray, ends: np.ndarray) -> str:
     bins = np.zeros(BINS, dtype=np.uint64)
     if len(starts):
         mixed = np.sort(mix(hashes.spans(starts, ends) + np.uint64(1)))
@@ -115,7 +120,7 @@ def fingerprint(symbols: np.ndarray) -> str:
         values = mixed[first[found]]
         own = (values >> np.uint64(58)).astype(np.int64) == found
         bins[found[own]] = values[own] % np.uint64(65535) + np.uint64(1)
-    return f"{int(whole[0]):016x}" + bins.astype(">u2").tobytes().hex()
+    return bins.astype(">u2").tobytes().hex()
 
 
 def likeness(one: str, other: str) -> float:
@@ -123,6 +128,8 @@ def likeness(one: str, other: str) -> float:
     if one == other:
         return 1.0
     a, b = (np.frombuffer(bytes.fromhex(x[16:]), dtype=">u2") for x in (one, other))
+    kind = slice(BINS) if a[:BINS].any() and b[:BINS].any() else slice(BINS, None)
+    a, b = a[kind], b[kind]
     filled = (a != 0) | (b != 0)
     return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 0.0
 

@@ -124,6 +124,17 @@ def test_fingerprints_of_edited_texts(spark):
     assert fingerprints.fingerprint_with_next(docs_of(spark, ["only"], [9])).first().near_next == 1.0
 
 
+def test_likeness_across_the_limit_of_short_texts():
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60)]
+    mark = lambda w: fingerprints.fingerprint(fingerprints.code_points(" ".join(w)))
+    for n in range(17, 24):  # 20 words have the least spans that are compared by words
+        assert fingerprints.likeness(mark(words[:n]), mark(words[: n - 1])) > 0.6
+        assert fingerprints.likeness(mark(words[:n]), mark(words[30 : 30 + n])) < 0.1
+        own, long = (fingerprints.code_points(" ".join(x)) for x in (words[:n], ["x" * 400]))
+        assert fingerprints.likeness(fingerprints.fingerprint(own), fingerprints.fingerprint(fingerprints.edited(own, long))) > 0.4
+
+
 def test_warc_round_trip(spark):
     long = "é" * 700
     pages = [(1, "http://a/x", long), (2, "http://b", long), (3, None, None), (4, "u", "WARC/1.1\r\n\r\nshort\r\n\r\n"), (5, "u", "WARC/1.1\r\n\r\nshort\r\n\r\n"), (6, "u", "x" * 2000), (6, "u", "x" * 2000), (None, "n", "y")]
