@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def melt_long(df: DataFrame, ids: list[str], values: list[str], name: str = "var
     return df.unpivot(ids, values, name, value)
 
 
-def walk_hierarchy(spark: SparkSession, df: DataFrame, node: str, parent: str, roots: DataFrame, direction: str = "down", max_depth: int = 1000) -> DataFrame:
-    """(root, node, depth) of all ancestors or descendants of ``roots``.
+def walk_hierarchy(spark: SparkSession, df: DataFrame, node: str, parent: str, roots: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth) of all ancestors or descendants of ``roots``, down to ``max_depth`` if that is given.
 
     One join a level; each level is written to the shared folder, so lineage stays short and
     survives lost executors.  A cycle ends at the second visit.
@@ -39,7 +41,7 @@ def walk_hierarchy(spark: SparkSession, df: DataFrame, node: str, parent: str, r
     level = roots.select(F.col(node).alias("root"), F.col(node).alias("node"), F.lit(0).alias("depth"))
     schema = level.schema
     level.write.parquet(f"{root}/level=0")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         seen = spark.read.schema(schema).parquet(f"{root}/level=*")
         last = seen.where(F.col("depth") == depth - 1)
         step = last.join(edges, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node"), F.lit(depth).alias("depth")).distinct()

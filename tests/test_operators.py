@@ -1,6 +1,7 @@
 """Small worked cases: nulls, ties, repeats, empty tables, plans."""
 
 import datetime
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def test_moving_avg_waits_for_enough_rows(spark):
     assert [r.moving_avg for r in windows.moving_avg(df, [], ["i"], "x", 2, 2).orderBy("i").collect()] == [None, 2.0, 4.0]
 
 
+def test_hierarchy_has_no_limit_unless_one_is_given(spark):
+    assert inspect.signature(reshape.walk_hierarchy).parameters["max_depth"].default is None
+    t = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3)], "id int, parent int")
+    walk = lambda *limit: [r[2] for r in rows(reshape.walk_hierarchy(spark, t, "id", "parent", t.where("parent is null"), "down", *limit))]
+    assert walk() == [0, 1, 2, 3] and walk(2) == [0, 1, 2]
+
+
 def test_cut_is_closed_on_the_right(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (None,)], "x double").select(X.cut("x", [0, 1, 2], ["low", "high"]).alias("b"))
     assert [r.b for r in df.collect()] == [None, "low", "high", None]
