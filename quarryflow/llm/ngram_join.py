@@ -8,23 +8,33 @@ the product is taken over fewer rows and columns without losing a link:
 
 1. *Sets.*  Documents with equal sets form a class; one of them, the smallest doc_id, stands for
    it from here on.  Copies are never paired.
-2. *Rows.*  Two linked sets of sizes x <= y share at least ``need`` = ceil(0.85 x) members, so of
-   the first ``size - need + l`` members in any common order they share l.  In hash order with
-   l = size / 20, a set that finds too few of its first members in other sets has no link.  An
-   n-gram that occurs twice in a slice of rows is settled there and sent once, so a common one
-   costs a row a slice.
-3. *Columns.*  Of the sets left, members are ordered by rarity.  Only the first
-   ``size - need + 1`` make candidates, and those that no other set has make none.
-4. *Pairs.*  Sets of about one size that share a column form a bucket.  In each round one set of each of the largest
+2. *Columns.*  The columns of a set fall, by the first bits of their hashes, into parts of two to
+   four members.  Two linked sets of sizes x and y differ in ``d`` = (x + y) 15 / 185 members at
+   most, so of the first ``d + 1`` parts of either one at least is the same in both (and of
+   ``d + 1 + l`` at least ``l + 1``).  A part is one key; a passage that many texts share fills
+   hardly a part alone, so keys meet in near copies and few others.  How many parts there are
+   depends on the size class (powers of two); a set near the upper end of its class sends its
+   parts for the next class too.  Sets of under 64 members send single members, as a set and its
+   links share one of the first ``size - need + 1`` in hash order.  Should the members of a set
+   fall into too few parts, it and all sets of about its size also send single members.
+3. *Rows.*  A set that meets others in ``l`` parts or fewer has no link.  Of the sets left, a
+   linked one shares ``need`` of all its members with others.
+4. *Pairs.*  Sets that share a key form a bucket.  In each round one set of each of the largest
    components in a bucket (that with the largest share of n-grams known elsewhere) is compared
-   with those of the bucket not yet in its component, and leaves the bucket.  When few pairs across components are left they are all compared.  So
-   a group of n near copies takes about n comparisons, and no pair that could join two
-   components is left out.
+   with those of the bucket not yet in its component, and leaves the bucket; the number of these
+   sets doubles from round to round.  When few pairs across components are left they are all
+   compared.  So a group of n near copies takes about n comparisons, and no pair that could join
+   two components is left out.
+
+A key that several sets of one slice of rows hold is sent once under itself; the slice's other
+sets go elsewhere, marked as met.  So a key held by a third of all rows costs a row a slice, and
+keys are read in order and never gathered.
 
 Hashes are 64 bits; a class is known by set hash and size.  Defined cases: null, empty and blank
 texts have empty sets and link with nothing; a text with fewer words than an n-gram is one
 n-gram; a null doc_id gets its size but a null component; rows that share a doc_id share a
-component; an empty table gives an empty result.
+component; rows that are alike count once for links and each get a row; an empty table gives an
+empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -40,10 +50,16 @@ from .textkernel import WORD_BASE, mix, ngram_hashes, span_hashes, words_of
 GRAM, LEVEL = 4, 85
 #: Members of a set that one block of columns holds at most, on average, for the largest set.
 BLOCK = 16384
-#: Components of a bucket whose heads are compared with all its sets in one round.
+#: Components of a bucket whose heads are compared with all its sets in the first round.
 LEADS = 8
-#: Comparisons of two rows of a bucket, for each row of all buckets, up to which the pairs that are left are counted.
-COMPARED = 1000
+#: One bucket of so many is enough for the first round.
+FIRST = 8
+#: Sets of fewer than 2**SMALL members, and all where the least similarity is below GROUPED, send single members.
+SMALL, GROUPED = 6, 80
+#: The size class of sets that all send single members as others of their size have too few parts.
+SINGLE = 63
+#: Kinds of rows that meet: not met yet, met in its slice, a set with too few parts.
+ALONE, MET, ODD = 0, 1 << 8, 2 << 8
 
 
 def need(size, level: int = LEVEL):
@@ -89,24 +105,6 @@ def _signatures(gram: int):
     return run
 
 
-def _settled(tokens: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    """(token, sig, c) rows of one slice: a token of one set (c = 0), one of several (c = -1, no set), and per set the number of the latter (c > 0)."""
-    order = np.argsort(tokens, kind="stable")
-    tokens, sigs = tokens[order], sigs[order]
-    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-    alone = new & np.concatenate((new[1:], [True]))
-    settled, times = np.unique(sigs[~alone], return_counts=True)
-    shared = tokens[new & ~alone]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate((tokens[alone], shared, mix(settled + np.uint64(1)))).view(np.int64)),
-            pa.array(np.concatenate((sigs[alone], np.zeros(len(shared), dtype=np.uint64), settled)).view(np.int64)),
-            pa.array(np.concatenate((np.zeros(int(alone.sum())), np.full(len(shared), -1), times)).astype(np.int32)),
-        ],
-        ["token", "sig", "c"],
-    )
-
-
 def _all_members(batches):
     """Rows of sets (doc, n, tokens) in, (token, sig, c) of all their members out."""
     for batch in batches:
@@ -125,26 +123,147 @@ def _known(members: DataFrame) -> DataFrame:
     return members.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_members, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c"))
 
 
-def _first_members(gram: int, level: int):
-    """(token, sig, c): a first member of a set (c = 0), one settled in its slice (c = -1), or a count settled there (c > 0)."""
+def size_class(n: np.ndarray, level: int = LEVEL) -> np.ndarray:
+    """floor(log2(n)), the same for all sizes that send single members."""
+    if level < GROUPED:
+        return np.full(len(n), SMALL - 1)
+    return np.maximum(np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1, SMALL - 1)
+
+
+def spare(cls):
+    """How many parts more than one two linked sets of a class share: ``l``."""
+    return np.where((cls >= SMALL) & (cls < SINGLE), 1 << np.clip(cls - 5, 0, 40), 0)
+
+
+def part_bits(cls: np.ndarray) -> np.ndarray:
+    """log2 of the number of parts; 64 where each member is a part."""
+    return np.where((cls < SMALL) | (cls == SINGLE), 64, np.where(cls == SMALL, cls, cls - 1))
+
+
+def parts_of(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, cls: np.ndarray, level: int, halved: int = 0):
+    """The parts that sets (sorted members, sizes above 0) of the given classes send: key and set of each; and which sets have too few."""
+    bits = part_bits(cls)
+    shift = np.uint64(64) - np.where(bits == 64, 64, bits - halved).astype(np.uint64)
+    part = hashes >> shift[owner]
+    first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))))
+    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(hashes + np.uint64(0x9D)))))
+    own = owner[first]
+    keys = mix((total[np.concatenate((first[1:], [len(hashes)]))] - total[first]) ^ (cls[own].astype(np.uint64) * np.uint64(WORD_BASE)))
+    many = np.bincount(own, minlength=len(sizes))
+    single = shift == 0
+    differ = np.where(single, sizes - need(sizes, level), (sizes + sizes * 100 // level) * (100 - level) // (100 + level))
+    wanted = differ + 1 + spare(cls)
+    rank = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+    chosen = rank < wanted[own]
+    return keys[chosen], own[chosen], many < wanted
+
+
+def _sent(keys: np.ndarray, sigs: np.ndarray, cls: np.ndarray, odd: np.ndarray) -> pa.RecordBatch:
+    """(key, salt, sig, tag) rows of one slice; of the sets that share a key, one goes under it (salt 0) and the others by their own."""
+    order = np.lexsort((sigs, keys))
+    keys, sigs, cls = keys[order], sigs[order], cls[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
+    met = ~new
+    met[:-1] |= ~new[1:]
+    salt = np.where(new, np.uint64(0), (sigs & np.uint64(0xFFFF)) + np.uint64(1))
+    tags = cls + np.where(met, MET, ALONE)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((keys, odd)).view(np.int64)),
+            pa.array(np.concatenate((salt, np.ones(len(odd), dtype=np.uint64))).astype(np.int32)),
+            pa.array(np.concatenate((sigs, odd)).view(np.int64)),
+            pa.array(np.concatenate((tags, np.full(len(odd), ODD))).astype(np.int32)),
+        ],
+        ["key", "salt", "sig", "tag"],
+    )
+
+
+def _parts(gram: int, level: int, halved: int = 0, between: tuple[int, int] | None = None):
+    """Rows of the parts of each text's set; with ``between``, single members of the sets of these sizes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 hashes, owner, sizes = ngram_sets(part.column("text"), gram)
-                if not len(hashes):
-                    continue
-                keys = set_keys(hashes, sizes)
-                rank = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                lengths = sizes - need(sizes, level) + np.maximum(1, sizes // 20)
+                sigs = set_keys(hashes, sizes)
                 once = np.zeros(len(sizes), dtype=bool)  # equal sets of a slice count once
-                once[np.unique(keys, return_index=True)[1]] = True
-                chosen = (rank < lengths[owner]) & once[owner]
-                yield _settled(hashes[chosen], keys[owner[chosen]])
+                once[np.unique(sigs, return_index=True)[1]] = True
+                once &= sizes > 0
+                if between:
+                    once &= (sizes >= between[0]) & (sizes <= between[1])
+                if not once.any():
+                    continue
+                chosen = once[owner]
+                hashes, owner = hashes[chosen], (np.cumsum(once) - 1)[owner[chosen]]
+                sigs, sizes = sigs[once], sizes[once]
+                low, high = size_class(sizes, level), size_class(sizes * 100 // level, level)
+                out = []
+                if between:
+                    single = np.full(len(sizes), SINGLE)
+                    keys, own, _ = parts_of(hashes, owner, sizes, single, level)
+                    out.append((keys, sigs[own], single[own], sigs[:0]))
+                else:
+                    for more in range(int((high - low).max()) + 1):
+                        of = low + more <= high
+                        mine = of[owner]
+                        cls = (low + more)[of]
+                        keys, own, few = parts_of(hashes[mine], (np.cumsum(of) - 1)[owner[mine]], sizes[of], cls, level, halved)
+                        out.append((keys, sigs[of][own], cls[own], sigs[of][few]))
+                yield _sent(*(np.concatenate([x[i] for x in out]) for i in range(4)))
 
     return run
 
 
+def _meeting(batches):
+    """Rows sorted by key, salt and set in; (key, sig, cls, odd) of those whose key another set has too, out.
+
+    No group is held: of one that goes on, its first and its last row are carried over.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, sig, tag = (batch.column(c).to_numpy() for c in ("key", "salt", "sig", "tag"))
+        sent = np.zeros(len(key), dtype=bool)
+        if held is not None:
+            key, salt, sig, tag, sent = (np.concatenate((a, b)) for a, b in zip(held, (key, salt, sig, tag, sent)))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        once = np.flatnonzero(new | np.concatenate(([True], sig[1:] != sig[:-1])))
+        tag, sent = np.maximum.reduceat(tag, once), np.logical_or.reduceat(sent, once)
+        key, salt, sig, new = key[once], salt[once], sig[once], new[once]
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate((first, [len(key)])))
+        found = np.repeat((sizes > 1) | (np.maximum.reduceat(tag, first) >= MET), sizes)
+        out = found & ~sent
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(sig[out]), pa.array((tag[out] & 0xFF).astype(np.int32)), pa.array(tag[out] >= ODD)], ["key", "sig", "cls", "odd"])
+        at = sorted({int(first[-1]), len(key) - 1})
+        held = tuple(x[at] for x in (key, salt, sig, tag, sent | found))
+
+
+def meetings(texts: DataFrame, rows) -> DataFrame:
+    sent = texts.mapInArrow(rows, "key long, salt int, sig long, tag int")
+    return sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(_meeting, "key long, sig long, cls int, odd boolean")
+
+
+def _settled(tokens: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+    """(token, sig, c) rows of some sets: a token of one set (c = 0), one of several (c = -1, no set), and per set the number of the latter (c > 0)."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, sigs = tokens[order], sigs[order]
+    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+    alone = new & np.concatenate((new[1:], [True]))
+    settled, times = np.unique(sigs[~alone], return_counts=True)
+    shared = tokens[new & ~alone]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((tokens[alone], shared, mix(settled + np.uint64(1)))).view(np.int64)),
+            pa.array(np.concatenate((sigs[alone], np.zeros(len(shared), dtype=np.uint64), settled)).view(np.int64)),
+            pa.array(np.concatenate((np.zeros(int(alone.sum())), np.full(len(shared), -1), times)).astype(np.int32)),
+        ],
+        ["token", "sig", "c"],
+    )
+
+
 def _shared_members(batches):
     """Rows sorted by token in; per set the number of members that another set has, batch by batch, out."""
     held: pa.Table | None = None
@@ -192,7 +311,7 @@ def _chosen_sets(flags, gram: int):
                 if len(take):
                     values = np.concatenate([hashes[edges[i] : edges[i + 1]] for i in take]).view(np.int64)
                     offsets = np.concatenate(([0], np.cumsum(sizes[take])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(keys[take].view(np.int64)), pa.array(sizes[take].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["doc_id", "sig", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(sizes[take].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], ["doc", "n", "tokens"])
 
     return run
 
@@ -230,94 +349,85 @@ def _overlapping(pairs: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
     return total.where(F.col("overlap") * (100 + level) >= (F.col("na") + F.col("nb")) * level).select("a", "b")
 
 
-def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
-    """(doc, component) of the sets (doc, n, tokens) that link with another."""
+def _link(sets: DataFrame, bucket: DataFrame, level: int, few: float = 32.0) -> DataFrame:
+    """(doc, component) of the sets (doc, n, c, tokens) that meet in buckets (token, doc)."""
     spark = sets.sparkSession
     largest = sets.agg(F.max("n")).first()[0] or 1
     count = max(1, -(-int(largest) // BLOCK))
-    inc = sets.select("doc", "n", F.explode("tokens").alias("token"))
     own = F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 20), F.lit(count)) == F.col("block"))
     blocks = sets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     blocks = blocks.select("doc", "block", own.alias("tokens") if count > 1 else "tokens")
-    often = inc.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = inc.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("known"))
-    room = F.col("n") - F.ceil(F.col("n") * level / 100) + 1 - (F.col("n") - F.size("known"))
-    first = ranked.withColumn("room", room.cast("int")).where("room > 0").select("doc", "n", (F.col("n") - F.size("known")).alias("own"), F.posexplode(F.slice("known", F.lit(1), F.col("room"))).alias("at", "x"))
-    # linked sizes differ by one class at most, so each set goes to its own class and the next
-    size_class = F.floor(F.log("n") / -np.log(level / 100)).cast("int")
-    first = first.select(F.col("x.token").alias("token"), "doc", "n", "own", (F.col("own") + F.col("at")).alias("pos"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
-    # the largest partner that the members from this place on allow; of a linked pair the smaller set allows its own size
-    partner = F.floor((F.col("n") - F.col("pos")) * (100 + level) / level) - F.col("n")
-    first = first.withColumn("open", partner >= F.col("n")).where(partner >= F.ceil(F.col("n") * level / 100))
-    bucket = materialise(first.select(F.xxhash64("token", "size_class").alias("token"), "doc", "n", "own", "pos", "open"), "buckets")
-    component = materialise(bucket.select("doc", F.col("doc").alias("component")).distinct(), "components")
+    component = materialise(sets.select("doc", "n", (F.col("c") / F.col("n")).alias("share"), F.col("doc").alias("component")), "components")
     tested = spark.createDataFrame([], "a long, b long")
+    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * level
 
-    def fits(n1, pos1, n2, pos2):
-        """Whether two sets that first share the member at these places can overlap enough, by their sizes alone."""
-        least = F.ceil((n1 + n2) * level / (100 + level))
-        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * level) & (F.least(n1 - pos1, n2 - pos2) >= least)
-
-    def across(placed, live):
-        """Pairs of a bucket across components that can overlap enough; the smaller set is always an open one."""
-        one = placed.join(live.select("token"), "token")
-        a, b = (part.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "pos", "component"))) for part, side in ((one.where("open"), "a"), (one, "b")))
-        met = a.join(b, "token").where((F.col("na") <= F.col("nb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb")))
-        less = F.col("doca") < F.col("docb")
-        return met.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b"), F.when(less, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(less, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    def pair(one, other, n_one, n_other):
+        less = F.col(one) < F.col(other)
+        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), F.when(less, F.col(n_one)).otherwise(F.col(n_other)).alias("na"), F.when(less, F.col(n_other)).otherwise(F.col(n_one)).alias("nb")]
 
     rounds = 0
     while True:
-        placed = materialise(bucket.join(component, "doc"), "placed")
-        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.sum(F.col("open").cast("long")).alias("opens"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc", "n", "pos")).alias("head"))
-        live = materialise(per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum("opens").alias("opens"), F.sum(F.col("k") * F.col("opens")).alias("inside"), F.count("*").alias("parts")).where("parts > 1 and opens > 0"), "live")
-        size = live.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("opens") - F.col("inside")).alias("pairs")).first()
+        used = bucket if rounds else bucket.where(F.pmod("token", F.lit(FIRST)) == 0)
+        placed = materialise(used.join(component, "doc"), "placed")
+        live = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        placed = materialise(placed.join(live, "token"), "live")
+        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.max(F.struct("share", "doc", "n")).alias("head"))
+        size = per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("inside")).agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("rows") - F.col("inside")) / 2).alias("pairs")).first()
+        rounds += 1
         if not size["rows"]:
+            if rounds == 1:
+                continue
             return component
-        last = size["pairs"] <= few * size["rows"]
-        if not last and rounds and size["pairs"] <= COMPARED * size["rows"]:
-            last = across(placed, live).count() <= few * size["rows"]
-        rounds += 1
+        last = rounds > 1 and size["pairs"] <= few * size["rows"]
+        lead = None
         if last:
-            pairs = across(placed, live).distinct()
+            a, b = (placed.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "component"))) for side in ("a", "b"))
+            pairs = a.join(b, "token").where((F.col("doca") < F.col("docb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb"))).select(*pair("doca", "docb", "na", "nb"))
         else:
-            largest_first = Window.partitionBy("token").orderBy(F.desc("k"), "head")
-            lead = per.join(live.select("token"), "token").withColumn("rank", F.row_number().over(largest_first)).where(F.col("rank") <= LEADS)
-            lead = materialise(lead.select("token", F.col("head.doc").alias("p"), F.col("head.n").alias("np"), F.col("head.pos").alias("pp"), F.col("component").alias("pc")), "leads")
-            met = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
-            less = F.col("p") < F.col("doc")
-            pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b"), F.when(less, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("np")).alias("nb")).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            largest_first = Window.partitionBy("token").orderBy(F.desc("k"), F.desc("head"))
+            lead = per.withColumn("rank", F.row_number().over(largest_first)).where(F.col("rank") <= LEADS << max(0, rounds - 2))
+            lead = materialise(lead.select("token", F.col("head.doc").alias("p"), F.col("head.n").alias("np"), F.col("component").alias("pc")), "leads")
+            pairs = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("np"))).select(*pair("p", "doc", "np", "n"))
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _overlapping(pairs, blocks, level)
         ends = component.select(F.col("doc").alias("d"), F.col("component").alias("c"))
         edges = links.join(ends, F.col("a") == F.col("d")).select("b", F.col("c").alias("x")).join(ends, F.col("b") == F.col("d")).select("x", F.col("c").alias("y")).where("x != y")
         merged = connect(edges)
-        component = materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", F.coalesce("label", "component").alias("component")), "components")
+        component = materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", "n", "share", F.coalesce("label", "component").alias("component")), "components")
         if last:
             return component
         tested = tested.unionByName(pairs.select("a", "b"))
-        bucket = materialise(placed.join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti").join(live.select("token"), "token", "left_semi").select("token", "doc", "n", "own", "pos", "open"), "buckets")
+        if rounds > 1:
+            bucket = materialise(placed.select("token", "doc").join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti"), "buckets")
+
 
+def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL, halved: int = 0) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row_key, n_shingles, component_id.
 
-def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_key, n_shingles, component_id."""
+    ``halved`` says how often the number of parts is halved: larger parts meet less, but more sets have too few.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     each = materialise(base.mapInArrow(_signatures(gram), "doc_id long, row_key long, n long, sig long"), "signatures")
     known = base.where("doc_id is not null").select("doc_id", "text")
-    members = known.select("text").mapInArrow(_first_members(gram, level), "token long, sig long, c int")
-    counts = _known(members)
     classes = each.where("doc_id is not null and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc"))
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * level / 100) / 20))
-    alive = materialise(classes.join(counts, "sig").where(F.col("c") >= least).select("sig", "n", "doc"), "alive")
+    met = materialise(meetings(known.select("text"), _parts(gram, level, halved)), "meetings")
+    odd = met.where("odd").join(classes, "sig").agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
+    if odd["low"] is not None:  # sets whose members fall into too few parts: all sets of about their sizes meet by single members
+        between = (need(int(odd["low"]), level), int(odd["high"]) * 100 // level)
+        met = met.unionByName(materialise(meetings(known.select("text"), _parts(gram, level, halved, between)), "meetings"))
+    met = met.where("not odd")
+    spared = F.when((F.col("cls") >= SMALL) & (F.col("cls") < SINGLE), F.expr("shiftleft(1L, cls - 5)")).otherwise(0)
+    counts = met.groupBy("sig", "cls").agg(F.count("*").alias("k")).where(F.col("k") > spared).select("sig").distinct()
+    alive = materialise(classes.join(counts, "sig").select("sig", "n", "doc"), "alive")
     flags = spark.sparkContext.broadcast(bitmap_of(alive.select("sig", "doc").mapInArrow(_with_pair_key, "key long"), "key"))
-    sets = known.mapInArrow(_chosen_sets(flags, gram), "doc_id long, sig long, n long, tokens array<long>")
-    sets = sets.join(alive.select("sig", "n", F.col("doc").alias("doc_id")), ["sig", "n", "doc_id"]).dropDuplicates(["sig", "n"])
-    sets = materialise(sets.select(F.col("sig").alias("doc"), "n", "tokens"), "sets")
+    # the bitmap may let sets in that are not alive, and repeated rows: both only add to what is counted next
+    sets = materialise(known.mapInArrow(_chosen_sets(flags, gram), "doc long, n long, tokens array<long>"), "sets")
     # now with all members: a linked set finds at least ``need`` of them in others
-    whole = _known(sets.mapInArrow(_all_members, "token long, sig long, c int")).withColumnRenamed("sig", "doc")
-    sets = materialise(sets.join(whole, "doc").where(F.col("c") * 100 >= F.col("n") * level).select("doc", "n", "tokens"), "sets")
-    linked = _link(sets, level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
+    whole = _known(sets.mapInArrow(_all_members, "token long, sig long, c int")).withColumnRenamed("sig", "doc").where("c > 0")
+    sets = materialise(sets.join(whole, "doc").where(F.col("c") * 100 >= F.col("n") * level).dropDuplicates(["doc"]), "sets")
+    bucket = met.select(F.col("key").alias("token"), F.col("sig").alias("doc")).join(sets.select("doc"), "doc", "left_semi").distinct()
+    linked = _link(sets, materialise(bucket, "buckets"), level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
     named = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
     linked = materialise(linked.join(named, "component").select("sig", "component_id"), "linked")
     heads = classes.join(linked, "sig", "left").select("sig", "n", F.coalesce("component_id", "doc").alias("component_id"))

@@ -77,18 +77,43 @@ def components_of(texts, level=85):
     return {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("few", [8.0, 0.0])
-def test_ngram_join_equals_brute_force(spark, few, monkeypatch):
-    monkeypatch.setattr(ngram_join, "COMPARED", 1000 if few else 0)
+@pytest.mark.parametrize(("few", "halved"), [(32.0, 0), (0.0, 0), (32.0, 3)])  # 3: so few parts that sets need their single members
+def test_ngram_join_equals_brute_force(spark, few, halved, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEADS", 8 if few else 1)
     monkeypatch.setattr(ngram_join._link, "__defaults__", (few,))
     monkeypatch.setattr(ngram_join, "BLOCK", 16384 if few else 64)
     texts = corpus()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts), halved=halved).collect()}
     expected = components_of(texts)
     assert got == expected and len({c for _, c in got.values()}) < len(texts) - 10
 
 
+def test_ngram_join_finds_every_pair_of_random_sets():
+    """Linked sets of all sizes meet in more keys than a set without links may have."""
+    r = np.random.default_rng(4)
+    for size in (*range(1, 12), 30, 54, 60, 63, 64, 70, 110, 127, 128, 200, 255, 256, 300, 1000):
+        for _ in range(12):
+            common = r.integers(0, 1 << 63, size, dtype=np.uint64)
+            gone = int(r.integers(0, size * 15 // 100 + 1))
+            more = max(0, (size - gone) * 100 // 85 - size)
+            pair = [common, np.concatenate((common[gone:], r.integers(0, 1 << 63, int(r.integers(0, more + 1)), dtype=np.uint64)))]
+            pair = [np.unique(x << np.uint64(1)) for x in pair]
+            x, y = (len(p) for p in pair)
+            shared = len(np.intersect1d(*pair))
+            assert 100 * shared >= 85 * (x + y - shared)
+            met = 0
+            for cls in range(5, 12):
+                keys = []
+                for p in pair:
+                    n = np.array([len(p)])
+                    if ngram_join.size_class(n)[0] <= cls <= ngram_join.size_class(n * 100 // 85)[0]:
+                        found, _, few = ngram_join.parts_of(p, np.zeros(len(p), dtype=int), n, np.array([cls]), 85)
+                        keys.append(set(found.tolist()) if not few[0] else None)
+                if len(keys) == 2:
+                    met = max(met, 1 if None in keys else int(len(keys[0] & keys[1]) > ngram_join.spare(np.array([cls]))[0]))
+            assert met, (x, y, shared)
+
+
 def test_exact_dedup_equals_brute_force_also_when_digests_clash(spark):
     texts = corpus() + ["a b", "ab", "a  b ", "ba", None]
     groups: dict = {}
