@@ -5,23 +5,28 @@ marks, hashed into a fixed number of embedding rows.  The text's vector is the m
 bag; a softmax over two classes follows.  Unseen misspellings share n-grams with words seen,
 hence their vectors.
 
-The model is trained on a bounded sample of labelled rows (at most ``SAMPLE`` of label 1 and twice as many of label 0, the
-ones with the smallest seeded hash, with texts of at most ``MOST_CHARS``), taken only from rows
-whose crc32 of doc_id is not 2 modulo 4.  Every fifth of them is set aside to choose the number
+The model is trained on a bounded sample of labelled rows: of those with texts of at most
+``MOST_CHARS``, the ``SAMPLE`` of label 1 and twice as many of label 0 that have the smallest
+seeded hash, taken only from rows whose crc32 of doc_id is not 2 modulo 4.  Every fifth of them is set aside to choose the number
 of steps and to place the decision at a score of ``CUT``.  Nothing but the text is an input.
 
-Scoring covers every row and the whole text, in one pass without a shuffle.  As everything
-after the embedding is linear, a row's share of the logit is one number, and the bags of many
-texts are looked up and summed by a few array operations.
-
-Defined cases: null and empty texts get the model's bias as score; labels that are null are
-ignored; a doc_id labelled more than once counts with its larger label; without both labels in
-the sample every score is the share of label 1 (0 if none).
+Scoring covers every row and the whole text, in one pass without a shuffle; only the texts
+leave the JVM.  As everything after the embedding is linear, a row's share of the logit is one
+number, and the bags of many texts are looked up and summed by a few array operations over at
+most ``PIECE`` code points.  A longer text is cut between words and its sums are added up.
+
+Defined cases: null and empty texts get the model's bias as score; a word of more than ``PIECE``
+letters counts as several; labels that are null or of no document are ignored; a doc_id labelled
+more than once counts with its larger label, and one that several rows share with the least of
+their texts; without both labels in the sample every score is the share of label 1 (0 if none);
+a null doc_id is not held out; rows alike have the same score; an empty table gives an empty
+result; other columns are kept and play no part.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise
 from .textkernel import WORD_BASE, mix, span_hashes
 
 SAMPLE, MOST_CHARS, SEED = 1200, 4_000, 17
@@ -41,7 +46,7 @@ SCALE = 50.0
 PRIOR = 60
 CUT = 0.3
 #: Code points looked up at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _letter: list[np.ndarray] = []
 
@@ -91,42 +96,79 @@ class Model(NamedTuple):
     bias: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        rows, owners = bags(texts)
-        total = np.bincount(owners, weights=self.share[rows], minlength=len(texts))
-        return self.bias + SCALE * total / (np.bincount(owners, minlength=len(texts)) + PRIOR)
-
-
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows from each start on; starts ascend and no group is empty."""
-    return np.add.reduceat(values, starts, axis=0)
-
-
-class _Sparse:
-    """A sparse matrix with both orders of its entries, to multiply by it and by its transpose."""
-
-    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, rows: int, cols: int):
-        self.shape = rows, cols
-        self.forth = self._order(row, col, value)
-        self.back = self._order(col, row, value)
-
-    @staticmethod
-    def _order(key, other, value):
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        return key[starts], starts, other[order], value[order, None].astype(np.float32)
-
-    def _times(self, parts, dense, rows):
-        key, starts, other, value = parts
-        out = np.zeros((rows, dense.shape[1]), dtype=np.float32)
-        out[key] = _sums(dense[other] * value, starts)
-        return out
-
-    def dot(self, dense):
-        return self._times(self.forth, dense, self.shape[0])
-
-    def back_dot(self, dense):
-        return self._times(self.back, dense, self.shape[1])
+        """One logit a text; letters are lowered here."""
+        total, many = np.zeros(len(texts)), np.zeros(len(texts))
+        for of, pieces in _portions(texts):
+            rows, owners = bags(pieces)
+            of = np.array(of)[owners]
+            total += np.bincount(of, weights=self.share[rows], minlength=len(texts))
+            many += np.bincount(of, minlength=len(texts))
+        return self.bias + SCALE * total / (many + PRIOR)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of at most ``PIECE`` code points, each but the last cut after a mark between words if it has one."""
+    at = 0
+    while len(text) - at > PIECE:
+        marks = np.flatnonzero(~_letters()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
+        to = at + (int(marks[-1]) + 1 if len(marks) else PIECE)
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The lowered pieces of the texts and the text of each, about ``PIECE`` code points at a time."""
+    of: list[int] = []
+    held: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            if held and size + len(piece) > PIECE:
+                yield of, held
+                of, held, size = [], [], 0
+            of.append(i)
+            held.append(piece.lower())
+            size += len(piece)
+    if held:
+        yield of, held
+
+
+class _Bags:
+    """The bags of some texts as sparse rows, a hundred texts at a time, to multiply by and by their transpose."""
+
+    def __init__(self, texts: list[str]):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        used = np.zeros(1 << BITS, dtype=bool)
+        for at in range(0, len(texts), 100):
+            rows, owners = bags([t.lower() for t in texts[at : at + 100]])
+            pairs, times = np.unique(owners.astype(np.int64) << BITS | rows, return_counts=True)
+            of, unit = pairs >> BITS, (pairs & ((1 << BITS) - 1)).astype(np.int32)
+            used[unit] = True
+            value = times * SCALE / (np.bincount(owners, minlength=100) + PRIOR)[of]
+            self.parts.append((unit, value.astype(np.float32), np.bincount(of, minlength=min(100, len(texts) - at))))
+        self.used = np.flatnonzero(used)
+        place = np.cumsum(used, dtype=np.int32) - 1
+        self.parts = [(place[unit], value, many) for unit, value, many in self.parts]
+
+    def dot(self, table: np.ndarray) -> np.ndarray:
+        out = []
+        for unit, value, many in self.parts:
+            sums = np.zeros((len(many), table.shape[1]), dtype=np.float32)
+            if len(unit):
+                sums[many > 0] = np.add.reduceat(table[unit] * value[:, None], (np.cumsum(many) - many)[many > 0], axis=0)
+            out.append(sums)
+        return np.concatenate(out)
+
+    def back_dot(self, slope: np.ndarray) -> np.ndarray:
+        out = np.zeros((slope.shape[1], len(self.used)))
+        at = 0
+        for unit, value, many in self.parts:
+            own = np.repeat(slope[at : at + len(many)], many, axis=0)
+            for k in range(slope.shape[1]):
+                out[k] += np.bincount(unit, weights=own[:, k] * value, minlength=len(self.used))
+            at += len(many)
+        return out.T.astype(np.float32)
 
 
 def _softmax(z):
@@ -144,16 +186,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    parts = []
-    for at in range(0, len(texts), 100):
-        rows, owners = bags([t.lower() for t in texts[at : at + 100]])
-        pairs, times = np.unique(owners.astype(np.int64) + at << BITS | rows, return_counts=True)
-        parts.append((pairs, times / (np.bincount(owners, minlength=100) + PRIOR)[(pairs >> BITS) - at]))
-    pairs = np.concatenate([x[0] for x in parts])
-    used, unit = np.unique(pairs & ((1 << BITS) - 1), return_inverse=True)
-    docs = _Sparse(pairs >> BITS, unit, np.concatenate([x[1] for x in parts]) * SCALE, len(texts), len(used))
+    docs = _Bags(texts)
     random = np.random.default_rng(seed)
-    table = random.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
+    table = random.normal(0, 0.01, (len(docs.used), DIM)).astype(np.float32)
     # the two classes start well apart, so that the first steps already move the embeddings
     soft = np.sign(random.normal(size=(DIM, 1))).astype(np.float32) * np.array([[-1, 1]], dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -192,7 +227,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     judged = aside if aside.any() else ~aside
     cut, scale = _place(logits[judged], labels[judged], mass[judged])
     full = np.zeros(1 << BITS, dtype=np.float32)
-    full[used] = table @ lean * scale
+    full[docs.used] = table @ lean * scale
     return Model(full, float((bias[1] - bias[0] - cut) * scale + np.log(CUT / (1 - CUT))))
 
 
@@ -209,18 +244,21 @@ def _place(logits, labels, mass) -> tuple[float, float]:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of the bounded training sample, and the share of label 1 among all labelled rows allowed."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).cache()
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    allowed = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(allowed)
+    known = materialise(known, "labels")
     prior = known.agg(F.avg("toxic")).first()[0]
     if prior is None:
         return [], np.zeros(0), 0.0
-    order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * most))
-    ids = docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in ids.collect()], "doc_id long, toxic int")
-    known.unpersist()
+    texts = docs.select(key, F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.char_length("text") <= MOST_CHARS)
+    known = known.join(texts.where(allowed).select("doc_id"), "doc_id", "left_semi").withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
+    first = lambda label, n: known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(n)
+    ids = [(int(r.doc_id), int(r.toxic)) for r in first(1, most).unionByName(first(0, 2 * most)).collect()]
+    ids = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     # the ids are at most 3 * most rows, so the texts come by a broadcast join
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.char_length("text") <= MOST_CHARS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(rows.select("doc_id", "text", "toxic").collect(), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     return [r.text for r in rows], np.array([r.toxic for r in rows]), float(prior)
 
 
@@ -229,24 +267,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
 
 def _scores(shared):
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model: Model = shared.value
-        for batch in batches:
-            for part in slices(batch, "lowered", PIECE):
-                logits = model.logits([x or "" for x in part.column("lowered").to_pylist()])
-                score = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score)], ["row", "score"])
+        for texts in columns:
+            logits = [model.logits([x or "" for x in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *logits]), -60, 60))))
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score): each row of ``docs`` as a struct, with the score of its whole text."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.lower(F.col("text")).alias("lowered"))
-    return rows.mapInArrow(_scores(shared), StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _scores(shared)("text").alias("score"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,4 +291,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return scored.select(F.col("row.doc_id").alias("doc_id"), (F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
