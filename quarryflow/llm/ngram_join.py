@@ -17,14 +17,14 @@ the product is taken over fewer rows and columns without losing a link:
    parts for the next class too.  Sets of under 64 members send single members, as a set and its
    links share one of the first ``size - need + 1`` in hash order.  Should the members of a set
    fall into too few parts, it and all sets of about its size also send single members.
-3. *Rows.*  A set that meets others in ``l`` parts or fewer has no link.  Of the sets left, a
-   linked one shares ``need`` of all its members with others.
-4. *Pairs.*  Sets that share a key form a bucket.  In each round one set of each of the largest
-   components in a bucket (that with the largest share of n-grams known elsewhere) is compared
-   with those of the bucket not yet in its component, and leaves the bucket; the number of these
-   sets doubles from round to round.  When few pairs across components are left they are all
-   compared.  So a group of n near copies takes about n comparisons, and no pair that could join
-   two components is left out.
+3. *Rows.*  A set that meets others in ``l`` parts or fewer has no link.  Of the sets left,
+   members are counted and ordered by rarity; a linked set finds ``need`` of them in others.  Only
+   the first ``size - need + 1`` make candidates, and those that no other set has make none.
+4. *Pairs.*  Sets of about one size that share a column form a bucket.  In each round one set of
+   each of the largest components in a bucket (that with the largest share of n-grams known
+   elsewhere) is compared with those of the bucket not yet in its component, and leaves the
+   bucket.  When few pairs across components are left they are all compared.  So a group of n near
+   copies takes about n comparisons, and no pair that could join two components is left out.
 
 A key that several sets of one slice of rows hold is sent once under itself; the slice's other
 sets go elsewhere, marked as met.  So a key held by a third of all rows costs a row a slice, and
@@ -50,10 +50,10 @@ from .textkernel import WORD_BASE, mix, ngram_hashes, span_hashes, words_of
 GRAM, LEVEL = 4, 85
 #: Members of a set that one block of columns holds at most, on average, for the largest set.
 BLOCK = 16384
-#: Components of a bucket whose heads are compared with all its sets in the first round.
+#: Components of a bucket whose heads are compared with all its sets in one round.
 LEADS = 8
-#: One bucket of so many is enough for the first round.
-FIRST = 8
+#: Comparisons of two rows of a bucket, for each row of all buckets, up to which the pairs that are left are counted.
+COMPARED = 1000
 #: Sets of fewer than 2**SMALL members, and all where the least similarity is below GROUPED, send single members.
 SMALL, GROUPED = 6, 80
 #: The size class of sets that all send single members as others of their size have too few parts.
@@ -105,24 +105,6 @@ def _signatures(gram: int):
     return run
 
 
-def _all_members(batches):
-    """Rows of sets (doc, n, tokens) in, (token, sig, c) of all their members out."""
-    for batch in batches:
-        n = batch.column("n").to_numpy()
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 20, side="right")) + at)
-            part = batch.slice(at, to - at)
-            tokens = part.column("tokens").flatten().to_numpy().view(np.uint64)
-            yield _settled(tokens, np.repeat(part.column("doc").to_numpy().view(np.uint64), n[at:to]))
-            at = to
-
-
-def _known(members: DataFrame) -> DataFrame:
-    """(sig, c): how many of its members each set shares with another."""
-    return members.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_members, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c"))
-
-
 def size_class(n: np.ndarray, level: int = LEVEL) -> np.ndarray:
     """floor(log2(n)), the same for all sizes that send single members."""
     if level < GROUPED:
@@ -246,58 +228,6 @@ def meetings(texts: DataFrame, rows) -> DataFrame:
     return sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(_meeting, "key long, sig long, cls int, odd boolean")
 
 
-def _settled(tokens: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    """(token, sig, c) rows of some sets: a token of one set (c = 0), one of several (c = -1, no set), and per set the number of the latter (c > 0)."""
-    order = np.argsort(tokens, kind="stable")
-    tokens, sigs = tokens[order], sigs[order]
-    new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-    alone = new & np.concatenate((new[1:], [True]))
-    settled, times = np.unique(sigs[~alone], return_counts=True)
-    shared = tokens[new & ~alone]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate((tokens[alone], shared, mix(settled + np.uint64(1)))).view(np.int64)),
-            pa.array(np.concatenate((sigs[alone], np.zeros(len(shared), dtype=np.uint64), settled)).view(np.int64)),
-            pa.array(np.concatenate((np.zeros(int(alone.sum())), np.full(len(shared), -1), times)).astype(np.int32)),
-        ],
-        ["token", "sig", "c"],
-    )
-
-
-def _shared_members(batches):
-    """Rows sorted by token in; per set the number of members that another set has, batch by batch, out."""
-    held: pa.Table | None = None
-    for batch in _ending(batches):
-        if batch is not None:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 1 << 19:
-                continue
-            tokens = held["token"].to_numpy()
-            cut = int(np.searchsorted(tokens, tokens[-1]))
-        else:
-            cut = held.num_rows if held is not None else 0
-        if not cut:
-            continue
-        table, held = held.slice(0, cut), held.slice(cut)
-        tokens, sigs, c = (table[x].to_numpy() for x in ("token", "sig", "c"))
-        edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        group = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(tokens)]))))
-        member = c == 0
-        low = np.minimum.reduceat(np.where(member, sigs, np.iinfo(np.int64).max), edge)
-        high = np.maximum.reduceat(np.where(member, sigs, np.iinfo(np.int64).min), edge)
-        flagged = np.logical_or.reduceat(c < 0, edge)
-        found = member & (flagged | (low < high))[group]
-        who, times = np.unique(np.concatenate((sigs[found], sigs[c > 0])), return_inverse=True)
-        total = np.bincount(times, weights=np.concatenate((np.ones(int(found.sum())), c[c > 0])), minlength=len(who))
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(total.astype(np.int64))], ["sig", "c"])
-
-
-def _ending(batches):
-    yield from (b for b in batches if b.num_rows)
-    yield None
-
-
 def _chosen_sets(flags, gram: int):
     def run(batches):
         bitmap = flags.value
@@ -349,56 +279,78 @@ def _overlapping(pairs: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
     return total.where(F.col("overlap") * (100 + level) >= (F.col("na") + F.col("nb")) * level).select("a", "b")
 
 
-def _link(sets: DataFrame, bucket: DataFrame, level: int, few: float = 32.0) -> DataFrame:
-    """(doc, component) of the sets (doc, n, c, tokens) that meet in buckets (token, doc)."""
+def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
+    """(doc, component) of the sets (doc, n, tokens) that link with another, and of some that do not."""
     spark = sets.sparkSession
     largest = sets.agg(F.max("n")).first()[0] or 1
     count = max(1, -(-int(largest) // BLOCK))
-    own = F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 20), F.lit(count)) == F.col("block"))
+    inc = sets.select("doc", "n", F.explode("tokens").alias("token"))
+    often = inc.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = inc.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("known"))
+    # a linked set finds at least ``need`` of its members in others
+    known = known.where(F.size("known") * 100 >= F.col("n") * level).withColumn("own", F.col("n") - F.size("known"))
+    room = (F.col("n") - F.ceil(F.col("n") * level / 100) + 1 - F.col("own")).cast("int")
+    ranked = known.select(F.col("doc").alias("d"), "own", F.slice("known", F.lit(1), room).alias("known"))
+    sets = materialise(sets.join(ranked, F.col("doc") == F.col("d")).drop("d").dropDuplicates(["doc"]), "sets")
+    within = F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 20), F.lit(count)) == F.col("block"))
     blocks = sets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    blocks = blocks.select("doc", "block", own.alias("tokens") if count > 1 else "tokens")
-    component = materialise(sets.select("doc", "n", (F.col("c") / F.col("n")).alias("share"), F.col("doc").alias("component")), "components")
+    blocks = blocks.select("doc", "block", within.alias("tokens") if count > 1 else "tokens")
+    first = sets.select("doc", "n", "own", F.posexplode("known").alias("at", "x"))
+    # linked sizes differ by one class at most, so each set goes to its own class and the next
+    step = F.floor(F.log("n") / -np.log(level / 100)).cast("int")
+    first = first.select(F.col("x.token").alias("token"), "doc", "n", "own", (F.col("own") + F.col("at")).alias("pos"), F.explode(F.array(step, step + 1)).alias("step"))
+    # the largest partner that the members from this place on allow; of a linked pair the smaller set allows its own size
+    partner = F.floor((F.col("n") - F.col("pos")) * (100 + level) / level) - F.col("n")
+    first = first.withColumn("open", partner >= F.col("n")).where(partner >= F.ceil(F.col("n") * level / 100))
+    bucket = materialise(first.select(F.xxhash64("token", "step").alias("token"), "doc", "n", "own", "pos", "open"), "buckets")
+    component = materialise(bucket.select("doc", F.col("doc").alias("component")).distinct(), "components")
     tested = spark.createDataFrame([], "a long, b long")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * level
 
-    def pair(one, other, n_one, n_other):
-        less = F.col(one) < F.col(other)
-        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), F.when(less, F.col(n_one)).otherwise(F.col(n_other)).alias("na"), F.when(less, F.col(n_other)).otherwise(F.col(n_one)).alias("nb")]
+    def fits(n1, pos1, n2, pos2):
+        """Whether two sets that first share the member at these places can overlap enough, by their sizes alone."""
+        least = F.ceil((n1 + n2) * level / (100 + level))
+        return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * level) & (F.least(n1 - pos1, n2 - pos2) >= least)
+
+    def across(one):
+        """Pairs of a bucket across components that can overlap enough; the smaller set is always an open one."""
+        a, b = (part.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "pos", "component"))) for part, side in ((one.where("open"), "a"), (one, "b")))
+        met = a.join(b, "token").where((F.col("na") <= F.col("nb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("posa"), F.col("nb"), F.col("posb")))
+        less = F.col("doca") < F.col("docb")
+        return met.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b"), F.when(less, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(less, F.col("nb")).otherwise(F.col("na")).alias("nb"))
 
     rounds = 0
     while True:
-        used = bucket if rounds else bucket.where(F.pmod("token", F.lit(FIRST)) == 0)
-        placed = materialise(used.join(component, "doc"), "placed")
-        live = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        placed = materialise(bucket.join(component, "doc"), "placed")
+        live = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("open").alias("some")).where("low < high and some").select("token")
         placed = materialise(placed.join(live, "token"), "live")
-        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.max(F.struct("share", "doc", "n")).alias("head"))
-        size = per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("inside")).agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("rows") - F.col("inside")) / 2).alias("pairs")).first()
-        rounds += 1
+        per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.sum(F.col("open").cast("long")).alias("opens"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc", "n", "pos")).alias("head"))
+        size = per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum("opens").alias("opens"), F.sum(F.col("k") * F.col("opens")).alias("inside"))
+        size = size.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("opens") - F.col("inside")).alias("pairs")).first()
         if not size["rows"]:
-            if rounds == 1:
-                continue
             return component
-        last = rounds > 1 and size["pairs"] <= few * size["rows"]
-        lead = None
+        last = size["pairs"] <= few * size["rows"]
+        if not last and rounds and size["pairs"] <= COMPARED * size["rows"]:
+            last = across(placed).count() <= few * size["rows"]
+        rounds += 1
         if last:
-            a, b = (placed.select("token", *(F.col(c).alias(c + side) for c in ("doc", "n", "component"))) for side in ("a", "b"))
-            pairs = a.join(b, "token").where((F.col("doca") < F.col("docb")) & (F.col("componenta") != F.col("componentb")) & fits(F.col("na"), F.col("nb"))).select(*pair("doca", "docb", "na", "nb"))
+            pairs = across(placed).distinct()
         else:
-            largest_first = Window.partitionBy("token").orderBy(F.desc("k"), F.desc("head"))
-            lead = per.withColumn("rank", F.row_number().over(largest_first)).where(F.col("rank") <= LEADS << max(0, rounds - 2))
-            lead = materialise(lead.select("token", F.col("head.doc").alias("p"), F.col("head.n").alias("np"), F.col("component").alias("pc")), "leads")
-            pairs = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("np"))).select(*pair("p", "doc", "np", "n"))
-        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            largest_first = Window.partitionBy("token").orderBy(F.desc("k"), "head")
+            lead = per.withColumn("rank", F.row_number().over(largest_first)).where(F.col("rank") <= LEADS)
+            lead = materialise(lead.select("token", F.col("head.doc").alias("p"), F.col("head.n").alias("np"), F.col("head.pos").alias("pp"), F.col("component").alias("pc")), "leads")
+            met = placed.join(lead, "token").where((F.col("component") != F.col("pc")) & fits(F.col("n"), F.col("pos"), F.col("np"), F.col("pp")))
+            less = F.col("p") < F.col("doc")
+            pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b"), F.when(less, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("np")).alias("nb")).distinct()
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _overlapping(pairs, blocks, level)
         ends = component.select(F.col("doc").alias("d"), F.col("component").alias("c"))
         edges = links.join(ends, F.col("a") == F.col("d")).select("b", F.col("c").alias("x")).join(ends, F.col("b") == F.col("d")).select("x", F.col("c").alias("y")).where("x != y")
         merged = connect(edges)
-        component = materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", "n", "share", F.coalesce("label", "component").alias("component")), "components")
+        component = materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", F.coalesce("label", "component").alias("component")), "components")
         if last:
             return component
         tested = tested.unionByName(pairs.select("a", "b"))
-        if rounds > 1:
-            bucket = materialise(placed.select("token", "doc").join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti"), "buckets")
+        bucket = materialise(placed.join(lead.select("token", F.col("p").alias("doc")), ["token", "doc"], "left_anti").select("token", "doc", "n", "own", "pos", "open"), "buckets")
 
 
 def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL, halved: int = 0) -> DataFrame:
@@ -421,13 +373,9 @@ def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL, halved: in
     counts = met.groupBy("sig", "cls").agg(F.count("*").alias("k")).where(F.col("k") > spared).select("sig").distinct()
     alive = materialise(classes.join(counts, "sig").select("sig", "n", "doc"), "alive")
     flags = spark.sparkContext.broadcast(bitmap_of(alive.select("sig", "doc").mapInArrow(_with_pair_key, "key long"), "key"))
-    # the bitmap may let sets in that are not alive, and repeated rows: both only add to what is counted next
+    # the bitmap may let sets in that are not alive, and a set twice: neither loses a link
     sets = materialise(known.mapInArrow(_chosen_sets(flags, gram), "doc long, n long, tokens array<long>"), "sets")
-    # now with all members: a linked set finds at least ``need`` of them in others
-    whole = _known(sets.mapInArrow(_all_members, "token long, sig long, c int")).withColumnRenamed("sig", "doc").where("c > 0")
-    sets = materialise(sets.join(whole, "doc").where(F.col("c") * 100 >= F.col("n") * level).dropDuplicates(["doc"]), "sets")
-    bucket = met.select(F.col("key").alias("token"), F.col("sig").alias("doc")).join(sets.select("doc"), "doc", "left_semi").distinct()
-    linked = _link(sets, materialise(bucket, "buckets"), level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
+    linked = _link(sets, level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
     named = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
     linked = materialise(linked.join(named, "component").select("sig", "component_id"), "linked")
     heads = classes.join(linked, "sig", "left").select("sig", "n", F.coalesce("component_id", "doc").alias("component_id"))

@@ -77,8 +77,9 @@ def components_of(texts, level=85):
     return {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("few", "halved"), [(32.0, 0), (0.0, 0), (32.0, 3)])  # 3: so few parts that sets need their single members
+@pytest.mark.parametrize(("few", "halved"), [(8.0, 0), (0.0, 0), (8.0, 3)])  # 3: so few parts that sets need their single members
 def test_ngram_join_equals_brute_force(spark, few, halved, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMPARED", 1000 if few else 0)
     monkeypatch.setattr(ngram_join, "LEADS", 8 if few else 1)
     monkeypatch.setattr(ngram_join._link, "__defaults__", (few,))
     monkeypatch.setattr(ngram_join, "BLOCK", 16384 if few else 64)
