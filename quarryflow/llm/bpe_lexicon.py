@@ -9,12 +9,13 @@ not hold are merged exactly, by the rank of each pair.
 A word is frequent if it makes up at least 1 / ``LEXICON`` of all words, so the lexicon has
 ``LEXICON`` words at most, whatever the input.  Which words it holds changes only the speed.
 
-Text is cut at white space first; each distinct piece is encoded once per worker and kept in a
+Text is cut at white space first; each distinct piece is encoded once per task and kept in a
 bounded table.  A text is never held as a list of all its ids unless ``ids`` is asked for.
 
 Defined cases: null text is empty and has no tokens; a special token's string in a text is that
 token; white space is dropped, so decoding gives the tokens joined by one blank, as the public
-library does for this file.
+library does for this file; rows that are alike each get a row; a null doc_id stays null; columns
+that are not asked for play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import re
 import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 LEXICON = 1 << 16
-#: Entries a worker keeps before it starts a new table.
-KEEP = 3 << 18
+#: Pieces a task keeps before it starts a new table; and pieces that it counts before it sends their counts on.
+KEEP, COUNTED = 1 << 18, 1 << 19
 #: Letters from which on a word is merged by a heap.
 LONG = 64
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -237,11 +239,10 @@ def text_of(ids: np.ndarray, table: np.ndarray) -> str:
 
 
 class Encoder:
-    """Encodes pieces of text by lexicon, then by merges; keeps (ids as text, ids as bytes) of each piece."""
+    """Encodes pieces of text by lexicon, then by merges."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
-        self.kept: dict[str, tuple[str, bytes]] = {}
         self.table = token_table(merges.names)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True)) + ")") if merges.special else None
 
@@ -268,15 +269,34 @@ class Encoder:
                     ids += self.word(w)
         return ids
 
-    def look_up(self, pieces) -> dict[str, tuple[str, bytes]]:
-        if len(self.kept) > KEEP:
-            self.kept = {}
-        kept = self.kept
-        for piece in pieces:
-            if piece not in kept:
-                ids = self.piece(piece)
-                kept[piece] = (" ".join(map(str, ids)), np.array(ids, np.int32).tobytes())
-        return kept
+
+class Kept(dict):
+    """piece -> (ids as text, ids as bytes), each encoded when it is first asked for; starts anew beyond ``KEEP`` pieces."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        if len(self) > KEEP:
+            self.clear()
+        ids = self.encoder.piece(piece)
+        self[piece] = found = (" ".join(map(str, ids)), np.array(ids, np.int32).tobytes())
+        return found
+
+
+class KeptCounts(dict):
+    """piece -> number of its tokens, likewise."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > KEEP:
+            self.clear()
+        self[piece] = found = len(self.encoder.piece(piece))
+        return found
 
 
 def pieces_of(text: str) -> list[str]:
@@ -301,7 +321,7 @@ def _count_pieces(batches):
         if batch is not None:
             for text in batch.column("text").to_pylist():
                 seen.update(pieces_of(text or ""))
-        if seen and (batch is None or len(seen) > KEEP):
+        if seen and (batch is None or len(seen) > COUNTED):
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
             seen.clear()
 
@@ -322,14 +342,13 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> set[str]:
 def _encode(vocabulary: str, lexicon: str, keep_ids: bool):
     def run(batches):
         encoder = _encoder(vocabulary, lexicon)
+        kept = Kept(encoder)  # as long as the task, so that an idle worker holds little
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
                 for text in part.column("text"):
-                    pieces = pieces_of(text.as_py() or "")
-                    kept = encoder.look_up(pieces)
-                    found = [x for x in map(kept.__getitem__, pieces) if x[1]]
+                    found = [x for x in map(kept.__getitem__, pieces_of(text.as_py() or "")) if x[1]]
                     ids = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
                     tokens = text_of(ids, encoder.table)
                     rows.append((len(ids), hashlib.sha256(" ".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(tokens.encode("utf-8")).hexdigest(), *((ids, tokens) if keep_ids else ())))
@@ -381,6 +400,18 @@ def decode(encoded: DataFrame, vocabulary_path: str, column: str = "ids") -> Dat
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
+def count_tokens(vocabulary: str):
+    """A column function: the number of tokens of each text, by the vocabulary file of this name that Spark has sent."""
+
+    @F.arrow_udf("long")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = KeptCounts(_encoder(vocabulary, None)).__getitem__
+        for texts in columns:
+            yield pa.array([sum(map(count, pieces_of(x.as_py() or ""))) for x in texts], pa.int64())
+
+    return run
+
+
 def op6_bpe(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     if vocabulary_path is None:
         import public_tokenizers

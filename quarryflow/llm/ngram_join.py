@@ -50,6 +50,8 @@ from .textkernel import WORD_BASE, mix, ngram_hashes, span_hashes, words_of
 GRAM, LEVEL = 4, 85
 #: Members of a set that one block of columns holds at most, on average, for the largest set.
 BLOCK = 16384
+#: Bytes of text worked on at once.
+SLICE = 2 << 20
 #: Components of a bucket whose heads are compared with all its sets in one round.
 LEADS = 8
 #: Comparisons of two rows of a bucket, for each row of all buckets, up to which the pairs that are left are counted.
@@ -98,7 +100,7 @@ def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _signatures(gram: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 hashes, _, sizes = ngram_sets(part.column("text"), gram)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(sizes.astype(np.int64)), pa.array(set_keys(hashes, sizes).view(np.int64))], ["doc_id", "row_key", "n", "sig"])
 
@@ -165,7 +167,7 @@ def _parts(gram: int, level: int, halved: int = 0, between: tuple[int, int] | No
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 hashes, owner, sizes = ngram_sets(part.column("text"), gram)
                 sigs = set_keys(hashes, sizes)
                 once = np.zeros(len(sizes), dtype=bool)  # equal sets of a slice count once
@@ -232,7 +234,7 @@ def _chosen_sets(flags, gram: int):
     def run(batches):
         bitmap = flags.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 hashes, _, sizes = ngram_sets(part.column("text"), gram)
                 keys = set_keys(hashes, sizes)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
