@@ -9,6 +9,8 @@ digits), then the smallest span hash in each of ``BINS`` bins (4 hex digits a bi
 spans of five consecutive words, then over all spans of five code points.  The bins of words are
 empty in a text with fewer than 16 of their spans.  The likeness of two fingerprints is the share
 of equal bins among those that either fills: by words if both have bins of these, else by code points.
+Beside the likeness stand ``same_edited`` and ``same_next``, the lengths of the longest common
+beginnings of the two texts, found by binary search over the prefix arrays.
 
 Each text meets the next document's by one shuffle: rows are dealt into ranges of doc_id and
 the first row of each range is also sent to the range before.  The ranges' first ids, one a
@@ -16,7 +18,8 @@ partition, are all that the driver sees.
 
 Defined cases: null text is empty; an empty text has an empty set of spans and is like another
 empty text only; null doc_ids come first; rows that share a doc_id are ordered by text; one row
-alone is its own next; an empty table gives an empty result.
+alone is its own next; rows that are alike follow each other and each get a row; other columns
+play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,8 +80,13 @@ class PrefixHash:
         return parts[0] << np.uint64(31) | parts[1]
 
     def equal(self, start: int, other: PrefixHash, at: int, length: int) -> bool:
-        here, there = np.array([start]), np.array([at])
-        return bool(self.spans(here, here + length)[0] == other.spans(there, there + length)[0])
+        """Whether two spans are equal; each sum is moved to the other's place, so that nothing is divided."""
+        for base, prime, mine, theirs in zip(BASES, PRIMES, self.sums, other.sums):
+            table = _powers(base, prime, max(start, at) + 1)
+            here = (int(mine[start + length]) - int(mine[start])) * int(table[at])
+            if (here - (int(theirs[at + length]) - int(theirs[at])) * int(table[start])) % prime:
+                return False
+        return True
 
     def common_extension(self, start: int, other: PrefixHash, at: int) -> int:
         """Length of the longest common stretch from ``start`` here and ``at`` there."""
@@ -93,10 +101,10 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def fingerprint(symbols: np.ndarray) -> str:
-    """The fingerprint of a text given as code points."""
+def fingerprint(symbols: np.ndarray, hashes: PrefixHash | None = None) -> str:
+    """The fingerprint of a text given as code points (and its prefix arrays, where they are at hand)."""
     n = len(symbols)
-    hashes = PrefixHash(symbols)
+    hashes = hashes or PrefixHash(symbols)
     whole = mix(hashes.spans(np.array([0]), np.array([n])) ^ np.uint64(n))
     space = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
@@ -140,8 +148,9 @@ def edited(symbols: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.concatenate((symbols[: len(symbols) - cut], following[:cut]))
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+_SCHEMA = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in _OUT.split(", ")])
 
 
 def _pairs(batches):
@@ -156,19 +165,36 @@ def _pairs(batches):
                 last = None
                 continue  # a later row with the id of the one borrowed
             symbols = code_points(texts[i].as_py() or "")
-            mark = fingerprint(symbols)
+            hashes = PrefixHash(symbols)
+            mark = fingerprint(symbols, hashes)
             if last is not None and last[0] == bucket:
-                _, doc_id, own, own_mark = last
+                _, doc_id, own, own_hashes, own_mark = last
                 changed = edited(own, symbols)
-                changed_mark = fingerprint(changed)
+                changed_hashes = PrefixHash(changed)
+                changed_mark = fingerprint(changed, changed_hashes)
                 digest = hashlib.sha256(changed.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-                out.append([doc_id, len(own), digest, own_mark, changed_mark, likeness(own_mark, changed_mark), likeness(own_mark, mark)])
-            last = None if guest else (bucket, ids[i].as_py(), symbols, mark)
+                out.append([doc_id, len(own), digest, own_mark, changed_mark, likeness(own_mark, changed_mark), likeness(own_mark, mark), own_hashes.common_extension(0, changed_hashes, 0), own_hashes.common_extension(0, hashes, 0)])
+            last = None if guest else (bucket, ids[i].as_py(), symbols, hashes, mark)
             if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], _NAMES)
+                yield _rows(out)
                 out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else None) for k, c in enumerate(zip(*out))], _NAMES)
+        yield _rows(out)
+
+
+def _rows(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
+
+
+def _buckets(limits: list[int]):
+    """How many limits lie below an id (none below null), by binary search."""
+
+    @F.arrow_udf("int")
+    def run(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(np.array(limits, dtype=np.int64), ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32))
+
+    return run
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
@@ -179,9 +205,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     limits = base.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     limits = sorted({int(x) for x in limits})
     # bucket 0: nulls and ids up to the first limit
-    bucket = F.lit(0)
-    if limits:
-        bucket = F.coalesce(F.size(F.filter(F.lit(limits).cast("array<long>"), lambda x: x < F.col("doc_id"))), F.lit(0))
+    bucket = _buckets(limits)("doc_id") if limits else F.lit(0)
     base = base.withColumn("bucket", bucket)
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"))
     heads = sorted(((r.bucket, r.head.doc_id) for r in base.groupBy("bucket").agg(F.min(key).alias("head")).collect()), key=lambda x: x[0])
