@@ -14,7 +14,11 @@ through their identifiers into one nested row a capture.
 Equal payloads: of records with the same payload of at least ``REVISIT_FROM`` bytes, the one
 with the largest page_id is the response and the others revisit it.
 
-Defined cases: null html is an empty payload; a null page_id sorts below all others; rows alike
+A revisit whose response is not among the records read keeps the digest that it names, the bytes
+that it holds itself and no page that it refers to.  Spark's gzip sink makes one member a file, so
+readers seek by archive, not by record.
+
+Defined cases: null html is an empty payload; controls in a url are percent-encoded; a null page_id sorts below all others; rows alike
 in page_id, url and html are captures of their own (of these one is the response); null urls
 become an empty target; extra columns play no part; an empty table gives an empty result.
 """
@@ -33,6 +37,8 @@ from .common import bitmap_of, in_bitmap, materialise, scratch
 
 REVISIT_FROM, ARCHIVE_BYTES = 1000, 16 << 20
 END = "\r\n\r\n"
+#: Date of captures where pages carry none.
+DATE = "2020-01-01T00:00:00Z"
 
 
 def _uuid(*parts):
@@ -42,12 +48,20 @@ def _uuid(*parts):
 
 def _record(kind, ident, uri, headers: list, content_type: str, block):
     """One record without its terminator; headers are (name, column) pairs, left out where null."""
-    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), ident), F.concat(F.lit("WARC-Target-URI: "), uri)]
+    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), ident), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), uri)]
     lines += [F.concat(F.lit(f"{name}: "), value) for name, value in headers]
     lines += [F.lit(f"Content-Type: {content_type}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
+def _uri(url):
+    """A header holds one line, so controls in a url are percent-encoded."""
+    out = F.coalesce(url, F.lit(""))
+    for code in (*range(32), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return out
+
+
 def _mark(bitmap):
     def run(batches):
         flags = bitmap.value
@@ -61,7 +75,7 @@ def _mark(bitmap):
 def captures(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` with its record type, identifiers and the payload to write."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), _uri(F.col("url")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     base = base.withColumn("row_ref", F.md5(F.concat_ws("\x1f", text(F.col("page_id")), "url", "digest"))).withColumn("key", F.xxhash64("digest"))
     # types are settled on rows without payloads; only payloads that occur again are dealt by row
@@ -106,7 +120,7 @@ def write_archives(pages: DataFrame, path: str) -> str:
     return path
 
 
-_RECORD = "kind string, record_id string, uri string, concurrent_to string, refers_to string, payload_digest string, header string, payload binary"
+_RECORD = "kind string, record_id string, uri string, concurrent_to array<string>, refers_to string, payload_digest string, header string, payload binary"
 _FIELDS = [x.split()[0] for x in _RECORD.split(", ")]
 
 
@@ -120,7 +134,9 @@ def parse(data: bytes):
             return
         head_end = data.index(b"\r\n\r\n", at)
         lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        named = [(k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:])]
+        fields = dict(named)
+        together = [v for k, v in named if k == "warc-concurrent-to"]
         start = head_end + 4
         block = data[start : start + int(fields["content-length"])]
         if not lines[0].startswith("WARC/") or len(block) < int(fields["content-length"]):
@@ -129,11 +145,11 @@ def parse(data: bytes):
         header, payload = b"", block
         if fields.get("content-type", "").startswith("application/http"):
             header, _, payload = block.partition(b"\r\n\r\n")
-        yield (fields["warc-type"], fields["warc-record-id"], fields.get("warc-target-uri"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None, header.decode("utf-8", "replace"), payload)
+        yield (fields["warc-type"], fields["warc-record-id"], fields.get("warc-target-uri"), together, fields.get("warc-refers-to"), (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None, header.decode("utf-8", "replace"), payload)
 
 
 def _parse_files(batches):
-    schema = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in _FIELDS])
+    schema = pa.schema([(n, pa.binary() if n == "payload" else pa.list_(pa.string()) if n == "concurrent_to" else pa.string()) for n in _FIELDS])
     for batch in batches:
         for raw in batch.column("content"):
             data = raw.as_py()
@@ -173,7 +189,7 @@ def assemble(found: DataFrame) -> DataFrame:
     """
     answer = found.where("kind in ('response', 'revisit')").select("record_id", "uri", "kind", "refers_to", "payload_digest", F.struct("header", "payload").alias("response"))
     part = F.struct("record_id", F.col("header"), F.col("payload").alias("block"))
-    other = found.where("kind in ('request', 'metadata') and concurrent_to is not null").groupBy(F.col("concurrent_to").alias("to")).agg(
+    other = found.where("kind in ('request', 'metadata')").withColumn("to", F.explode(F.array_distinct("concurrent_to"))).groupBy("to").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "request", part))).alias("requests"), F.array_sort(F.collect_list(F.when(F.col("kind") == "metadata", part))).alias("metadata"))
     return answer.join(other, F.col("record_id") == F.col("to"), "left").drop("to")
 
@@ -196,7 +212,7 @@ def capture_table(nested: DataFrame) -> DataFrame:
     wanted = revisits.select(F.col("refers_to").alias("wanted")).distinct()
     whole = flat.where("kind = 'response'")
     seen = whole.join(wanted, F.col("record_id") == F.col("wanted"), "left_semi").select(F.col("record_id").alias("head"), F.col("page_id").alias("head_page"), F.col("payload_bytes").alias("head_bytes"), F.col("found_digest").alias("head_digest"))
-    resolved = revisits.join(seen, F.col("refers_to") == F.col("head")).select("page_id", F.col("head_bytes").alias("payload_bytes"), F.col("head_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("head_page").alias("refers_to"), "uri")
+    resolved = revisits.join(seen, F.col("refers_to") == F.col("head"), "left").select("page_id", F.coalesce("head_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("head_digest", "payload_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("head_page").alias("refers_to"), "uri")
     plain = whole.select("page_id", "payload_bytes", F.col("found_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "uri")
     return plain.unionByName(resolved)
 
