@@ -11,13 +11,14 @@ Texts are equal when the same after deleting white space [\\x20\\x09-\\x0D].  Of
 row with the most code points stays, then the one with the smallest doc_id.
 
 Defined cases: null text is empty, and all empty texts are equal; a null doc_id loses to any
-other of the same length; of rows alike in doc_id and text one stays; other columns play no part.
+other of the same length; of rows alike in doc_id and text one stays; other columns play no part;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, bitmap_of, in_bitmap, materialise, scratch
@@ -31,6 +32,11 @@ _STORE = {
 }
 
 
+_ARRIVAL = "doc_id long, row_key long, n_chars long, text_sha256 string, digest string, copies long"
+#: Digests of more than one row in HOT are joined by a broadcast; there are fewer than HOT of them.
+HOT = 1000
+
+
 def normalised():
     return F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", "")
 
@@ -46,17 +52,13 @@ def arrivals(docs: DataFrame, digest=digest_of) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
 
 
-def stream_groups(arrived: DataFrame, max_files: int = 1000) -> DataFrame:
-    """Run the stateful stream over a table of arrivals; per digest the row that stays and the number of rows."""
-    spark = arrived.sparkSession
-    source, out, checkpoint = arrived.inputFiles(), scratch(spark, "groups"), scratch(spark, "state")
-    folder = source[0].rsplit("/", 1)[0] if source else None
+def stream_groups(spark: SparkSession, state: str, max_files: int = 1000) -> DataFrame:
+    """Run the stateful stream over what has arrived below ``state`` since it ran last; per digest the row that stays and the number of rows, of all arrivals so far."""
+    folder, out, checkpoint = f"{state}/arrivals", f"{state}/groups", f"{state}/checkpoint"
     schema = "digest string, best struct<n_chars: bigint, order: bigint, doc_id: bigint, row_key: bigint>, rows long"
-    if folder is None:
-        return spark.createDataFrame([], schema)
-    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+    stream = spark.readStream.schema(_ARRIVAL).option("maxFilesPerTrigger", max_files).parquet(folder)
     best = F.struct("n_chars", F.bitwise_not("doc_id").alias("order"), "doc_id", "row_key")
-    state = stream.groupBy("digest").agg(F.max(best).alias("best"), F.sum("copies").alias("rows"))
+    kept = stream.groupBy("digest").agg(F.max(best).alias("best"), F.sum("copies").alias("rows"))
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # the same batch again replaces itself
@@ -65,11 +67,12 @@ def stream_groups(arrived: DataFrame, max_files: int = 1000) -> DataFrame:
     for k, v in _STORE.items():
         spark.conf.set(k, v)
     try:
-        query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
+        query = kept.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # a stream without rows publishes nothing
     found = spark.read.schema(f"{schema}, batch int").parquet(out)
     return found.groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max_by("rows", "batch").alias("rows"))
 
@@ -93,24 +96,45 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).drop("d", "k")
 
 
-def assign(docs: DataFrame, digest=digest_of, max_files: int = 1000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_key, keep_id, group_size, kept, text_sha256."""
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row with the group of its digest.  Digests of more than one row in ``HOT`` - so fewer than ``HOT`` digests - are broadcast, so that no task gets all rows of one."""
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") * HOT > total
+    often = F.broadcast(groups.where(hot))
+    return rows.join(often, "digest").unionByName(rows.join(F.broadcast(groups.where(hot).select("digest")), "digest", "left_anti").join(groups.where(~hot), "digest"))
+
+
+def assign(docs: DataFrame, digest=digest_of, max_files: int = 1000, state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row_key, keep_id, group_size, kept, text_sha256.
+
+    With a folder ``state`` the keyed state outlives the call: the next one with this folder also
+    meets the rows of this one, and reads their contents from ``earlier`` (all documents before).
+    A row that stayed in an earlier call and no longer does is reported by no later one.
+    """
+    spark = docs.sparkSession
+    state = state or scratch(spark, "state")
     arrived = materialise(arrivals(docs, digest), "arrivals")
-    groups = materialise(stream_groups(arrived, max_files), "best")
-    members = arrived.join(groups, "digest")
-    # full bytes of every hit against those of the row that stays
+    arrived.write.mode("append").parquet(f"{state}/arrivals")
+    groups = materialise(stream_groups(spark, state, max_files), "best")
+    members = _with_group(arrived, groups)
+    is_head = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))
+    # full bytes of every hit against those of the row that stays, which may be an earlier one
     shared = groups.where("rows > 1")
-    hits = arrived.join(shared, "digest").select("doc_id", "row_key", "digest", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))).alias("head"))
-    contents = materialise(_fetch(docs, hits).dropDuplicates(["doc_id", "row_key"]), "hits")
-    heads = contents.where("head").select("digest", F.col("content").alias("head_content"))
-    clashes = contents.where("not head").join(heads, "digest").where("content != head_content").select("digest").distinct()
+    all_arrived = arrived if earlier is None else spark.read.schema(_ARRIVAL).parquet(f"{state}/arrivals").groupBy(*(c for c in arrived.columns if c != "copies")).agg(F.sum("copies").alias("copies"))
+    known = docs.select("doc_id", "text") if earlier is None else docs.select("doc_id", "text").unionByName(earlier.select("doc_id", "text"))
+    hits = _with_group(all_arrived, shared).select("doc_id", "row_key", "digest", is_head.alias("head"))
+    contents = materialise(_fetch(known, hits).dropDuplicates(["doc_id", "row_key"]), "hits")
+    heads = contents.where("head").select("digest", F.col("content").alias("head_content")).join(shared.select("digest", "rows"), "digest")
+    clashes = _with_group(contents.where("not head"), heads).where("content != head_content").select("digest").distinct()
     clashes = materialise(clashes, "clashes")
     if not clashes.isEmpty():
-        mixed = contents.join(clashes, "digest", "left_semi").join(arrived.select("doc_id", "row_key", "n_chars", "copies", "text_sha256").withColumnsRenamed({"doc_id": "d", "row_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).drop("d", "k")
+        mixed = contents.join(clashes, "digest", "left_semi").join(all_arrived.select("doc_id", "row_key", "n_chars", "copies", "text_sha256").withColumnsRenamed({"doc_id": "d", "row_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).drop("d", "k")
         best = mixed.groupBy("content").agg(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("order"), "doc_id", "row_key")).alias("best"), F.sum("copies").alias("rows"))
-        apart = mixed.join(best, "content")
-        members = members.join(clashes, "digest", "left_anti").select("doc_id", "row_key", "copies", "text_sha256", "best", "rows").unionByName(apart.select("doc_id", "row_key", "copies", "text_sha256", "best", "rows"))
-    each = members.select("doc_id", "row_key", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("rows").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row_key") == F.col("best.row_key"))).alias("head"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        apart = mixed.join(best, "content").select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("best").alias("own_best"), F.col("rows").alias("own_rows"))
+        mended = members.join(clashes, "digest", "left_semi").join(apart, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")))
+        columns = ["doc_id", "row_key", "copies", "text_sha256"]
+        members = members.join(clashes, "digest", "left_anti").select(*columns, "best", "rows").unionByName(mended.select(*columns, F.col("own_best").alias("best"), F.col("own_rows").alias("rows")))
+    each = members.select("doc_id", "row_key", "text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("rows").alias("group_size"), is_head.alias("head"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return each.select("doc_id", "row_key", "keep_id", "group_size", (F.col("head") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
