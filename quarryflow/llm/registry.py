@@ -54,14 +54,4 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
   row_number() OVER w = 1 AS kept, sha256(n) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id)""",
-    "op10_token_rollups": r"""
-WITH c AS (
-  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{024F}]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9\x{00C0}-\x{024F}]')) AS parts
-  FROM documents),
-v AS (
-  SELECT source, lang, 'words-1' AS version, words, words AS n FROM c UNION ALL
-  SELECT source, lang, 'parts-2', words, (parts + 1) // 2 FROM c)
-SELECT source, lang, version, count(*) FILTER (WHERE words >= 20) AS docs, coalesce(sum(n) FILTER (WHERE words >= 20), 0)::BIGINT AS tokens
-FROM v GROUP BY 1, 2, 3""",
 }

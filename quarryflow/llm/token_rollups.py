@@ -10,25 +10,31 @@ committed deltas; ``compact`` replaces old batches by one.
 
 Defined cases: null source or lang is a group of its own; null counts count as 0; an empty batch
 is committed and changes nothing; groups whose documents are all gone stay with zeros, so that a
-reader sees that they were emptied.
+reader sees that they were emptied; every row is a document of its own, also where doc_ids are
+null or repeated; other columns play no part; an empty table gives empty totals.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_lexicon import count_tokens
 from .common import WORD, materialise, scratch
 
-#: Tokenizer versions of the query: words between white space; letters, digits and marks apart.
-VERSIONS = {"words-1": WORD, "parts-2": "[A-Za-z\\u00C0-\\u024F]+|[0-9]+|[^\\x20\\x09-\\x0DA-Za-z0-9\\u00C0-\\u024F]"}
+#: Tokenizer versions of the query: words between white space, and a public BPE vocabulary.
+WORDS, BPE = "words-1", "word_bpe_49k"
+#: Letters of a token that a document brings before it is encoded.
+LETTERS = 4
 _DELTA = "source string, lang string, version string, d_docs long, d_tokens long"
 
 
 def changes(op: str, rows: DataFrame, old: str | None = None, new: str | None = None) -> DataFrame:
-    """Change rows of one kind from (doc_id, source, lang, version) and the named count columns."""
+    """Change rows of one kind from (source, lang, version) and the named count columns; a row is a document."""
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c else F.lit(0).cast("long")
-    return rows.select(F.lit(op).alias("op"), "doc_id", "source", "lang", "version", count(old).alias("old_tokens"), count(new).alias("new_tokens"))
+    return rows.select(F.lit(op).alias("op"), "source", "lang", "version", count(old).alias("old_tokens"), count(new).alias("new_tokens"))
 
 
 def delta(batch: DataFrame) -> DataFrame:
@@ -72,27 +78,39 @@ def compact(spark: SparkSession, root: str, to: str) -> str:
     return to
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, version, n_tokens of every document under every version, and n_letters, the count after a revision of the version."""
+def counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """source, lang, n_words, n_guess and n_tokens of every row: words, tokens as its length suggests, and tokens as encoded."""
+    docs.sparkSession.sparkContext.addFile(vocabulary_path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = [F.struct(F.lit(v).alias("version"), F.regexp_count(text, F.lit(p)).cast("long").alias("n_tokens")) for v, p in VERSIONS.items()]
-    return docs.select("doc_id", "source", "lang", F.explode(F.array(*each)).alias("c")).select("doc_id", "source", "lang", "c.version", "c.n_tokens")
+    guess = F.ceil(F.char_length(text) / LETTERS).cast("long")
+    return docs.select("source", "lang", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), guess.alias("n_guess"), count_tokens(os.path.basename(vocabulary_path))("text").alias("n_tokens"))
 
 
 #: Documents with fewer words are deleted again by the query's second batch.
 SHORT = 20
 
 
-def op10_token_rollups(spark, sf_dir: str) -> DataFrame:
-    """All documents arrive; short ones are deleted; counts of parts-2 are revised to count pairs of marks as one; a batch comes twice."""
+def op10_token_rollups(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """All documents arrive, with words and a guess of their tokens; short ones are deleted; the guesses of the others are revised to the counts of the encoder; a batch comes twice."""
+    if vocabulary_path is None:
+        import public_tokenizers
+
+        vocabulary_path = public_tokenizers.path("word_bpe_49k.json")
     root = scratch(spark, "rollups")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = materialise(counts(docs), "counts")
-    commit(spark, root, 1, changes("insert", seen, new="n_tokens"))
-    short = seen.where(F.col("version") == "words-1").where(F.col("n_tokens") < SHORT).select("doc_id")
-    gone = seen.join(short, "doc_id", "left_semi")
-    commit(spark, root, 2, changes("delete", gone, old="n_tokens"))
-    stay = seen.where(F.col("version") == "parts-2").join(short, "doc_id", "left_anti").withColumn("revised", F.floor((F.col("n_tokens") + 1) / 2))
-    commit(spark, root, 3, changes("revise", stay, old="n_tokens", new="revised"))
-    commit(spark, root, 2, changes("delete", gone, old="n_tokens"))  # delivered again: nothing happens
+    seen = materialise(counts(docs, vocabulary_path), "counts")
+
+    def of(rows: DataFrame, version: str, *columns: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("version"), *columns)
+
+    def both(op: str, rows: DataFrame, which: str) -> DataFrame:
+        kinds = [changes(op, of(rows, v, c), **{which: c}) for v, c in ((WORDS, "n_words"), (BPE, "n_guess"))]
+        return kinds[0].unionByName(kinds[1])
+
+    short = F.col("n_words") < SHORT
+    commit(spark, root, 1, both("insert", seen, "new"))
+    gone = both("delete", seen.where(short), "old")
+    commit(spark, root, 2, gone)
+    commit(spark, root, 3, changes("revise", of(seen.where(~short), BPE, "n_guess", "n_tokens"), old="n_guess", new="n_tokens"))
+    commit(spark, root, 2, gone)  # delivered again: nothing happens
     return totals(spark, root)

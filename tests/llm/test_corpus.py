@@ -131,6 +131,16 @@ def test_exact_dedup_equals_brute_force_also_when_digests_clash(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in expected.items() if x[2])
 
 
+def test_exact_dedup_state_outlives_a_call(spark):
+    """Several micro-batches, a restart with the same state, and arrivals of a second day that meet those of the first."""
+    state = scratch(spark, "kept")
+    first, second = docs_of(spark, ["a b", "c", "a  b", "c", None], [1, 2, 3, 4, 5]).repartition(5), docs_of(spark, ["a   b", "d", "c", ""], [11, 12, 13, None]).repartition(4)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(first, max_files=1, state=state).collect()}
+    assert got == {1: (3, 2, False), 3: (3, 2, True), 2: (2, 2, True), 4: (2, 2, False), 5: (5, 1, True)}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(second, max_files=1, state=state, earlier=first).collect()}
+    assert got == {11: (11, 3, True), 12: (12, 1, True), 13: (2, 3, False), None: (5, 2, False)}
+
+
 def test_prefix_hashes_find_common_extensions():
     a, b = (fingerprints.PrefixHash(fingerprints.code_points(x)) for x in ("xxabcdefé😀z", "abcdefé😀y"))
     assert a.common_extension(2, b, 0) == 8 and a.common_extension(0, b, 0) == 0 and a.equal(2, b, 0, 8) and not a.equal(2, b, 0, 9)
@@ -150,6 +160,29 @@ def test_fingerprints_of_edited_texts(spark):
     assert fingerprints.fingerprint_with_next(docs_of(spark, ["only"], [9])).first().near_next == 1.0
 
 
+def test_fingerprints_follow_exact_shares(spark):
+    """near_edited and near_next against the exact share of word spans, and common beginnings letter by letter."""
+    texts = corpus()
+    spans = lambda t: {" ".join(w[k : k + 5]) for w in [(t or "").split(" ")] for k in range(len(w) - 4)}
+    share = lambda a, b: len(a & b) / max(1, len(a | b))
+    begin = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    off = []
+    for r in fingerprints.fingerprint_with_next(docs_of(spark, texts)).collect():
+        t, n = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + n[:cut]
+        assert (r.same_edited, r.same_next) == (begin(t, edited), begin(t, n))
+        if min(len(spans(x)) for x in (t, n, edited)) > 50:
+            off += [abs(r.near_edited - share(spans(t), spans(edited))), abs(r.near_next - share(spans(t), spans(n)))]
+    assert len(off) > 100 and np.mean(off) < 0.05 and max(off) < 0.25
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = fingerprints.fingerprint_with_next(docs_of(spark, ["x y"] * 3000 + ["a" * 200000, None], [None] * 2500 + [7] * 500 + [8, 8]))
+    assert rows.where("doc_id is null").count() == 2500 and rows.where("doc_id = 7").count() == 500
+    assert sorted(r.n_chars for r in rows.where("doc_id = 8").collect()) == [0, 200000]
+
+
 def test_likeness_across_the_limit_of_short_texts():
     r = random.Random(2)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60)]
@@ -175,6 +208,16 @@ def test_warc_round_trip(spark):
     assert all(len(r.requests) == 1 and len(r.metadata) == 1 for r in nested.collect())
 
 
+def test_warc_headers_and_lost_responses(spark):
+    df = spark.createDataFrame([(1, "http://a/\r\n\r\nx y", "z" * 1500), (2, "u\tv", "z" * 1500)], "page_id long, url string, html string")
+    found = warc.read_archives(spark, warc.write_archives(df, scratch(spark, "warc")))
+    assert {r.uri for r in found.collect()} == {"http://a/%0D%0A%0D%0Ax y", "u%09v"}
+    alone = warc.capture_table(warc.assemble(found.where("kind != 'response'"))).collect()
+    assert [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in alone] == [(1, 0, hashlib.sha1(b"z" * 1500).hexdigest(), "revisit", None)]
+    record = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <r>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [x[3] for x in warc.parse(record * 2)] == [["<a>", "<b>"]] * 2
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -321,6 +364,27 @@ def test_rollups_commit_once(spark):
     assert sorted((str(r.source), str(r.lang), r.version, r.docs, r.tokens) for r in token_rollups.totals(spark, to).collect()) == want
 
 
+def test_rollups_of_documents_equal_brute_force(spark):
+    """Every row counts, also those with null or repeated ids; tokens are those of the library."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = corpus()[:30] + ["short one", "", None, "x " * 30, "x " * 30]
+    ids = [None if i % 7 == 0 else i // 2 for i in range(len(texts))]
+    folder = scratch(spark, "rows")
+    for rows, name in ((docs_of(spark, texts, ids).withColumn("version", F.lit("clash")).withColumn("n_tokens", F.lit(1)), "some"), (docs_of(spark, []), "none")):
+        rows.write.parquet(f"{folder}/{name}/documents.parquet")
+    want: dict = {}
+    for i, t in enumerate(texts):
+        n = len(WORD.findall(t or ""))
+        for version, tokens in (("words-1", n), ("word_bpe_49k", len(library.encode(t or "", add_special_tokens=False).ids))):
+            have = want.setdefault((f"src{i % 5}", version), [0, 0])
+            have[0] += n >= token_rollups.SHORT
+            have[1] += tokens if n >= token_rollups.SHORT else 0
+    got = {(r.source, r.version): [r.docs, r.tokens] for r in token_rollups.op10_token_rollups(spark, f"{folder}/some").collect()}
+    assert got == want
+    assert token_rollups.op10_token_rollups(spark, f"{folder}/none").count() == 0
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
