@@ -28,6 +28,7 @@ import os
 import re
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ from .common import materialise
 
 LEXICON = 1 << 16
 #: Pieces a task keeps before it starts a new table; and pieces that it counts before it sends their counts on.
-KEEP, COUNTED = 1 << 18, 1 << 19
+KEEP, COUNTED = 3 << 18, 1 << 19
 #: Letters from which on a word is merged by a heap.
 LONG = 64
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -244,6 +245,7 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
         self.table = token_table(merges.names)
+        self.numbers = np.array([str(i) for i in range(len(self.table))], dtype=object)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True)) + ")") if merges.special else None
 
     def word(self, word: str) -> list[int]:
@@ -271,32 +273,27 @@ class Encoder:
 
 
 class Kept(dict):
-    """piece -> (ids as text, ids as bytes), each encoded when it is first asked for; starts anew beyond ``KEEP`` pieces."""
+    """piece -> its ids as bytes, each encoded when it is first asked for; starts anew beyond ``KEEP`` pieces."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) > KEEP:
             self.clear()
-        ids = self.encoder.piece(piece)
-        self[piece] = found = (" ".join(map(str, ids)), np.array(ids, np.int32).tobytes())
+        encoder = self.encoder
+        if "<" in piece:
+            found = _raw(encoder.piece(piece))
+        else:
+            # words are kept like pieces, so that one is merged once however it is written and whatever mark follows it
+            found = b"".join([self[w] if w != piece and w.isascii() else _raw(encoder.word(w)) for w in pretokens(piece)])
+        self[piece] = found
         return found
 
 
-class KeptCounts(dict):
-    """piece -> number of its tokens, likewise."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) > KEEP:
-            self.clear()
-        self[piece] = found = len(self.encoder.piece(piece))
-        return found
+def _raw(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def pieces_of(text: str) -> list[str]:
@@ -348,10 +345,9 @@ def _encode(vocabulary: str, lexicon: str, keep_ids: bool):
                 part = batch.slice(at, 256)
                 rows = []
                 for text in part.column("text"):
-                    found = [x for x in map(kept.__getitem__, pieces_of(text.as_py() or "")) if x[1]]
-                    ids = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
+                    ids = np.frombuffer(b"".join(map(kept.__getitem__, pieces_of(text.as_py() or ""))), np.int32)
                     tokens = text_of(ids, encoder.table)
-                    rows.append((len(ids), hashlib.sha256(" ".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(tokens.encode("utf-8")).hexdigest(), *((ids, tokens) if keep_ids else ())))
+                    rows.append((len(ids), hashlib.sha256(" ".join(encoder.numbers[ids].tolist()).encode()).hexdigest(), hashlib.sha256(tokens.encode("utf-8")).hexdigest(), *((ids, tokens) if keep_ids else ())))
                 columns = list(zip(*rows))
                 arrays = [part.column("row"), pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])]
                 names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
@@ -405,9 +401,9 @@ def count_tokens(vocabulary: str):
 
     @F.arrow_udf("long")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        count = KeptCounts(_encoder(vocabulary, None)).__getitem__
+        kept = Kept(_encoder(vocabulary, None)).__getitem__
         for texts in columns:
-            yield pa.array([sum(map(count, pieces_of(x.as_py() or ""))) for x in texts], pa.int64())
+            yield pa.array([sum(map(len, map(kept, pieces_of(x.as_py() or "")))) // 4 for x in texts], pa.int64())
 
     return run
 
