@@ -118,6 +118,14 @@ def calendar(spark: SparkSession, start: str, end: str, step: str = "1 day", bus
     return days.where(F.weekday("d") < 5) if business else days
 
 
+def calendar_of(df: DataFrame, c: str, step: str = "1 day", business: bool = False) -> DataFrame:
+    """One row for each day, or first of a month, from the least to the largest date of a column."""
+    low, high = F.min(c).cast("date"), F.max(c).cast("date")
+    ends = df.agg((F.trunc(low, "month") if "month" in step else low).alias("low"), high.alias("high"))
+    days = ends.select(F.explode(F.expr(f"sequence(low, high, interval {step})")).alias("d"))
+    return days.where(F.weekday("d") < 5) if business else days
+
+
 def json_get(c, fields: dict[str, str]) -> dict[str, Column]:
     return {out: F.get_json_object(col(c), path) for out, path in fields.items()}
 
@@ -128,12 +136,18 @@ def json_explode(df: DataFrame, c: str, path: str, element: str, out: str) -> Da
 
 
 def hash_key(cols: list, sep: str = "||") -> Column:
-    """md5 business key; the separator keeps ('ab','c') and ('a','bc') apart, and null differs from ''."""
-    return F.md5(F.concat_ws(sep, *(F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in cols)))
+    """md5 business key; the separator keeps ('ab','c') and ('a','bc') apart, also where values hold it, and null differs from ''."""
+    return F.md5(_joined(cols, sep))
+
+
+def _joined(cols: list, sep: str) -> Column:
+    mark = sep[0]
+    escaped = lambda c: F.replace(F.replace(col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(mark), F.lit("\\" + mark))
+    return F.concat_ws(sep, *(F.coalesce(escaped(c), F.lit("\x00")) for c in cols))
 
 
 def row_checksum(cols: list, sep: str = "||") -> Column:
-    return F.sha2(F.concat_ws(sep, *(F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in cols)), 256)
+    return F.sha2(_joined(cols, sep), 256)
 
 
 def count_if(condition: Column) -> Column:

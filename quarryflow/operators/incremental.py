@@ -44,7 +44,9 @@ def merge_add(target: DataFrame, delta: DataFrame, keys: list[str], measures: li
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(source.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    """The target and, once each, the source rows whose keys it lacks; null keys are keys like others, and of repeated ones any row is taken."""
+    new = source.dropDuplicates(keys).alias("s").join(target.alias("t"), _aligned(keys), "left_anti")
+    return target.unionByName(new.select(*target.columns))
 
 
 def update(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -58,9 +60,9 @@ def delete(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def cdc_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """INSERT, UPDATE and DELETE between two snapshots, with both rows as JSON."""
+    """INSERT, UPDATE and DELETE between two snapshots, with both rows as JSON; a null key is a key like others."""
     cols = [c for c in old.columns if c not in keys]
-    j = old.withColumn("_t", F.lit(True)).alias("t").join(new.withColumn("_s", F.lit(True)).alias("s"), [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "outer")
+    j = old.withColumn("_t", F.lit(True)).alias("t").join(new.withColumn("_s", F.lit(True)).alias("s"), _aligned(keys), "outer")
     op = F.when(F.col("t._t").isNull(), "INSERT").when(F.col("s._s").isNull(), "DELETE").when(changed(cols), "UPDATE")
     row = lambda side, mark: F.when(F.col(mark), F.to_json(F.struct(*(F.col(f"{side}.{c}") for c in old.columns))))
     return j.select(*(F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in keys), op.alias("op"), row("t", "t._t").alias("old_row"), row("s", "s._s").alias("new_row")).where("op is not null")
@@ -96,9 +98,11 @@ def save_version(df: DataFrame, root: str, operation: str = "WRITE", saved_at: s
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None, at: str | None = None) -> DataFrame:
-    """A version by number, the one current at a time, or the latest."""
+    """A version by number, the one current at a time, or the latest; a time before the first version is an error."""
     if at is not None:
         version = _manifest(spark, root).where(F.col("saved_at") <= F.lit(at).cast("timestamp")).agg(F.max("version")).first()[0]
+        if version is None:
+            raise ValueError(f"no version at {at}")
     if version is None:
         version = max(versions(spark, root))
     return spark.read.parquet(f"{root}/data/version={version}")

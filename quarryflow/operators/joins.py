@@ -18,17 +18,18 @@ def overlap_join(facts: DataFrame, periods: DataFrame, start: str, end: str, p_s
 
     Both sides are cut into calendar buckets, so the join has an equality to shuffle or
     broadcast by instead of comparing everything; a pair is taken in the first bucket it shares.
-    Facts without an end last until the last period does.
+    Facts without an end last until the last period does, and those that began before the first
+    period count from there.
     """
-    last = periods.agg(F.max(p_end).alias("_last"))
+    last = periods.agg(F.max(p_end).alias("_last"), F.min(p_start).alias("_first"))
     f = facts.crossJoin(F.broadcast(last)).withColumn("_to", F.least(F.coalesce(F.col(end), F.col("_last")), F.col("_last")))  # one row
     step = F.expr(f"interval 1 {bucket}")
     buckets = lambda lo, hi: F.explode(F.when(lo <= hi, F.sequence(F.date_trunc(bucket, lo), F.date_trunc(bucket, hi), step)))
-    f = f.withColumn("_bucket", buckets(F.col(start).cast("timestamp"), F.col("_to").cast("timestamp")))
+    f = f.withColumn("_bucket", buckets(F.greatest(F.col(start).cast("timestamp"), F.col("_first").cast("timestamp")), F.col("_to").cast("timestamp")))
     p = periods.withColumn("_bucket", buckets(F.col(p_start).cast("timestamp"), F.col(p_end).cast("timestamp")))
     first = F.greatest(F.date_trunc(bucket, F.col(start)), F.date_trunc(bucket, F.col(p_start))) == F.col("_bucket")
     hit = (F.col(start) <= F.col(p_end)) & (F.col(end).isNull() | (F.col(end) > F.col(p_start)))
-    return f.join(p, "_bucket").where(hit & first).drop("_bucket", "_to", "_last")
+    return f.join(p, "_bucket").where(hit & first).drop("_bucket", "_to", "_last", "_first")
 
 
 def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: str, valid_to: str, how: str = "left") -> DataFrame:

@@ -40,10 +40,35 @@ def outliers(df: DataFrame, c: str, method: str = "iqr", k: float | None = None,
 
 
 def validate_split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejected): rejected rows carry the names of the rules they break; a null condition is broken."""
+    """(clean, rejected): rejected rows carry the names of the rules they break in ``errors``, joined in ``reason``; a null condition is broken.
+
+    Clean rows keep all their columns; of rejected ones, columns of these two names are replaced.
+    """
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
-    x = df.withColumn("errors", broken)
-    return x.where(F.size("errors") == 0).drop("errors"), x.where(F.size("errors") > 0).withColumn("reason", F.concat_ws("; ", "errors"))
+    x = df.withColumn("_broken", broken)
+    return x.where(F.size("_broken") == 0).drop("_broken"), x.where(F.size("_broken") > 0).withColumns({"errors": F.col("_broken"), "reason": F.concat_ws("; ", "_broken")}).drop("_broken")
+
+
+def handle_nulls(df: DataFrame, drop: list[str] = (), flag: list[str] = (), fill: dict | None = None) -> DataFrame:
+    """Nulls by column: rows of ``drop`` go, ``flag`` adds <c>_was_null, ``fill`` gives a value, or ("mean" | "median", group column or None).
+
+    Medians are approximate, as exact ones gather a group's values in one task.  A group without
+    any value keeps its nulls.
+    """
+    df = df.dropna(subset=list(drop)) if drop else df
+    df = df.withColumns({f"{c}_was_null": F.col(c).isNull() for c in flag}) if flag else df
+    for c, how in (fill or {}).items():
+        if not isinstance(how, tuple):
+            df = df.withColumn(c, F.coalesce(F.col(c), F.lit(how)))
+            continue
+        kind, group = how
+        value = (F.avg(c) if kind == "mean" else F.percentile_approx(c, 0.5, 10000)).alias("_fill")
+        if group is None:
+            df = df.crossJoin(F.broadcast(df.agg(value)))  # one row
+        else:
+            df = df.join(df.groupBy(F.col(group).alias("_group")).agg(value), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+        df = df.withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
+    return df
 
 
 def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None) -> DataFrame:

@@ -91,10 +91,15 @@ def expiring(df: DataFrame, date_col: str, as_of: str, days: int) -> DataFrame:
 
 
 def time_intel(df: DataFrame, month: str, value: str) -> DataFrame:
-    """Year to date, quarter over quarter and year over year of a table with one row for each month."""
+    """Year to date, quarter over quarter and year over year of a table with one row for each month.
+
+    Months without a row have no value, and are in the calendar that the others are compared by.
+    """
     every = Window.orderBy(month)  # months, not facts
     ytd = Window.partitionBy(F.year(month)).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"ytd": F.sum(value).over(ytd), "qoq": F.col(value) - F.lag(value, 3).over(every), "yoy": F.col(value) - F.lag(value, 12).over(every)})
+    months = df.agg(F.min(month).alias("_low"), F.max(month).alias("_high")).select(F.explode(F.expr("sequence(_low, _high, interval 1 month)")).alias(month))
+    dense = months.join(df.withColumn("_there", F.lit(True)), month, "left")
+    return dense.withColumns({"ytd": F.sum(value).over(ytd), "qoq": F.col(value) - F.lag(value, 3).over(every), "yoy": F.col(value) - F.lag(value, 12).over(every)}).where("_there").drop("_there")
 
 
 def restrict(df: DataFrame, entitlements: DataFrame, user: str, on: str) -> DataFrame:

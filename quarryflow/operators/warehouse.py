@@ -28,7 +28,12 @@ def scd2_init(source: DataFrame, keys: list[str], attrs: list[str], as_of: Colum
 
 
 def scd2_apply(dim: DataFrame, source: DataFrame, keys: list[str], attrs: list[str], as_of: Column) -> DataFrame:
-    """Expire changed current rows, add their new version and new keys.  Intervals are half-open; an open end is null."""
+    """Expire changed current rows, add their new version and new keys.  Intervals are half-open; an open end is null.
+
+    Source keys must not repeat: that is checked, as a key would get two current rows.
+    """
+    if not source.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"the source repeats keys of {keys}")
     current, old = dim.where("is_current"), dim.where("not is_current")
     same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     j = current.alias("t").join(source.withColumn("_hit", F.lit(True)).alias("s"), same, "left")
@@ -58,18 +63,20 @@ def scd4_split(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
 def surrogate_key(df: DataFrame, order: list[str], out: str = "sk") -> DataFrame:
     """Dense keys from 1 in a total order, without gathering the rows in one task.
 
-    Rows are range-partitioned; the counts per partition (one small row each) give the offsets.
+    Rows are range-partitioned and numbered within their partition as they are written, by the
+    number that Spark makes of partition and position; the counts per partition (one small row
+    each) give the offsets.  So the rows are shuffled once.
     """
     from ..sources.io import scratch
 
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     path = scratch(df.sparkSession, "ranged")
     ranged.write.parquet(path)  # fixes which row is in which part, also if executors are lost later
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))  # one row a partition
-    w = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + F.row_number().over(w)).drop("_part", "_offset")
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + within + 1).drop("_part", "_offset", "_id")
 
 
 def hub(df: DataFrame, key: str, source: str, known: DataFrame | None = None) -> DataFrame:

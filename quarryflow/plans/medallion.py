@@ -29,15 +29,12 @@ def silver_master(df: DataFrame, key: str, ranges: dict[str, tuple], order: list
     return dedup_latest(df, [key], order)
 
 
-def silver_events(df: DataFrame, money: list[str], dates: list[str], closed: str) -> DataFrame:
-    """Typed money (not negative) and dates, and a quality flag: MISSING, OPEN or CLEAN."""
+def silver_events(df: DataFrame, money: list[str], dates: list[str], closed: str, owner: str) -> DataFrame:
+    """Typed money and dates, and a quality flag: OPEN without a closing date, else MISSING without an owner, else CLEAN.  Rows whose money is null or negative go."""
     df = df.withColumns({c: F.col(c).try_cast("double") for c in money} | {c: F.col(c).try_cast("date") for c in dates})
     for c in money:
-        df = df.where(F.col(c).isNull() | (F.col(c) >= 0))
-    missing = F.lit(False)
-    for c in money:
-        missing = missing | F.col(c).isNull()
-    return df.withColumn("quality_flag", F.when(missing, "MISSING").when(F.col(closed).isNull(), "OPEN").otherwise("CLEAN"))
+        df = df.where(F.col(c) >= 0)
+    return df.withColumn("quality_flag", F.when(F.col(closed).isNull(), "OPEN").when(F.col(owner).isNull(), "MISSING").otherwise("CLEAN"))
 
 
 def gold_risk(entities: DataFrame, sides: dict[str, DataFrame], key: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -192,11 +192,11 @@ def join_nonequi(spark, d):
 
 
 @q("""WITH s AS (SELECT o_orderkey, o_orderdate AS a, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days((o_orderkey % 90)::INT) END AS b FROM orders),
-m AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS p) SELECT p::DATE AS month, count(*) AS active
+m AS (SELECT unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS p FROM (SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high FROM orders)) SELECT p::DATE AS month, count(*) AS active
 FROM s JOIN m ON a <= last_day(p) AND (b IS NULL OR b > p) GROUP BY 1""")
 def join_interval_overlap(spark, d):
     s = load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.make_dt_interval(F.pmod("o_orderkey", F.lit(90)).cast("int"))).alias("b"))
-    m = X.calendar(spark, "1996-01-01", "1996-12-01", "1 month").select(F.col("d").alias("month"), F.last_day("d").alias("to"))
+    m = X.calendar_of(load(spark, d, "orders"), "o_orderdate", "1 month").select(F.col("d").alias("month"), F.last_day("d").alias("to"))
     return J.overlap_join(s, m, "a", "b", "month", "to").groupBy("month").agg(F.count("*").alias("active"))
 
 
@@ -316,9 +316,9 @@ def latest_per_group_max(spark, d):
 q.sql("cte_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT c_mktsegment, a.s FROM a JOIN customer ON c_custkey = a.o_custkey) SELECT c_mktsegment, round(max(s), 2) AS top FROM b GROUP BY c_mktsegment")
 
 
-@q("SELECT d::DATE AS d, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-03-31', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON o_orderdate = d GROUP BY 1")
+@q("SELECT d::DATE AS d, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY)) AS d FROM (SELECT date_trunc('day', min(o_orderdate))::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high FROM orders)) LEFT JOIN orders ON o_orderdate = d GROUP BY 1")
 def cte_recursive_dates(spark, d):
-    days = X.calendar(spark, "1996-01-01", "1996-03-31")
+    days = X.calendar_of(load(spark, d, "orders"), "o_orderdate")
     return days.join(load(spark, d, "orders"), F.col("o_orderdate") == F.col("d").cast("timestamp"), "left").groupBy("d").agg(F.count("o_orderkey").alias("n"))
 
 

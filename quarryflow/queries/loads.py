@@ -122,11 +122,11 @@ def star_fact(spark, d):
     return H.star_fact(load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer")), {"customer": (dim, "c_custkey", "sk")}).select("o_orderkey", "customer_sk")
 
 
-@q("""WITH p AS (SELECT last_day(m)::DATE AS e FROM (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS m)), k AS (SELECT DISTINCT o_orderpriority FROM orders)
-SELECT k.o_orderpriority, e AS month_end, round(coalesce(sum(o_totalprice), 0), 2) AS total, count(o_orderkey) AS events FROM k CROSS JOIN p LEFT JOIN orders o ON o.o_orderpriority = k.o_orderpriority AND o_orderdate::DATE <= e AND o_orderdate >= TIMESTAMP '1992-01-01' GROUP BY 1, 2""")
+@q("""WITH p AS (SELECT last_day(m)::DATE AS e FROM (SELECT unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS m FROM (SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high FROM orders))), k AS (SELECT DISTINCT o_orderpriority FROM orders)
+SELECT k.o_orderpriority, e AS month_end, round(coalesce(sum(o_totalprice), 0), 2) AS total, count(o_orderkey) AS events FROM k CROSS JOIN p LEFT JOIN orders o ON o.o_orderpriority = k.o_orderpriority AND o_orderdate::DATE <= e GROUP BY 1, 2""")
 def fact_periodic_snapshot(spark, d):
-    ends = X.calendar(spark, "1992-01-01", "1998-12-01", "1 month").select(F.last_day("d").alias("month_end"))
-    o = load(spark, d, "orders").where("o_orderdate >= '1992-01-01'")
+    o = load(spark, d, "orders")
+    ends = X.calendar_of(o, "o_orderdate", "1 month").select(F.last_day("d").alias("month_end"))
     return H.periodic_snapshot(o, ends, "o_orderpriority", "o_orderdate", "o_totalprice", "month_end").withColumn("total", F.round("total", 2))
 
 

@@ -31,10 +31,10 @@ def silver_master(spark, d):
     return M.silver_master(c, "seg", {"c_acctbal": (0, 9000)}, [F.desc("c_acctbal"), "c_custkey"])
 
 
-@q("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'MISSING' WHEN event_type = 'view' THEN 'OPEN' ELSE 'CLEAN' END AS quality_flag FROM events WHERE event_type = 'error' OR value >= 0""")
+@q("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'OPEN' WHEN user_id % 7 = 0 THEN 'MISSING' ELSE 'CLEAN' END AS quality_flag FROM events WHERE event_type <> 'error' AND value >= 0""")
 def silver_events(spark, d):
-    e = load(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "PENDING").otherwise(F.col("value").cast("string")).alias("amount"), F.when(F.col("event_type") != "view", F.date_format("ts", "yyyy-MM-dd")).alias("closed"))
-    return M.silver_events(e, ["amount"], ["closed"], "closed").select("event_id", "quality_flag")
+    e = load(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "PENDING").otherwise(F.col("value").cast("string")).alias("amount"), F.when(F.col("event_type") != "view", F.date_format("ts", "yyyy-MM-dd")).alias("closed"), F.when(F.pmod("user_id", F.lit(7)) != 0, F.col("user_id")).alias("owner"))
+    return M.silver_events(e, ["amount"], ["closed"], "closed", "owner").select("event_id", "quality_flag")
 
 
 _RISK = """WITH o AS (SELECT o_custkey AS k, count(*) AS claims FROM orders GROUP BY 1), e AS (SELECT user_id AS k, count(*) FILTER (WHERE event_type = 'error') AS incidents FROM events GROUP BY 1),
@@ -118,10 +118,10 @@ def _subs(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("account"), F.col("o_orderpriority").alias("plan"), price.alias("price"), F.col("o_orderdate").alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.expr("interval 60 days")).alias("b"))
 
 
-@q(f"""WITH {_SUBS}, m AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-01', INTERVAL 1 MONTH)) AS p) SELECT p::DATE AS month, plan, count(DISTINCT account) AS accounts, count(DISTINCT account) * any_value(price) AS mrr
+@q(f"""WITH {_SUBS}, m AS (SELECT unnest(generate_series(low, high, INTERVAL 1 MONTH)) AS p FROM (SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high FROM orders)) SELECT p::DATE AS month, plan, count(DISTINCT account) AS accounts, count(DISTINCT account) * any_value(price) AS mrr
 FROM s JOIN m ON a <= last_day(p) AND (b IS NULL OR b > p) GROUP BY 1, 2""")
 def mrr_by_plan(spark, d):
-    months = X.calendar(spark, "1995-01-01", "1995-12-01", "1 month").select(F.col("d").alias("month"), F.last_day("d").alias("month_end"))
+    months = X.calendar_of(load(spark, d, "orders"), "o_orderdate", "1 month").select(F.col("d").alias("month"), F.last_day("d").alias("month_end"))
     return S.mrr(_subs(spark, d), months, "a", "b", "plan", "price", "account").withColumn("mrr", F.col("mrr").cast("long"))
 
 
@@ -215,12 +215,19 @@ def _events(spark, d, files: int = 4):
     return T.stream_source(spark, path, e.schema, max_files=1)
 
 
+#: Rows of one file that arrives, on average.
+FILE_ROWS = 1_000_000
+
+
 def _arrive(e, path: str, files: int = 4) -> None:
-    """Write files that come in order of time: the stream takes them by their age."""
+    """Write files of a bounded number of rows that come in order of time: the stream takes them by their age.  Rows without a time are in the first."""
+    files = max(files, -(-e.count() // FILE_ROWS))
     cuts = [F.timestamp_seconds(F.lit(x)) for x in e.select(F.unix_timestamp("ts").alias("s")).stat.approxQuantile("s", [i / files for i in range(1, files)], 0.01)]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = e if low is None else e.where(F.col("ts") >= low)
-        (part if high is None else part.where(F.col("ts") < high)).coalesce(1).write.mode("append").json(path)
+        if high is not None:
+            part = part.where((F.col("ts") < high) | F.col("ts").isNull()) if low is None else part.where(F.col("ts") < high)
+        part.coalesce(1).write.mode("append").json(path)
 
 
 def _run(spark, stream, schema=None):

@@ -140,9 +140,9 @@ q.sql("set_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_cus
 q.sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 
 
-@q("SELECT o_orderstatus, coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 0) AS \"1-URGENT\", coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW'), 0) AS \"5-LOW\" FROM orders GROUP BY 1")
+@q("SELECT o_orderstatus, coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 0) AS \"1-URGENT\", coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH'), 0) AS \"2-HIGH\", coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '3-MEDIUM'), 0) AS \"3-MEDIUM\", coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED'), 0) AS \"4-NOT SPECIFIED\", coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW'), 0) AS \"5-LOW\" FROM orders GROUP BY 1")
 def pivot_wide(spark, d):
-    return R.pivot_wide(orders(spark, d), ["o_orderstatus"], "o_orderpriority", "o_totalprice", ["1-URGENT", "5-LOW"])
+    return R.pivot_wide(orders(spark, d), ["o_orderstatus"], "o_orderpriority", "o_totalprice", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @q("SELECT l_orderkey, l_linenumber, unnest(['l_tax', 'l_discount']) AS variable, unnest([l_tax, l_discount]) AS value FROM lineitem")
@@ -238,9 +238,9 @@ def tz_convert(spark, d):
     return events(spark, d).select("event_id", X.convert_tz(F.col("ts").cast("timestamp"), "America/New_York", "Europe/Paris").cast("timestamp_ntz").alias("local_ts"))
 
 
-@q("SELECT d::DATE AS d, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1997-02-28', INTERVAL 1 DAY)) AS d) LEFT JOIN orders ON o_orderdate::DATE = d::DATE WHERE isodow(d) < 6 GROUP BY 1")
+@q("SELECT d::DATE AS d, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY)) AS d FROM (SELECT date_trunc('day', min(o_orderdate))::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high FROM orders)) LEFT JOIN orders ON o_orderdate::DATE = d::DATE WHERE isodow(d) < 6 GROUP BY 1")
 def calendar_dim(spark, d):
-    days = X.calendar(spark, "1997-01-01", "1997-02-28", business=True)
+    days = X.calendar_of(orders(spark, d), "o_orderdate", business=True)
     return days.join(orders(spark, d), F.col("o_orderdate").cast("date") == F.col("d"), "left").groupBy("d").agg(F.count("o_orderkey").alias("n"))
 
 
@@ -259,9 +259,9 @@ def bin_quantile(spark, d):
     return X.qcut(load(spark, d, "customer"), "c_acctbal", ["q1", "q2", "q3", "q4"], "bin").select("c_custkey", "bin")
 
 
-@q("SELECT vec_id, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings")
+@q("SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings")
 def array_explode(spark, d):
-    return load(spark, d, "embeddings").select("vec_id", F.explode(F.slice("embedding", 1, 4)).alias("x")).select("vec_id", F.col("x").cast("double").alias("x"))
+    return load(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.col("x").cast("double").alias("x"))
 
 
 @q("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")

@@ -66,12 +66,15 @@ def land_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process."""
+    import re
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarryflow.scratch.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-quarryflow-")
         spark.conf.set("quarryflow.scratch.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

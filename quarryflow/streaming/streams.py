@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,11 @@ def enrich(stream: DataFrame, static: DataFrame, key: str, how: str = "inner") -
 
 
 def stream_upsert(df: DataFrame, root: str, keys: list[str], order: str, checkpoint: str):
-    """Upsert each micro-batch into a versioned snapshot; a batch that comes again is recognised by its number and skipped."""
+    """Upsert each micro-batch into a versioned snapshot, saved at the time it is applied.
+
+    A batch that comes again is recognised by its number and skipped; a row that comes later but
+    is older, by ``order``, than what the table has of its key changes nothing.
+    """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = incremental.versions(spark, root)
@@ -38,6 +44,9 @@ def stream_upsert(df: DataFrame, root: str, keys: list[str], order: str, checkpo
             return
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in batch.columns if c not in keys)), order).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
         target = incremental.read_version(spark, root) if done else last.limit(0)
-        incremental.save_version(incremental.upsert(target, last, keys), root, f"BATCH {number}")
+        before = target.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(order).alias("_before"))
+        newer = last.join(before, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").where(F.col("_before").isNull() | (F.col(order) >= F.col("_before"))).select(*batch.columns)
+        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f+00:00")
+        incremental.save_version(incremental.upsert(target, newer, keys), root, f"BATCH {number}", now)
 
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryflow.functions import columns as X
-from quarryflow.operators import aggregates, incremental, joins, quality, reshape, warehouse, windows
+from quarryflow.operators import aggregates, incremental, joins, quality, reshape, scoring, warehouse, windows
+from quarryflow.plans import medallion
 from quarryflow.sources import io
+from quarryflow.streaming import streams
 
 
 def rows(df):
@@ -122,3 +124,83 @@ def test_incremental_runs_are_idempotent(spark):
     assert incremental.incremental(df, root, "t", "ts") == 2
     assert incremental.incremental(df, root, "t", "ts") == 0
     assert incremental.read_incremental(spark, root, "t", df.schema).count() == 2
+
+
+def test_reading_before_the_first_version_is_an_error(spark):
+    root = io.scratch(spark, "versions")
+    incremental.save_version(spark.range(5), root, saved_at="2024-01-01 00:00:00")
+    incremental.save_version(spark.range(7), root, saved_at="2024-02-01 00:00:00")
+    assert incremental.read_version(spark, root, at="2024-01-15 00:00:00").count() == 5
+    with pytest.raises(ValueError):
+        incremental.read_version(spark, root, at="2020-01-01 00:00:00")
+
+
+def test_null_keys_are_keys(spark):
+    t = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    s = spark.createDataFrame([(None, "x"), (2, "c"), (2, "c")], "k int, v string")
+    assert sorted(str(tuple(r)) for r in incremental.insert_missing(t, s, ["k"]).collect()) == ["(1, 'b')", "(2, 'c')", "(None, 'a')"]
+    assert [r.op for r in incremental.cdc_diff(t, t, ["k"]).collect()] == []
+    assert [r.op for r in incremental.cdc_diff(t.where("k is null"), s.where("k is null"), ["k"]).collect()] == ["UPDATE"]
+
+
+def test_time_intel_counts_missing_months(spark):
+    months = [datetime.date(2020 + i // 12, i % 12 + 1, 1) for i in range(15) if i != 5]
+    df = spark.createDataFrame([(m, float(100 * (m.year - 2020) + m.month)) for m in months], "m date, v double")
+    got = {r.m: r for r in scoring.time_intel(df, "m", "v").collect()}
+    assert len(got) == 14 and got[datetime.date(2021, 1, 1)].yoy == 100.0
+    assert got[datetime.date(2020, 7, 1)].qoq == 3.0 and got[datetime.date(2020, 9, 1)].qoq is None
+
+
+def test_silver_events_ask_open_first_and_drop_null_money(spark):
+    df = spark.createDataFrame([(1, "5", None, None), (2, "5", "2024-01-01", None), (3, "5", "2024-01-01", "a"), (4, None, "2024-01-01", "a"), (5, "-1", None, "a")], "id int, amount string, closed string, owner string")
+    assert {r.id: r.quality_flag for r in medallion.silver_events(df, ["amount"], ["closed"], "closed", "owner").collect()} == {1: "OPEN", 2: "MISSING", 3: "CLEAN"}
+
+
+def test_scd2_rejects_repeated_source_keys(spark):
+    src = spark.createDataFrame([(1, "x")], "k int, a string")
+    dim = warehouse.scd2_init(src, ["k"], ["a"], F.lit("2024-01-01").cast("date"))
+    with pytest.raises(ValueError):
+        warehouse.scd2_apply(dim, src.union(src), ["k"], ["a"], F.lit("2024-02-01").cast("date"))
+
+
+def test_validate_split_keeps_a_column_named_errors(spark):
+    good, bad = quality.validate_split(spark.createDataFrame([(1, "own"), (-1, "own")], "x int, errors string"), {"positive": F.col("x") > 0})
+    assert good.first().errors == "own" and bad.first().errors == ["positive"] and bad.first().reason == "positive"
+
+
+def test_hash_key_escapes_its_separator(spark):
+    df = spark.createDataFrame([("a||b", "c"), ("a", "b||c"), ("a\\", "|b"), ("a", "|b")], "x string, y string")
+    assert df.select(X.hash_key(["x", "y"]), X.row_checksum(["x", "y"])).distinct().count() == 4
+
+
+def test_handle_nulls(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, "a", 3.0), (None, "a", 9.0), (4, None, None), (5, None, 8.0)], "id int, g string, v double")
+    got = {r.id: (r.v, r.v_was_null) for r in quality.handle_nulls(df, drop=["id"], flag=["v"], fill={"v": ("mean", "g")}).collect()}
+    assert got == {1: (1.0, False), 2: (2.0, True), 3: (3.0, False), 4: (8.0, True), 5: (8.0, False)}
+    assert {r.v for r in quality.handle_nulls(df, fill={"v": ("median", None), "g": "none"}).where("id in (2, 4)").collect()} == {3.0}
+
+
+def test_surrogate_keys_are_dense_after_one_shuffle(spark, capsys):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    out = warehouse.surrogate_key(df, ["k"])
+    assert rows(out) == [(k, k + 1) for k in range(1000)]
+    out.explain()
+    assert "hashpartitioning(k" not in capsys.readouterr().out
+
+
+def test_overlap_join_starts_with_the_first_period(spark):
+    day = datetime.date
+    facts = spark.createDataFrame([(1, day(1990, 1, 1), None), (2, day(2024, 1, 20), day(2024, 2, 10)), (3, day(1990, 1, 1), day(1991, 1, 1))], "id int, a date, b date")
+    periods = spark.createDataFrame([(day(2024, 1, 1), day(2024, 1, 31)), (day(2024, 2, 1), day(2024, 2, 29))], "p date, q date")
+    assert sorted((r.id, r.p.month) for r in joins.overlap_join(facts, periods, "a", "b", "p", "q").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_streamed_upsert_ignores_older_rows_and_keeps_times(spark):
+    root = io.scratch(spark, "upsert")
+    for day in ((1, 5, "new"), (1, 3, "old")):
+        spark.createDataFrame([day], "k int, at int, v string").write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("k int, at int, v string").parquet(f"{root}/in")
+        streams.stream_upsert(source, f"{root}/table", ["k"], "at", f"{root}/checkpoint").awaitTermination()
+    assert rows(incremental.read_version(spark, f"{root}/table")) == [(1, 5, "new")]
+    times = [r.saved_at for r in incremental.history(spark, f"{root}/table").orderBy("version").collect()]
+    assert len(times) == 2 and times[0] < times[1]
