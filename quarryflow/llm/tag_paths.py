@@ -1,22 +1,26 @@
 """HTML extraction by tag-path ratios.
 
-A small scanner walks the markup of a page once and yields its text leaves, each with its
-root-to-leaf tag path and the block that it belongs to.  Per path it adds up text length and
-punctuation.  The two are smoothed (each path takes a share of its parent path's mean), fused
-into one score (length times punctuation share) and cut at a threshold: the paths above it are
-content.  Their common container - an ``article`` or ``main`` element where they lie in one,
-else the deepest element that holds most of their text - gives the content nodes, so headings
-and short lines beside the long paragraphs stay.  Content beside the container is kept too: the
-largest element around it that does not hold the container, or, where there is none, the text
-that lies directly in the same element.
-
-Never content: elements whose tag or class, id or role says menu, header, footer, sidebar,
-notice, advert, form, comment, script or style; hidden elements; anything outside ``body``.
+A small scanner walks the markup of a page once and yields its text leaves, each with the element
+that holds it and its block.  Per root-to-leaf tag path it adds up text length and punctuation.
+The two are smoothed (each path takes a share of its parent path's mean), fused into one score
+(length times punctuation, against the number of parts) and cut at a threshold: leaves of the
+paths above it are content.  What stands with them stays too: the rest of their blocks, headings
+of a ``div``, ``section``, ``article``, ``main`` or ``body`` that holds content, and short text
+beside content in the same one of these, unless its block is made of links.  A part of the page
+without content of its own (a menu, a list of links, a line about rights) has no such leaf.
+
+Never content: elements whose tag says menu, footer, sidebar, form, script or style; a ``header``
+outside an article; hidden elements; anything outside ``body``; and prose that is not the
+article's, which no ratio can tell from it: elements whose class, id or role names comments,
+adverts, notices and the like.  Words that articles use as well (related, note, side) count as
+such names only by themselves or with a word like box, bar, list or posts.
 
 Text: character references decoded, white space within a block made one space, blocks trimmed,
 empty ones left out, joined in page order by one \\n.  Defined cases: null and empty html give
-an empty text; markup without any text gives an empty text; unclosed and stray tags are closed
-as HTML does; a page without a clear container gives all text outside the excluded parts.
+an empty text; markup without any text gives an empty text; text without markup is the text;
+unclosed and stray tags are closed as HTML does; pages that are repeated or share an id each get
+a row; null ids and urls stay null; other columns play no part; an empty table gives an empty
+result.  Time and memory grow with the length of a page, whatever its depth.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,21 +43,33 @@ _BLOCK = frozenset(
 )
 #: Elements whose content is text up to their own end tag.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_NEVER = frozenset("script style head title noscript template nav header footer aside form button select option textarea input label iframe object embed svg math canvas audio video menu dialog noembed noframes".split())
+_NEVER = frozenset("script style head title noscript template nav footer aside form button select option textarea input label iframe object embed svg math canvas audio video menu dialog noembed noframes".split())
 #: Elements that a start tag of the given kind closes if open (without leaving the element's container).
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 _ENDS_P = _BLOCK - {"body", "html", "title", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Elements that make a part of the page, and headings.
+_PARTS = frozenset("div section article main body".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header".split())
 _BOUNDARY = frozenset("table td th ul ol dl div section article body html caption button object".split())
-_BOILER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|comments?|disqus|respond|replies|reply|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|pagination|pager|login|search|form|toolbar|skip|contentinfo|navigation|complementary|hidden)(?:$|[-_\s\d])",
-    re.I,
-)
+#: Names of what is not the article, in any part of a class, id or role; and those that say so only alone or with a word of ``_WITH``.
+_NAMED = frozenset("ad ads advert adverts advertisement sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comment comments disqus cookie cookies consent popup modal newsletter subscribe signup share sharing pagination pager login search form toolbar contentinfo complementary hidden".split())
+_ALONE = frozenset("header foot side aside banner promo promos promotion notice notices note alert social related recommended widget respond replies reply skip".split())
+_WITH = frozenset("area articles bar block box buttons col column content inner items left link links list message news outer panel posts region right section site stories top widget wrap wrapper".split())
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=\D)(?=\d)")
 _PUNCT = re.compile(r"[.,;:!?…。、,¿¡]")
 _SPACES = re.compile(r"\s+")
 
 
-def _excluded(tag: str, attrs: str) -> bool:
-    if tag in _NEVER:
+def _names_boilerplate(value: str) -> bool:
+    for name in value.split():
+        parts = {x.lower() for x in _PART.split(name) if x and not x.isdigit()}
+        if parts & _NAMED or parts & _ALONE and not parts - _ALONE - _WITH:
+            return True
+    return False
+
+
+def _excluded(tag: str, attrs: str, in_article: bool) -> bool:
+    if tag in _NEVER or tag == "header" and not in_article:
         return True
     if attrs and tag not in ("html", "body", "article", "main"):
         for name, value in _MARK.findall(attrs):
@@ -61,149 +78,155 @@ def _excluded(tag: str, attrs: str) -> bool:
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in ("class", "id", "role") and _BOILER.search(value):
+            if name in ("class", "id", "role") and _names_boilerplate(value):
                 return True
     return False
 
 
-def leaves(page: str):
-    """(path, block number, text) of each text leaf outside the excluded elements; paths name each open element and its number."""
-    stack: list[list] = []  # tag, number, excluded so far
-    numbers = block = 0
-    out = []
-    at, end = 0, len(page)
+class Element(NamedTuple):
+    """An open element; places are those in the list of elements, whose first is the page itself."""
+
+    tag: str
+    #: Number of its tag path; place of the part of the page around it (itself, if it is one), and of the part around that.
+    path: int
+    part: int
+    within: int
+    hidden: bool
+    in_body: bool
+    in_article: bool
+    in_link: bool
+    heading: bool
+
+
+class Leaf(NamedTuple):
+    element: int
+    block: int
+    text: str
+
+
+def leaves(page: str) -> tuple[list[Element], list[int], list[Leaf]]:
+    """The elements of a page, the parent of each tag path, and its text leaves outside the excluded elements."""
+    elements = [Element("", 0, 0, 0, False, False, False, False, False)]
+    paths: dict[tuple[int, str], int] = {}
+    above = [0]
+    stack = [0]  # places of the open elements
+    depth: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag
+    walls = [-1]  # depths of the open elements that others do not reach across
+    found: list[Leaf] = []
+    block = at = 0
+    end = len(page)
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            tag = elements[stack.pop()].tag
+            depth[tag].pop()
+            if walls[-1] == len(stack):
+                walls.pop()
+
+    def say(text: str) -> None:
+        if text and not elements[stack[-1]].hidden:
+            found.append(Leaf(stack[-1], block, text))
+
     while at < end:
-        found = _TOKEN.match(page, at)
-        if found is None:  # an unclosed tag at the end
+        match = _TOKEN.match(page, at)
+        if match is None:  # an unclosed tag at the end
             break
-        at = found.end()
-        closing, tag, attrs, text = found.groups()
+        at = match.end()
+        closing, tag, attrs, text = match.groups()
         if text is not None:
             if text == "<" and _OPENED.match(page, at):  # the end of the page cuts a tag short
                 break
-            if stack and not stack[-1][2]:
-                out.append((tuple((t, n) for t, n, _ in stack), block, text))
+            say(text)
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BOUNDARY and tag not in _BOUNDARY:
-                    break
+            if depth[tag] and (tag in _BOUNDARY or depth[tag][-1] > walls[-1]):
+                close(depth[tag][-1])
             if tag in _BLOCK:
                 block += 1
             continue
         if tag == "br":
-            if stack and not stack[-1][2]:
-                out.append((tuple((t, n) for t, n, _ in stack), block, " "))
+            say(" ")
             continue
         shuts = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        if shuts:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shuts:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BOUNDARY and stack[i][0] != tag:
-                    break
+        last = max((depth[t][-1] for t in shuts if depth[t]), default=-1)
+        if last >= max(0, walls[-1]):
+            close(last)
         if tag in _BLOCK:
             block += 1
         if tag in _VOID:
             continue
-        numbers += 1
-        hidden = bool(stack and stack[-1][2]) or _excluded(tag, attrs or "")
+        up = elements[stack[-1]]
+        hidden = up.hidden or _excluded(tag, attrs or "", up.in_article)
         if tag in _RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            inner = page[at : stop.start() if stop else end]
+            if not hidden:
+                say(page[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-            if not hidden and inner:
-                out.append((tuple((t, n) for t, n, _ in stack), block, inner))
             if tag in _BLOCK:
                 block += 1
             continue
-        stack.append([tag, numbers, hidden])
-    return out
-
-
-def path_scores(found: list) -> dict[tuple, float]:
-    """Score of each tag path (tags only): text length and punctuation, smoothed along the path, fused."""
+        path = paths.setdefault((up.path, tag), len(above))
+        if path == len(above):
+            above.append(up.path)
+        place, own = len(elements), tag in _PARTS or tag == "td" and not up.in_article
+        named = tag in ("article", "main")
+        elements.append(Element(tag, path, place if own else up.part, up.part, hidden, up.in_body or tag == "body", up.in_article or named, up.in_link or tag == "a", up.heading or tag in _HEADINGS))
+        depth[tag].append(len(stack))
+        if tag in _BOUNDARY:
+            walls.append(len(stack))
+        stack.append(place)
+    return elements, above, found
+
+
+def path_scores(elements: list[Element], above: list[int], found: list[Leaf]) -> dict[int, float]:
+    """Score of each tag path: text length and punctuation, smoothed along the path, fused."""
     size, marks, parts = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, _, text in found:
-        tags = tuple(t for t, _ in path)
-        size[tags] += len(text.strip())
-        marks[tags] += len(_PUNCT.findall(text))
-        parts[tags] += 1
-    above = defaultdict(lambda: [0, 0])
-    for tags in size:
-        above[tags[:-1]][0] += size[tags]
-        above[tags[:-1]][1] += 1
-    scores = {}
-    for tags, n in size.items():
-        total, kinds = above[tags[:-1]]
-        smooth = 0.75 * n + 0.25 * total / kinds
-        scores[tags] = smooth * (1 + marks[tags]) / parts[tags] ** 0.5
-    return scores
-
-
-def _container(tag: str) -> bool:
-    return tag in _BOUNDARY or tag == "main"
-
-
-def _beside(content: list, roots: list[tuple]) -> tuple[set, set]:
-    """Largest containers outside ``roots`` that hold content, and containers whose own text holds some but whose other parts do not count."""
-    around = {r[:k] for r in roots for k in range(len(r) + 1)}
-    whole, direct = set(), set()
-    for path, _, text in content:
-        if not text.strip() or any(path[: len(r)] == r for r in roots):
-            continue
-        held = [path[:k] for k in range(1, len(path) + 1) if _container(path[k - 1][0])]
-        apart = [p for p in held if p not in around]
-        if apart:
-            whole.add(apart[0])
-        else:
-            direct.add(held[-1] if held else ())
-    return whole, direct
+    for leaf in found:
+        path = elements[leaf.element].path
+        size[path] += len(leaf.text.strip())
+        marks[path] += len(_PUNCT.findall(leaf.text))
+        parts[path] += 1
+    total, kinds = defaultdict(int), defaultdict(int)
+    for path, n in size.items():
+        total[above[path]] += n
+        kinds[above[path]] += 1
+    return {path: (0.75 * n + 0.25 * total[above[path]] / kinds[above[path]]) * (1 + marks[path]) / parts[path] ** 0.5 for path, n in size.items()}
 
 
 def main_text(page: str | None, threshold: float = 0.1) -> str:
     """The main text of one page; ``threshold`` is the share of the best path's score that a content path needs."""
-    found = leaves(page or "")
-    inside = [x for x in found if any(t == "body" for t, _ in x[0])] or found
-    scores = path_scores(inside)
+    elements, above, found = leaves(page or "")
+    if any(elements[x.element].in_body for x in found):
+        found = [x for x in found if elements[x.element].in_body]
+    scores = path_scores(elements, above, found)
     best = max(scores.values(), default=0.0)
     if best <= 0:
         return ""
-    good = {tags for tags, score in scores.items() if score >= threshold * best}
-    content = [x for x in inside if tuple(t for t, _ in x[0]) in good]
-    weight: dict[tuple, int] = defaultdict(int)
-    for path, _, text in content:
-        for k in range(1, len(path) + 1):
-            if _container(path[k - 1][0]):
-                weight[path[:k]] += len(text.strip())
-    total = sum(len(x[2].strip()) for x in content)
-    named = [p for p in weight if p[-1][0] in ("article", "main") and 2 * weight[p] >= total]
-    within = named or [p for p in weight if 4 * weight[p] >= 3 * total]
-    roots = [max(within, key=len)] if within else [()]
-    if not named:
-        # several articles side by side: all of them
-        articles = [p for p in weight if p[-1][0] == "article" and not any(t == "article" for t, _ in p[:-1])]
-        if articles and 2 * sum(weight[p] for p in articles) >= total:
-            roots = articles
-    whole, direct = _beside(content, roots)
-    roots = [*roots, *whole]
+    chosen = [bool(x.text.strip()) and scores[elements[x.element].path] >= threshold * best for x in found]
+    blocks = {x.block for x, yes in zip(found, chosen) if yes}
+    plain = {x.block for x in found if x.text.strip() and not elements[x.element].in_link}  # blocks that are not links alone
+    direct = {elements[x.element].part for x, yes in zip(found, chosen) if yes}
+    holds = [False] * len(elements)
+    for place in direct:
+        holds[place] = True
+    for place in range(len(elements) - 1, 0, -1):
+        if elements[place].part == place and holds[place]:
+            holds[elements[place].within] = True
     lines: list[str] = []
     current, parts = None, []
-    for path, block, text in inside:
-        own = next((path[:k] for k in range(len(path), 0, -1) if _container(path[k - 1][0])), ()) if direct else None
-        if own not in direct and not any(path[: len(r)] == r for r in roots):
+    for leaf, yes in zip(found, chosen):
+        element = elements[leaf.element]
+        part = element.part
+        beside = part in direct or elements[part].tag in ("article", "main") and holds[part]
+        if not (yes or leaf.block in blocks or element.heading and holds[part] or beside and leaf.block in plain):
             continue
-        if block != current:
+        if leaf.block != current:
             lines.append("".join(parts))
-            current, parts = block, []
-        parts.append(text)
+            current, parts = leaf.block, []
+        parts.append(leaf.text)
     lines.append("".join(parts))
     cleaned = (_SPACES.sub(" ", _html.unescape(x)).strip() for x in lines)
     return "\n".join(x for x in cleaned if x)

@@ -298,6 +298,30 @@ def test_html_content_in_several_containers(page, parts):
     assert tag_paths.main_text(page.format(*SENTENCES)) == "\n".join(x.strip() for x in parts.format(*SENTENCES).split("|"))
 
 
+NEUTRAL = "<body><div class=a><div class=b><a href=/>Home</a><a href=/x>About us</a></div><div class=c><h1>Title</h1><p>{0}</p><ul><li>One</li></ul><p>{1}</p><p><a href=/n>Next</a></p></div><div class=d>Rights reserved</div></div></body>"
+
+
+def test_html_scores_choose_the_content(monkeypatch):
+    """Neutral names and no article: what is content comes from the scores, and is another with constant ones."""
+    want = "\n".join(("Title", SENTENCES[0].strip(), "One", SENTENCES[1].strip(), "Next"))
+    page = NEUTRAL.format(*SENTENCES)
+    got = tag_paths.main_text(page)
+    assert [x for x in got.split("\n") if x != "Next"] == want.split("\n")[:-1]
+    monkeypatch.setattr(tag_paths, "path_scores", lambda elements, above, found: {elements[x.element].path: 1.0 for x in found})
+    assert "Rights reserved" in tag_paths.main_text(page) and "Home" in tag_paths.main_text(page)
+
+
+def test_html_honest_parts_stay_and_depth_is_linear():
+    import time
+
+    assert tag_paths.main_text("just text, with no tags") == "just text, with no tags"
+    page = "<body><article><header><h1>Head</h1></header><section id=related-work><p>{0}</p></section><p class=note-side-effects>{1}</p><div class=related-posts><p>{3}</p></div></article></body>"
+    assert tag_paths.main_text(page.format(*SENTENCES)) == "\n".join(("Head", SENTENCES[0].strip(), SENTENCES[1].strip()))
+    for page in ("<div>" * 20000 + "deep, text.", "<i>" * 20000 + "deep, text.", "<p><span>" * 10000 + "deep, text." + "</b></p>" * 10000):
+        began = time.perf_counter()
+        assert tag_paths.main_text(page) == "deep, text." and time.perf_counter() - began < 2
+
+
 def test_html_edges(spark):
     for page in (None, "", "<html></html>", "<p", "<!-- x", "<script>x", "<" * 2000):
         assert isinstance(tag_paths.main_text(page), str)
