@@ -56,10 +56,10 @@ def _record(kind, ident, uri, headers: list, content_type: str, block):
 
 def _uri(url):
     """A header holds one line, so controls in a url are percent-encoded."""
-    out = F.coalesce(url, F.lit(""))
+    plain = out = F.coalesce(url, F.lit(""))
     for code in (*range(32), 127):
         out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return out
+    return F.when(plain.rlike("[\\x00-\\x1F\\x7F]"), out).otherwise(plain)
 
 
 def _mark(bitmap):
