@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import quantiles
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -39,10 +41,10 @@ def cut(c, edges: list, labels: list[str]) -> Column:
 def qcut(df: DataFrame, c: str, labels: list[str], out: str) -> DataFrame:
     """Equal-frequency bins with exact interpolated edges; the smallest value is in the first bin."""
     q = len(labels)
-    edges = df.agg(F.percentile(c, [i / q for i in range(1, q)]).alias("edges"))
+    edges = quantiles(df, c, [i / q for i in range(1, q)], out="_edges")
     joined = df.crossJoin(F.broadcast(edges))  # one row
-    rules = [(F.col(c) <= F.col("edges")[i], label) for i, label in enumerate(labels[:-1])]
-    return joined.withColumn(out, F.when(F.col(c).isNotNull(), band(rules, labels[-1]))).drop("edges")
+    rules = [(F.col(c) <= F.col("_edges")[i], label) for i, label in enumerate(labels[:-1])]
+    return joined.withColumn(out, F.when(F.col(c).isNotNull(), band(rules, labels[-1]))).drop("_edges")
 
 
 def clip(c, low, high) -> Column:
@@ -101,6 +103,18 @@ def date_parts(c, parts: list[str]) -> dict[str, Column]:
     return {p: make[p](col(c)) for p in parts}
 
 
+def bucket(df: DataFrame, c: str, unit: str = "month", fmt: str = "yyyy-MM", out: str = "bucket") -> DataFrame:
+    """The first day of the period that a date is in, and its label in the given format."""
+    start = F.date_trunc(unit, F.col(c))
+    return df.withColumns({out: start.cast("date"), f"{out}_label": F.date_format(start, fmt)})
+
+
+def explode_array(df: DataFrame, c, out: str, keep_empty: bool = False) -> DataFrame:
+    """Elements of an array column, or of an array of literals, as rows; null and empty arrays give a row with null if ``keep_empty``, else none."""
+    elements = F.array(*(F.lit(x) for x in c)) if isinstance(c, (list, tuple)) else col(c)
+    return df.withColumn(out, (F.explode_outer if keep_empty else F.explode)(elements))
+
+
 def diff(a, b, unit: str) -> Column:
     """b - a in days, hours, minutes, months or whole years."""
     a, b = col(a), col(b)

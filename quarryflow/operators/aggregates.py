@@ -34,12 +34,65 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.round(100.0 * F.col("n") / F.col("total"), 2)).drop("total")  # one row
 
 
+def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] = (), out: str = "quantiles") -> DataFrame:
+    """Exact interpolated quantiles, as ``percentile`` gives them, without gathering a group's values in one task.
+
+    Equal values are counted first, so a frequent one is a single row.  The counts are sorted by
+    range and written; the sums of the parts tell which part holds a rank, and only such parts
+    are added up row by row.  Nulls do not count.  One row per group of ``by`` (a null key is a
+    group) that has a value; without ``by`` always one row, null for an empty table.
+    """
+    from ..sources.io import scratch
+
+    spark, keys = df.sparkSession, [f"_k{i}" for i in range(len(by))]
+    values = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counts = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    ranged = counts.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
+    path = scratch(spark, "quantiles")
+    ranged.write.parquet(path)  # fixes which row is in which part
+    ranged = spark.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+
+    group = Window.partitionBy(*keys)  # a row for each part of the group
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
+    parts = parts.withColumns({"_before": F.sum("_size").over(group.orderBy("_part")) - F.col("_size"), "_total": F.sum("_size").over(group)})
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at")) for i, p in enumerate(probs)))
+    held = F.filter("_wanted", lambda w: (F.floor(w["at"]) < F.col("_before") + F.col("_size")) & (F.ceil(w["at"]) >= F.col("_before")))
+    parts = parts.withColumn("_wanted", wanted).withColumn("_wanted", held).where(F.size("_wanted") > 0)
+
+    parts = parts.select(F.col("_part").alias("_in"), *(F.col(k).alias(f"_in{k}") for k in keys), "_before", "_wanted")
+    rows = ranged.join(parts, [F.col("_part") == F.col("_in"), *(F.col(k).eqNullSafe(F.col(f"_in{k}")) for k in keys)])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_id"))
+    hits = rows.withColumn("_upto", upto).withColumn("_w", F.explode("_wanted"))
+    inside = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+    low, high = F.floor("_w.at"), F.ceil("_w.at")
+    hits = hits.where(inside(low) | inside(high)).withColumns({"_low": F.when(inside(low), F.col("_v")), "_high": F.when(inside(high), F.col("_v"))})
+    pick = lambda name, i: F.max(F.when(F.col("_w.i") == i, F.col(name)))
+    found = hits.groupBy(*keys).agg(*(pick(c, i).alias(f"{c}{i}") for i in range(len(probs)) for c in ("_low", "_high", "_w.at")))
+    between = [F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise((F.ceil(F.col(f"`_w.at{i}`")) - F.col(f"`_w.at{i}`")) * F.col(f"_low{i}") + (F.col(f"`_w.at{i}`") - F.floor(F.col(f"`_w.at{i}`"))) * F.col(f"_high{i}")) for i in range(len(probs))]
+    return found.select(*(F.col(k).alias(b) for k, b in zip(keys, by)), F.array(*between).alias(out))
+
+
+def medians(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact median per group; null for a group without values."""
+    half = quantiles(df, value, [0.5], keys, "_q").withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
+    groups = df.select(*keys).distinct()
+    return groups.join(half, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)], "left").select(*keys, F.col("_q")[0].alias(out))
+
+
+def partition_profile(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Rows in each of Spark's partitions (and group of ``by``): shows skew, and whether equal keys meet."""
+    return df.groupBy(F.spark_partition_id().alias("partition"), *by).agg(F.count("*").alias("n"))
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of numeric columns, one row each, from one pass."""
+    """count, mean, std, min, quartiles and max of numeric columns, one row each."""
     stats = [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
-    one = df.agg(*(f(c).alias(f"{c}.{n}") for c in columns for n, f in stats), *(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}.q") for c in columns))
-    rows = [F.struct(F.lit(c).alias("column_name"), *(F.col(f"`{c}.{n}`").cast("double").alias(n) for n, _ in stats), *(F.col(f"`{c}.q`")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75")))) for c in columns]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    one = df.agg(*(f(c).alias(f"{c}.{n}") for c in columns for n, f in stats))
+    rows = [F.struct(F.lit(c).alias("column_name"), *(F.col(f"`{c}.{n}`").cast("double").alias(n) for n, _ in stats)) for c in columns]
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column_name", "_x")
+    q = quantiles(long, "_x", [0.25, 0.5, 0.75], ["column_name"], "_q")
+    x = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").join(q, "column_name", "left")
+    return x.withColumns({name: F.col("_q")[i] for i, name in enumerate(("q25", "q50", "q75"))}).drop("_q")
 
 
 def leave_one_out(df: DataFrame, value: str, out: str = "others_avg") -> DataFrame:

@@ -32,11 +32,23 @@ def overlap_join(facts: DataFrame, periods: DataFrame, start: str, end: str, p_s
     return f.join(p, "_bucket").where(hit & first).drop("_bucket", "_to", "_last", "_first")
 
 
-def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: str, valid_to: str, how: str = "left") -> DataFrame:
-    """The dimension row valid when the fact happened: valid_from <= ts < valid_to, open if valid_to is null."""
-    d = dim.withColumnRenamed(key, "_key")
-    on = (fact[key] == d["_key"]) & (fact[ts] >= d[valid_from]) & (d[valid_to].isNull() | (fact[ts] < d[valid_to]))
-    return fact.join(d, on, how).drop("_key")
+def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: str, valid_to: str, how: str = "left", bucket: str = "year") -> DataFrame:
+    """The dimension row valid when the fact happened: valid_from <= ts < valid_to, open if valid_to is null.
+
+    A calendar bucket is the second key of the join, so the facts of a hot key meet only versions
+    of their own time, in several tasks.  A version has a row for each bucket it is valid in,
+    within the range of the facts' times.  ``how`` is inner or left; facts without a time match none.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("versions are repeated over buckets, so unmatched ones cannot be kept")
+    ends = fact.agg(F.min(ts).alias("_low"), F.max(ts).alias("_high"))
+    lo = F.date_trunc(bucket, F.greatest(F.col(valid_from), F.col("_low")).cast("timestamp"))
+    hi = F.date_trunc(bucket, F.least(F.col(valid_to), F.col("_high")).cast("timestamp"))
+    span = F.when(F.col(valid_from).isNotNull() & (lo <= hi), F.sequence(lo, hi, F.expr(f"interval 1 {bucket}")))
+    d = dim.withColumnRenamed(key, "_key").crossJoin(F.broadcast(ends)).withColumn("_bucket", F.explode(span)).drop("_low", "_high")  # one row
+    f = fact.withColumn("_in", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    on = (f[key] == d["_key"]) & (f["_in"] == d["_bucket"]) & (f[ts] >= d[valid_from]) & (d[valid_to].isNull() | (f[ts] < d[valid_to]))
+    return f.join(d, on, how).drop("_key", "_bucket", "_in")
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, n: int = 16, how: str = "inner") -> DataFrame:

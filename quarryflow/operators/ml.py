@@ -6,6 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def train_variants(df: DataFrame, features: list[str], label: str, variants: list[dict], seed: int = 42):
@@ -21,3 +22,14 @@ def train_variants(df: DataFrame, features: list[str], label: str, variants: lis
         if marks["f1"] > best[1]:
             best = (model, marks["f1"])
     return best[0], df.sparkSession.createDataFrame(runs, "run int, params string, accuracy double, f1 double")
+
+
+def score_rows(model, df: DataFrame, features: list[str], out: str = "prediction") -> DataFrame:
+    """New rows with the label that a fitted model gives them; null where a feature is null."""
+    made = {"_features", "_raw", "_probability"}
+    ready = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(df)
+    scored = model.copy().setFeaturesCol("_features").setPredictionCol("_p").setRawPredictionCol("_raw").setProbabilityCol("_probability").transform(ready)
+    whole = F.lit(True)
+    for c in features:
+        whole = whole & F.col(c).isNotNull()
+    return scored.withColumn(out, F.when(whole, F.col("_p"))).drop(*made, "_p")

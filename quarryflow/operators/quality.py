@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import medians, quantiles
+
 
 def null_profile(df: DataFrame, by: str | None = None) -> DataFrame:
     """Null count and percent of each column (per group of ``by``), one pass over the data."""
@@ -29,7 +31,7 @@ def dup_report(df: DataFrame, keys: list[str]) -> DataFrame:
 def outliers(df: DataFrame, c: str, method: str = "iqr", k: float | None = None, out: str = "outlier") -> DataFrame:
     """Flag values outside the quartile fences (k = 1.5) or beyond k standard deviations (k = 3)."""
     if method == "iqr":
-        limits = df.agg(F.percentile(c, [0.25, 0.75]).alias("_q"))
+        limits = quantiles(df, c, [0.25, 0.75], out="_q")
         k = 1.5 if k is None else k
         spread = F.col("_q")[1] - F.col("_q")[0]
         flag = (F.col(c) < F.col("_q")[0] - k * spread) | (F.col(c) > F.col("_q")[1] + k * spread)
@@ -52,8 +54,7 @@ def validate_split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
 def handle_nulls(df: DataFrame, drop: list[str] = (), flag: list[str] = (), fill: dict | None = None) -> DataFrame:
     """Nulls by column: rows of ``drop`` go, ``flag`` adds <c>_was_null, ``fill`` gives a value, or ("mean" | "median", group column or None).
 
-    Medians are approximate, as exact ones gather a group's values in one task.  A group without
-    any value keeps its nulls.
+    A group without any value keeps its nulls.
     """
     df = df.dropna(subset=list(drop)) if drop else df
     df = df.withColumns({f"{c}_was_null": F.col(c).isNull() for c in flag}) if flag else df
@@ -62,17 +63,25 @@ def handle_nulls(df: DataFrame, drop: list[str] = (), flag: list[str] = (), fill
             df = df.withColumn(c, F.coalesce(F.col(c), F.lit(how)))
             continue
         kind, group = how
-        value = (F.avg(c) if kind == "mean" else F.percentile_approx(c, 0.5, 10000)).alias("_fill")
         if group is None:
-            df = df.crossJoin(F.broadcast(df.agg(value)))  # one row
+            one = df.agg(F.avg(c).alias("_fill")) if kind == "mean" else quantiles(df, c, [0.5], out="_fill").select(F.col("_fill")[0].alias("_fill"))
+            df = df.crossJoin(F.broadcast(one))  # one row
         else:
-            df = df.join(df.groupBy(F.col(group).alias("_group")).agg(value), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+            per = df.groupBy(group).agg(F.avg(c).alias("_fill")) if kind == "mean" else medians(df, [group], c, "_fill")
+            df = df.join(per.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
         df = df.withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
     return df
 
 
-def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None) -> DataFrame:
-    """Violations of each rule, one row each: not empty, not null, conditions (null passes, as in SQL), unique keys."""
+def parity(df: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
+    """One row: rows where two expressions differ (nulls are equal), all rows, and the smallest key that differs."""
+    differ = ~a.eqNullSafe(b)
+    x = df.select(F.col(key).alias("_key"), differ.alias("_differ"))
+    return x.agg(F.count(F.when(F.col("_differ"), 1)).alias("mismatches"), F.count("*").alias("n"), F.min(F.when(F.col("_differ"), F.col("_key"))).alias("first_key"))
+
+
+def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None, same_rows_as: DataFrame | None = None) -> DataFrame:
+    """Violations of each rule, one row each: not empty, not null, conditions (null passes, as in SQL), unique keys, the row count of another table."""
     names = {f"not_null:{c}": F.count(F.when(F.col(c).isNull(), 1)) for c in not_null}
     names |= {f"check:{n}": F.count(F.when(~c, 1)) for n, c in (conditions or {}).items()}
     one = df.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("not_empty"), *(c.alias(n) for n, c in names.items()))
@@ -80,6 +89,9 @@ def check(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (),
     for keys in unique:
         dup = dup_report(df.dropna(subset=keys), keys).agg(F.lit("unique:" + ",".join(keys)).alias("rule"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
         report = report.unionByName(dup)
+    if same_rows_as is not None:
+        both = df.agg(F.count("*").alias("_a")).crossJoin(same_rows_as.agg(F.count("*").alias("_b")))  # one row each
+        report = report.unionByName(both.select(F.lit("row_count").alias("rule"), F.abs(F.col("_a") - F.col("_b")).alias("violations")))
     return report
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +52,12 @@ def walk_hierarchy(spark: SparkSession, df: DataFrame, node: str, parent: str, r
         if spark.read.schema(schema).parquet(f"{root}/level={depth}").isEmpty():
             break
     return spark.read.schema(schema).parquet(f"{root}/level=*")
+
+
+def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """Rows whose key hashes below a bound, about ``fraction`` of them: the same rows on every run and under retries, however the table is partitioned.  Null keys hash as empty text."""
+    if fraction >= 1:
+        return df
+    bound = f"{math.ceil(max(fraction, 0.0) * 16**8):08x}"
+    key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return df.where(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8) < bound)

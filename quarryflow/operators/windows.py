@@ -26,7 +26,7 @@ def top_n(df: DataFrame, keys: list, order: list, n: int, ties: bool = False) ->
 
 def ntile_band(df: DataFrame, keys: list, order: list, labels: list[str], out: str = "band") -> DataFrame:
     n = F.ntile(len(labels)).over(_over(keys, order))
-    return df.withColumn("tile", n).withColumn(out, band([(F.col("tile") == i, x) for i, x in enumerate(labels, 1)]))
+    return df.withColumn("_tile", n).withColumn(out, band([(F.col("_tile") == i, x) for i, x in enumerate(labels, 1)])).drop("_tile")
 
 
 def rank_pct(df: DataFrame, keys: list, order: list, out: str = "pct") -> DataFrame:
@@ -65,8 +65,8 @@ def moving_range(df: DataFrame, keys: list, ts: str, c: str, days: int, fn=F.sum
 def running_with_reset(df: DataFrame, keys: list, order: list, c: str, reset: Column, out: str = "running") -> DataFrame:
     """Running total that starts anew at each row where ``reset`` holds."""
     w = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("reset_group", F.sum(F.when(reset, 1).otherwise(0)).over(w))
-    return x.withColumn(out, F.sum(c).over(_over([*keys, "reset_group"], order).rowsBetween(Window.unboundedPreceding, 0)))
+    x = df.withColumn("_reset_group", F.sum(F.when(reset, 1).otherwise(0)).over(w))
+    return x.withColumn(out, F.sum(c).over(_over([*keys, "_reset_group"], order).rowsBetween(Window.unboundedPreceding, 0))).drop("_reset_group")
 
 
 def islands(df: DataFrame, keys: list, period: str, unit: str = "month") -> DataFrame:

@@ -71,11 +71,50 @@ def write_partitioned(spark, d):
     return io.read_table(spark, path).where("o_orderstatus = 'F'")
 
 
-@q("SELECT count(*) AS n FROM part")
+@q("SELECT count(*) AS n, true AS at_most_two_files FROM part")
 def write_coalesced(spark, d):
     path = io.scratch(spark, "files")
-    io.write_table(load(spark, d, "part"), path, files=2)
-    return io.read_table(spark, path).agg(F.count("*").alias("n"))
+    io.write_table(load(spark, d, "part").repartition(6), path, files=2)
+    return io.read_table(spark, path).withColumn("file", F.input_file_name()).agg(F.count("*").alias("n"), (F.countDistinct("file") <= 2).alias("at_most_two_files"))
+
+
+def _database(spark) -> str:
+    """JDBC address of the database: the setting quarryflow.jdbc.url, or one in this process's memory, with the driver that Spark brings along."""
+    url = spark.conf.get("quarryflow.jdbc.url", None)
+    if url is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("quarryflow.jdbc.url must name a database that all executors reach")
+    return url or "jdbc:derby:memory:quarryflow;create=true"
+
+
+_CUSTOMERS = "SELECT c_custkey, c_nationkey, c_acctbal FROM customer"
+
+
+def _customers(spark, d, table):
+    rows = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    io.write_jdbc(rows, _database(spark), table, "overwrite")
+    return rows
+
+
+@q(_CUSTOMERS)
+def read_jdbc(spark, d):
+    _customers(spark, d, "plain_customer")
+    return io.read_jdbc(spark, _database(spark), "plain_customer")
+
+
+@q(_CUSTOMERS)
+def read_jdbc_partitioned(spark, d):
+    ends = _customers(spark, d, "split_customer").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
+    return io.read_jdbc(spark, _database(spark), "split_customer", "c_custkey", ends.low, ends.high, 4)
+
+
+@q("SELECT s_suppkey, s_acctbal FROM supplier")
+def write_jdbc_batch(spark, d):
+    rows = load(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    io.write_jdbc(rows.limit(0), _database(spark), "batch_supplier", "overwrite")
+    write = io.foreach_batch_jdbc(_database(spark), "batch_supplier")
+    for number in (0, 1):
+        write(rows.where(F.pmod("s_suppkey", F.lit(2)) == number), number)
+    return io.read_jdbc(spark, _database(spark), "batch_supplier")
 
 
 @q("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -152,9 +191,9 @@ def where_mask(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.col("l_quantity")).otherwise(0).alias("qty"))
 
 
-@q()
+@q("SELECT o_orderkey, o_totalprice FROM orders WHERE substr(md5('7:' || o_orderkey), 1, 8) < '1999999a'")
 def sample_rows(spark, d):
-    return load(spark, d, "orders").sample(0.1, seed=7)
+    return R.hash_sample(load(spark, d, "orders"), ["o_orderkey"], 0.1, seed=7).select("o_orderkey", "o_totalprice")
 
 
 # --- 2.3 joins
@@ -263,7 +302,9 @@ q.sql("agg_distinct", "SELECT l_shipdate, count(DISTINCT l_suppkey) AS suppliers
 q.sql("agg_rollup", "SELECT n_regionkey, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
 q.sql("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 q.sql("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
-q.sql("agg_median", "SELECT c_mktsegment, percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS median_balance FROM customer GROUP BY c_mktsegment")
+@q("SELECT c_mktsegment, percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal) AS median_balance FROM customer GROUP BY c_mktsegment")
+def agg_median(spark, d):
+    return A.medians(load(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", "median_balance")
 
 
 @q("""SELECT 'l_quantity' AS column_name, count(l_quantity)::DOUBLE AS count, avg(l_quantity) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity)::DOUBLE AS min, max(l_quantity)::DOUBLE AS max, quantile_cont(l_quantity, 0.25) AS q25,

@@ -75,10 +75,15 @@ def scd3_prev_value(spark, d):
     return H.scd3(old(spark, d), new(spark, d), "k", "bal")
 
 
-@q(f"WITH {SCD2} SELECT is_current, count(*) AS n FROM dim GROUP BY 1")
+@q(f"WITH {SCD2} SELECT 'now' AS part, count(*) AS n, count(*) FILTER (WHERE NOT is_current) AS closed FROM dim WHERE is_current UNION ALL SELECT 'history', count(*), count(*) FILTER (WHERE NOT is_current) FROM dim WHERE NOT is_current")
 def scd4_split(spark, d):
-    now, before = H.scd4_split(_applied(spark, d))
-    return now.unionByName(before).groupBy("is_current").agg(F.count("*").alias("n"))
+    # the two tables that are written, each read again by itself
+    root = io.scratch(spark, "scd4")
+    parts = []
+    for name, table in zip(("now", "history"), H.scd4_split(_applied(spark, d))):
+        io.write_table(table, f"{root}/{name}")
+        parts.append(io.read_table(spark, f"{root}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.count(F.when(~F.col("is_current"), 1)).alias("closed")))
+    return parts[0].unionByName(parts[1])
 
 
 @q("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS sk FROM orders")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..operators import incremental, scoring as S
-from ..operators.ml import train_variants
+from ..operators.ml import score_rows, train_variants
 from ..plans import medallion as M
+from ..plans.dataset import build_dataset
 from ..sources import io
 from ..streaming import streams as T
 from .base import Section, load
@@ -70,15 +71,24 @@ def run_medallion(spark, d):
 @q("""SELECT n_name, c_mktsegment, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_totalprice > 0 GROUP BY 1, 2""")
 def analytical_dataset(spark, d):
-    x = load(spark, d, "lineitem").join(load(spark, d, "orders").where("o_totalprice > 0"), F.col("l_orderkey") == F.col("o_orderkey"))
-    x = x.join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return x.groupBy("n_name", "c_mktsegment").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"))
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", "l_discount")
+    sides = [
+        (load(spark, d, "orders").where("o_totalprice > 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey"),
+        (load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment"), "c_custkey"),
+        (load(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey"),
+    ]
+    whole = lambda x: x.dropna(subset=["l_extendedprice", "l_discount"])
+    total = lambda x: x.groupBy("n_name", "c_mktsegment").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"))
+    return build_dataset(spark, lines, sides, io.scratch(spark, "dataset"), whole, total, {"not_null": ["n_name", "net"], "unique": [["n_name", "c_mktsegment"]]})
 
 
 # --- 2.14 scores and metrics
-@q(_RISK)
+@q("""WITH x AS (SELECT s_suppkey, round(abs(s_acctbal) / 1000 * 5 + count(l_orderkey)::DOUBLE / greatest(s_nationkey, 1) * 2, 4) AS score FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_acctbal, s_nationkey)
+SELECT s_suppkey, score, CASE WHEN score < 40 THEN 'LOW' WHEN score < 70 THEN 'MEDIUM' WHEN score < 100 THEN 'HIGH' ELSE 'CRITICAL' END AS tier FROM x""")
 def score_weighted_gold(spark, d):
-    return gold_entity_risk(spark, d)
+    n = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("l_orderkey").alias("lines"))
+    s = load(spark, d, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 1000).alias("balance"), "s_nationkey").join(n, "s_suppkey", "left")
+    return S.score_weighted(s, {"balance": 5, "lines": 2}, "s_nationkey", ["lines"], [40, 70, 100], ["LOW", "MEDIUM", "HIGH", "CRITICAL"]).select("s_suppkey", "score", "tier")
 
 
 @q("""SELECT c_custkey, round(greatest((least(greatest((abs(c_acctbal) / 5000 - 0.5) / 1.5, 0), 1) * 10 * 0.4 + CASE c_mktsegment WHEN 'BUILDING' THEN 0.0 WHEN 'MACHINERY' THEN 10.0 ELSE 5.0 END * 0.3 - least(c_nationkey, 20)::DOUBLE / 20 * 10 * 0.2) * 10 / 4, 0), 2)::DOUBLE AS score FROM customer""")
@@ -156,14 +166,11 @@ def feature_adoption(spark, d):
 _CARD = "SELECT s_suppkey, count(*) AS n, round(sum(l_extendedprice), 2) AS loss, CASE WHEN count(*) > 650 THEN 'HIGH' WHEN count(*) > 600 THEN 'MEDIUM' ELSE 'LOW' END AS flag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"
 
 
-def _card(lines, suppliers):
-    x = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("loss"))
-    return x.withColumn("flag", X.band([(F.col("n") > 650, "HIGH"), (F.col("n") > 600, "MEDIUM")], "LOW"))
-
-
 @q(_CARD)
 def broker_scorecard(spark, d):
-    return _card(load(spark, d, "lineitem"), load(spark, d, "supplier"))
+    lines = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_extendedprice")
+    sums = [F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("loss")]
+    return S.scorecard(lines, [(load(spark, d, "supplier").select("s_suppkey"), "s_suppkey")], ["s_suppkey"], sums, [(F.col("n") > 650, "HIGH"), (F.col("n") > 600, "MEDIUM")], "LOW")
 
 
 @q("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS reported, round(sum(l_extendedprice * (1 + l_tax)), 2) AS audited, round(sum(l_extendedprice * (1 + l_tax) - l_extendedprice), 2) AS variance FROM lineitem GROUP BY 1")
@@ -203,8 +210,10 @@ def resample_period(spark, d):
 @q()
 def train_classifier(spark, d):
     x = load(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") > 40000).cast("double").alias("label"))
-    best, runs = train_variants(x, ["l_quantity", "l_discount", "l_tax"], "label", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 4}, {"numTrees": 10, "maxDepth": 5}])
-    return runs
+    features = ["l_quantity", "l_discount", "l_tax"]
+    best, runs = train_variants(x, features, "label", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 4}, {"numTrees": 10, "maxDepth": 5}])
+    scored = score_rows(best, x, features).agg(F.count("prediction").alias("rows_scored"), X.count_if(F.col("prediction") == F.col("label")).alias("rows_right"))
+    return runs.crossJoin(F.broadcast(scored))  # one row
 
 
 # --- 2.15 streams: each runs to the end of its files, so its rows are those of the batch twin
@@ -271,12 +280,14 @@ def stream_tumbling_batch_twin(spark, d):
     return _windows(e).drop("window_end").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@q("SELECT c_mktsegment, n_name, count(*) AS n FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+@q("""WITH x AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS window_start, n_name, count(*) AS n, round(sum(value), 3) AS total FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT *, CASE WHEN n > 2 THEN 'HIGH' WHEN n > 1 THEN 'MEDIUM' ELSE 'LOW' END AS flag FROM x WHERE window_start + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events JOIN customer ON user_id = c_custkey)""")
 def stream_scorecard(spark, d):
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment", F.col("c_nationkey").alias("k"))
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("k"))
     n = load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    enriched = T.enrich(T.enrich(_events(spark, d), c, "user_id"), n, "k").select("c_mktsegment", "n_name")
-    return _run(spark, enriched).groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n"))
+    sums = [F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")]
+    card = S.scorecard(_events(spark, d), [(c, "user_id"), (n, "k")], ["n_name"], sums, [(F.col("n") > 2, "HIGH"), (F.col("n") > 1, "MEDIUM")], "LOW", "ts", "30 minutes", "1 hour")
+    return _run(spark, card.drop("window_end")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @q("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -286,7 +297,7 @@ def stream_upsert_sink(spark, d):
     return incremental.read_version(spark, f"{root}/table")
 
 
-@q()
+@q(f"SELECT * FROM ({_WINDOW}) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def late_data_policy(spark, d):
     """Rows that come a day or more late, in the last file, are dropped once their window is closed."""
     path = io.scratch(spark, "late")
@@ -294,4 +305,4 @@ def late_data_policy(spark, d):
     _arrive(e, path)
     late = e.where("event_type = 'error'").withColumn("ts", F.col("ts") - F.expr("interval 20 days"))
     late.coalesce(1).write.mode("append").json(path)
-    return _run(spark, _windows(T.stream_source(spark, path, e.schema, max_files=1), "1 hour").drop("window_end"))
+    return _run(spark, _windows(T.stream_source(spark, path, e.schema, max_files=1), "1 hour").drop("window_end")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

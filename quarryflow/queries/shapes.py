@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..operators import aggregates as A
+from ..operators import quality as D
 from ..operators import reshape as R
 from ..operators import windows as W
 from .base import Section, load
@@ -196,12 +198,12 @@ def null_coalesce(spark, d):
     return events(spark, d).select("event_id", X.null_if("event_type", ["error"], "none").alias("kind"))
 
 
-@q("""WITH e AS (SELECT event_id, event_type, user_id, CASE WHEN event_type <> 'error' OR event_id % 2 = 0 THEN value END AS v FROM events), m AS (SELECT event_type, avg(v) AS a FROM e GROUP BY 1)
-SELECT event_id, v IS NULL AS was_null, round(coalesce(v, a, 0), 5) AS v FROM e JOIN m USING (event_type)""")
+@q("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_type <> 'error' OR event_id % 2 = 0 THEN value END AS v, CASE WHEN event_type <> 'view' THEN value END AS w FROM events WHERE user_id % 11 <> 0), m AS (SELECT event_type, avg(v) AS a FROM e GROUP BY 1)
+SELECT event_id, v IS NULL AS v_was_null, round(coalesce(v, a), 5) AS v, round(coalesce(w, (SELECT median(w) FROM e)), 5) AS w FROM e JOIN m USING (event_type)""")
 def null_drop_fill_flag(spark, d):
-    e = events(spark, d).withColumn("v", F.when((F.col("event_type") != "error") | (F.pmod("event_id", F.lit(2)) == 0), F.col("value")))
-    m = e.groupBy("event_type").agg(F.avg("v").alias("a"))
-    return e.join(m, "event_type").select("event_id", F.col("v").isNull().alias("was_null"), F.round(F.coalesce("v", "a", F.lit(0)), 5).alias("v"))
+    e = events(spark, d).withColumns({"v": F.when((F.col("event_type") != "error") | (F.pmod("event_id", F.lit(2)) == 0), F.col("value")), "w": F.when(F.col("event_type") != "view", F.col("value")), "u": F.nullif(F.pmod("user_id", F.lit(11)), F.lit(0))})
+    x = D.handle_nulls(e, drop=["u"], flag=["v"], fill={"v": ("mean", "event_type"), "w": ("median", None)})
+    return x.select("event_id", "v_was_null", F.round("v", 5).alias("v"), F.round("w", 5).alias("w"))
 
 
 @q("SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events")
@@ -217,8 +219,7 @@ def date_parts(spark, d):
 
 @q("SELECT date_trunc('month', o_orderdate)::DATE AS month, strftime(date_trunc('month', o_orderdate), '%Y-%m') AS label, count(*) AS n FROM orders GROUP BY 1, 2")
 def date_trunc_bucket(spark, d):
-    m = F.date_trunc("month", F.col("o_orderdate"))
-    return orders(spark, d).groupBy(m.cast("date").alias("month"), F.date_format(m, "yyyy-MM").alias("label")).agg(F.count("*").alias("n"))
+    return X.bucket(orders(spark, d), "o_orderdate", "month", "yyyy-MM").groupBy(F.col("bucket").alias("month"), F.col("bucket_label").alias("label")).agg(F.count("*").alias("n"))
 
 
 @q("SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate, l_shipdate)::INT AS days, (l_shipdate + INTERVAL 30 DAY)::DATE AS due, (epoch(l_shipdate) - epoch(o_orderdate)) / 3600 AS hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -261,7 +262,7 @@ def bin_quantile(spark, d):
 
 @q("SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings")
 def array_explode(spark, d):
-    return load(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.col("x").cast("double").alias("x"))
+    return X.explode_array(load(spark, d, "embeddings"), "embedding", "x").select("vec_id", F.col("x").cast("double").alias("x"))
 
 
 @q("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
@@ -285,10 +286,11 @@ def row_checksum(spark, d):
     return load(spark, d, "nation").select("n_nationkey", X.row_checksum(["n_nationkey", "n_name", "n_regionkey"]).alias("checksum"))
 
 
-@q("SELECT count(*)::BIGINT AS n FROM lineitem")
+@q("SELECT l_suppkey, count(*) AS n, 1::BIGINT AS partitions FROM lineitem GROUP BY 1")
 def partition_profile(spark, d):
-    per = load(spark, d, "lineitem").groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("n"))
+    # after a repartition by key the rows of a key are in one partition
+    per = A.partition_profile(load(spark, d, "lineitem").select("l_suppkey").repartition(6, "l_suppkey"), ["l_suppkey"])
+    return per.groupBy("l_suppkey").agg(F.sum("n").alias("n"), F.count("*").alias("partitions"))
 
 
 # --- 2.9 UDF surface
@@ -319,5 +321,5 @@ def udf_sql(spark, d):
 
 @q("SELECT 0::BIGINT AS mismatches, count(*) AS n FROM customer")
 def udf_native_parity(spark, d):
-    both = udf_scalar(spark, d).withColumnRenamed("side", "a").join(load(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("b")), "c_custkey")
-    return both.agg(X.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"), F.count("*").alias("n"))
+    side = F.udf(lambda b: "debt" if b < 0 else "credit", "string")
+    return D.parity(load(spark, d, "customer"), "c_custkey", side("c_acctbal"), F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit")).select("mismatches", "n")

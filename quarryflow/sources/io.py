@@ -36,10 +36,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return spark.read.format("jdbc").options(**jdbc_options(url, table, column, lower, upper, n, props)).load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", props: dict | None = None) -> None:
+    df.write.format("jdbc").options(**jdbc_options(url, table, props=props)).mode(mode).save()
+
+
 def foreach_batch_jdbc(url: str, table: str, props: dict | None = None):
     """A foreachBatch function that appends each micro-batch to a table."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.format("jdbc").options(**jdbc_options(url, table, props=props)).mode("append").save()
+        write_jdbc(batch, url, table, props=props)
 
     return write
 

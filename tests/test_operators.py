@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarryflow.functions import columns as X
 from quarryflow.operators import aggregates, incremental, joins, quality, reshape, scoring, warehouse, windows
 from quarryflow.plans import medallion
+from quarryflow.plans.dataset import build_dataset
 from quarryflow.sources import io
 from quarryflow.streaming import streams
 
@@ -177,7 +178,7 @@ def test_handle_nulls(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, "a", 3.0), (None, "a", 9.0), (4, None, None), (5, None, 8.0)], "id int, g string, v double")
     got = {r.id: (r.v, r.v_was_null) for r in quality.handle_nulls(df, drop=["id"], flag=["v"], fill={"v": ("mean", "g")}).collect()}
     assert got == {1: (1.0, False), 2: (2.0, True), 3: (3.0, False), 4: (8.0, True), 5: (8.0, False)}
-    assert {r.v for r in quality.handle_nulls(df, fill={"v": ("median", None), "g": "none"}).where("id in (2, 4)").collect()} == {3.0}
+    assert {r.v for r in quality.handle_nulls(df, fill={"v": ("median", None), "g": "none"}).where("id in (2, 4)").collect()} == {5.5}
 
 
 def test_surrogate_keys_are_dense_after_one_shuffle(spark, capsys):
@@ -204,3 +205,85 @@ def test_streamed_upsert_ignores_older_rows_and_keeps_times(spark):
     assert rows(incremental.read_version(spark, f"{root}/table")) == [(1, 5, "new")]
     times = [r.saved_at for r in incremental.history(spark, f"{root}/table").orderBy("version").collect()]
     assert len(times) == 2 and times[0] < times[1]
+
+
+def test_quantiles_equal_percentile(spark):
+    data = [(k, v) for k, values in {"a": [1.0, 2.0, 2.0, 2.0, 9.5, None], "b": [4.0] * 500 + [float(i) for i in range(300)], None: [7.0, 8.0], "empty": [None]}.items() for v in values]
+    df, probs = spark.createDataFrame(data, "k string, v double").repartition(3), [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    plain = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).where("q is not null").collect()}
+    assert {r.k: r.quantiles for r in aggregates.quantiles(df, "v", probs, ["k"]).collect()} == plain
+    assert aggregates.quantiles(df, "v", probs).first().quantiles == df.agg(F.percentile("v", probs)).first()[0]
+    assert {r.k: r.m for r in aggregates.medians(df, ["k"], "v", "m").collect()} == {"a": 2.0, "b": 4.0, None: 7.5, "empty": None}
+    assert aggregates.quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
+    assert aggregates.quantiles(df.limit(0), "v", [0.5], ["k"]).count() == 0
+
+
+def test_asof_join_equals_plain_comparison(spark):
+    at = lambda y, m=1, d=1: datetime.datetime(y, m, d)
+    facts = [(1, "a", at(2020, 5)), (2, "a", at(2021, 1)), (3, "a", at(2019)), (4, "b", at(2023)), (5, None, at(2020)), (6, "a", None), (7, "c", at(2020)), (8, "a", at(2024, 12, 31))]
+    versions = [("a", at(2020), at(2021), 10), ("a", at(2021), None, 11), ("b", at(2010), at(2022), 12), ("b", at(2022), at(2030), 13), ("c", None, None, 14), ("a", at(2019, 6), at(2019, 6), 15)]
+    f, v = spark.createDataFrame(facts, "id int, k string, ts timestamp"), spark.createDataFrame(versions, "k string, f timestamp, t timestamp, sk int")
+    for how in ("left", "inner"):
+        got = sorted((r.id, r.sk) for r in joins.asof_join(f, v, "k", "ts", "f", "t", how).collect())
+        wanted = [(i, next((s for vk, a, b, s in versions if k == vk and ts and a and a <= ts and (b is None or ts < b)), None)) for i, k, ts in facts]
+        assert sorted(got, key=str) == sorted([w for w in wanted if how == "left" or w[1] is not None], key=str)
+    assert joins.asof_join(f.limit(0), v, "k", "ts", "f", "t").count() == 0 and joins.asof_join(f, v.limit(0), "k", "ts", "f", "t").count() == 8
+
+
+def test_parity_counts_rows_that_differ(spark):
+    df = spark.createDataFrame([(1, 1, 1), (2, None, None), (3, 1, None), (4, 2, 3)], "k int, a int, b int")
+    assert tuple(quality.parity(df, "k", F.col("a"), F.col("b")).first()) == (2, 4, 3)
+    assert tuple(quality.parity(df.limit(0), "k", F.col("a"), F.col("b")).first()) == (0, 0, None)
+
+
+def test_check_compares_row_counts(spark):
+    assert {r.rule: r.violations for r in quality.check(spark.range(5), same_rows_as=spark.range(7)).collect()}["row_count"] == 2
+
+
+def test_build_dataset_gates(spark):
+    fact = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None)], "k int, v double")
+    side = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (None, "z")], "k int, name string")
+    total = lambda x: x.groupBy("name").agg(F.sum("v").alias("v"))
+    whole = lambda x: x.dropna(subset=["v"])
+    rules = {"not_null": ["v"]}
+    assert rows(build_dataset(spark, fact, [(side, "k")], io.scratch(spark, "wide"), whole, total, rules)) == [("x", 5.0)]
+    with pytest.raises(ValueError):
+        build_dataset(spark, fact, [(side.unionByName(side), "k")], io.scratch(spark, "wide"), whole, total, rules)
+    with pytest.raises(ValueError):
+        build_dataset(spark, fact, [(side, "k")], io.scratch(spark, "wide"), lambda x: x, total, rules)
+
+
+def test_explode_array_and_bucket(spark):
+    df = spark.createDataFrame([(1, [5, None]), (2, []), (3, None)], "k int, a array<int>")
+    assert sorted(map(str, rows_of(X.explode_array(df, "a", "x"), "k", "x"))) == ["(1, 5)", "(1, None)"]
+    assert X.explode_array(df, "a", "x", keep_empty=True).count() == 4 and X.explode_array(df, ["p", "q"], "x").count() == 6
+    day = spark.createDataFrame([(datetime.date(2024, 5, 17),), (None,)], "d date")
+    assert rows_of(X.bucket(day, "d", "year", "yyyy"), "bucket", "bucket_label") == [(datetime.date(2024, 1, 1), "2024"), (None, None)]
+
+
+def rows_of(df, *names):
+    return [tuple(r[n] for n in names) for r in df.collect()]
+
+
+def test_hash_sample_is_repeatable(spark):
+    df = spark.range(5000)
+    a = {r.id for r in reshape.hash_sample(df, ["id"], 0.1, 3).collect()}
+    assert a == {r.id for r in reshape.hash_sample(df.repartition(7), ["id"], 0.1, 3).collect()} and 400 < len(a) < 600
+    assert reshape.hash_sample(df, ["id"], 0.0).count() == 0 and reshape.hash_sample(df, ["id"], 1.0).count() == 5000
+
+
+def test_scorecard_of_a_table(spark):
+    claims = spark.createDataFrame([(1, 5.0), (1, 6.0), (2, 1.0), (None, 9.0)], "k int, v double")
+    side = spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
+    got = scoring.scorecard(claims, [(side, "k")], ["name"], [F.count("*").alias("n"), F.sum("v").alias("v")], [(F.col("n") > 1, "HIGH")], "LOW")
+    assert rows(got) == [("x", 2, 11.0, "HIGH"), ("y", 1, 1.0, "LOW")]
+
+
+def test_forest_scores_new_rows(spark):
+    from quarryflow.operators.ml import score_rows, train_variants
+
+    df = spark.createDataFrame([(float(i), float(i % 7), float(i > 50)) for i in range(100)], "a double, features double, label double")
+    best, runs = train_variants(df.select(F.col("a"), F.col("features").alias("b"), "label"), ["a", "b"], "label", [{"numTrees": 3, "maxDepth": 3}])
+    new = spark.createDataFrame([(1.0, 2.0, "own"), (99.0, 2.0, "own"), (None, 1.0, "own")], "a double, b double, features string")
+    assert [(r.prediction, r.features) for r in score_rows(best, new, ["a", "b"]).orderBy(F.asc_nulls_last("a")).collect()] == [(0.0, "own"), (1.0, "own"), (None, "own")]
+    assert runs.count() == 1

@@ -12,7 +12,8 @@ NAMES = """priority_flags read_csv_typed write_partitioned filter_compound value
 agg_rollup agg_median agg_describe agg_group_filter leave_one_out_avg hierarchy_down win_rank_trio win_topn_per_group win_rank_pct_pandas win_range_days win_conditional_reset win_gap_islands
 pivot_wide melt_long cast_safe ffill_bfill date_parse_multi tz_convert bin_quantile hash_key udf_pandas scd2_apply surrogate_key vault_current_view fact_periodic_snapshot mart_incremental_refresh
 null_profile outlier_iqr validate_split assert_rules constraint_check watermark_incremental merge_upsert cdc_diff cdc_apply time_travel backfill_partition silver_events gold_entity_risk run_medallion
-score_composite mrr_by_plan plan_changes time_intel stream_tumbling_agg stream_upsert_sink""".split()
+score_composite mrr_by_plan plan_changes time_intel read_jdbc_partitioned write_jdbc_batch write_coalesced sample_rows null_drop_fill_flag partition_profile udf_native_parity scd4_split analytical_dataset score_weighted_gold
+resolution_time stream_scorecard late_data_policy stream_tumbling_agg stream_upsert_sink""".split()
 
 
 def plain(v):
