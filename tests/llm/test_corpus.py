@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quarryflow.llm import bpe_lexicon, exact_dedup, fingerprints, mixing, ngram_join, substring_dedup, tag_paths, token_rollups, toxicity, warc  # noqa: E402
-from quarryflow.llm.common import scratch  # noqa: E402
+from quarryflow.llm.common import row_key, scratch  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -374,6 +374,70 @@ def test_mixing_takes_prefixes_of_epochs(spark):
         assert sorted(map(str, taken)) == sorted(map(str, again))
 
 
+def deal(budget, weights, capacity):
+    """Budgets of siblings, by filling the small ones round by round."""
+    w = dict(weights) if max(weights.values()) > 0 else dict.fromkeys(weights, 1.0)
+    full: set = set()
+    while True:
+        given, open_ = budget - sum(capacity[k] for k in full), [k for k in w if k not in full]
+        total = sum(w[k] for k in open_)
+        more = {k for k in open_ if w[k] > 0 and capacity[k] * total <= w[k] * given}
+        if not more:
+            level = given / total if total else 0.0
+            return {k: capacity[k] if k in full else int(w[k] * level // 1) for k in w}
+        full |= more
+
+
+def deal_tree(leaves, weights, budget, above=()):
+    """Quotas of leaves (path -> capacity), a family at a time from the root."""
+    if len(above) == 3:
+        return {above: budget}
+    children: dict = {}
+    for p, c in leaves.items():
+        if p[: len(above)] == above:
+            children[p[: len(above) + 1]] = children.get(p[: len(above) + 1], 0) + c
+    out: dict = {}
+    for child, share in deal(budget, {k: weights.get(k, 1.0) for k in children}, children).items():
+        out |= deal_tree(leaves, weights, share, child)
+    return out
+
+
+def test_mixing_quotas_equal_brute_force_on_random_trees(spark):
+    r = random.Random(11)
+    for _ in range(4):
+        tokens = {(f"d{a}", f"l{b}", f"s{c}"): r.choice([0, 1, r.randint(2, 90), r.randint(500, 20000)]) for a in range(3) for b in range(r.randint(1, 3)) for c in range(r.randint(1, 4))}
+        nodes = {p[:n] for p in tokens for n in (1, 2, 3)}
+        weights = {p: r.choice([0.0, 0.25, 1.0, 2.0, 8.0]) for p in nodes if r.random() < 0.6}
+        share, epochs = r.choice([(0.3, 1), (0.9, 1), (1.7, 2), (5.0, 3)])
+        leaves = spark.createDataFrame([(*p, n, 1) for p, n in tokens.items()], "domain string, lang string, source string, tokens long, docs long")
+        got = {(x.domain, x.lang, x.source): x.quota for x in mixing.quotas(leaves, weights, share, epochs).collect()}
+        assert got == deal_tree({p: n * epochs for p, n in tokens.items()}, weights, int(sum(tokens.values()) * share // 1))
+
+
+def test_mixing_takes_the_same_rows_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN", 8)
+    r = random.Random(5)
+    docs = docs_of(spark, [" ".join(["w"] * r.randint(0, 40)) for _ in range(240)] + [None, "", "same text", "same text"])
+    weights, share, epochs = {("books",): 4.0, ("web", "en", "src0"): 2.0}, 1.3, 2
+    rows = [x.asDict() for x in docs.select("doc_id", "source", "lang", row_key().alias("row_key"), mixing.domain_of(F.col("source")).alias("domain"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")).collect()]
+    leaf_of = lambda x: (x["domain"], x["lang"], x["source"])
+    tokens: dict = {}
+    for x in rows:
+        tokens[leaf_of(x)] = tokens.get(leaf_of(x), 0) + x["n"]
+    quota = deal_tree({p: n * epochs for p, n in tokens.items()}, weights, int(sum(tokens.values()) * share // 1))
+    order = spark.createDataFrame([(x["doc_id"], x["row_key"], quota[leaf_of(x)] // tokens[leaf_of(x)]) for x in rows], docs.select("doc_id", row_key().alias("row_key"), F.lit(0).alias("whole")).schema)
+    place = {x.doc_id: x.at for x in order.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "whole", "doc_id", "row_key").alias("at")).collect()}
+    want = []
+    for leaf, q in quota.items():
+        whole, rest, before = q // tokens[leaf], q % tokens[leaf], 0
+        for x in sorted((x for x in rows if leaf_of(x) == leaf), key=lambda x: place[x["doc_id"]] % 2**64):
+            want += [(x["doc_id"], e) for e in range(1, whole + (before < rest) + 1)]
+            before += x["n"]
+    free = {x["doc_id"] for x in rows if x["n"] == 0}  # rows without tokens go with their bin
+    got = [(x.doc_id, x.epoch) for x in mixing.mix(docs, weights, share, epochs).collect()]
+    assert sorted(x for x in got if x[0] not in free) == sorted(x for x in want if x[0] not in free)
+
+
 def test_rollups_commit_once(spark):
     root = scratch(spark, "rollups")
     rows = spark.createDataFrame([(1, "s", None, "v", 5), (2, "s", None, "v", 7), (3, None, "en", "v", None)], "doc_id long, source string, lang string, version string, n long")
