@@ -15,7 +15,8 @@ leave the JVM.  As everything after the embedding is linear, a row's share of th
 number, and the bags of many texts are looked up and summed by a few array operations over at
 most ``PIECE`` code points.  A longer text is cut between words and its sums are added up.
 
-Defined cases: null and empty texts get the model's bias as score; a word of more than ``PIECE``
+Defined cases: null and empty texts, and any without a letter or digit, get the share of label 1 as
+score, or half of ``CUT`` or the bias if that is less, and a short text starts from there; a word of more than ``PIECE``
 letters counts as several; labels that are null or of no document are ignored; a doc_id labelled
 more than once counts with its larger label, and one that several rows share with the least of
 their texts; without both labels in the sample every score is the share of label 1 (0 if none);
@@ -42,7 +43,7 @@ BITS, DIM, GRAMS = 18, 2, (3, 4, 5)
 STEPS, RATE, MOMENTUM, PATIENCE = 90, 0.5, 0.9, 10
 #: A bag's mean is multiplied by this before the softmax, as toxic words are a few in a hundred.
 SCALE = 50.0
-#: Units without weight that every bag holds besides, so that a few letters decide nothing.
+#: Units that every bag holds besides, so that a few letters decide nothing; they speak for the share of label 1.
 PRIOR = 60
 CUT = 0.3
 #: Code points looked up at once.
@@ -94,6 +95,8 @@ class Model(NamedTuple):
     #: Share of each embedding row in the logit of label 1, and the bias.
     share: np.ndarray
     bias: float
+    #: Logit of a text without units: what a short text starts from, while a long one starts from the bias.
+    base: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """One logit a text; letters are lowered here."""
@@ -103,7 +106,7 @@ class Model(NamedTuple):
             of = np.array(of)[owners]
             total += np.bincount(of, weights=self.share[rows], minlength=len(texts))
             many += np.bincount(of, minlength=len(texts))
-        return self.bias + SCALE * total / (many + PRIOR)
+        return (self.bias * many + self.base * PRIOR + SCALE * total) / (many + PRIOR)
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -185,7 +188,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
-        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        logit = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        return Model(np.zeros(1 << BITS, dtype=np.float32), logit, logit)
     docs = _Bags(texts)
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.01, (len(docs.used), DIM)).astype(np.float32)
@@ -228,7 +232,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, steps: int = STEPS
     cut, scale = _place(logits[judged], labels[judged], mass[judged])
     full = np.zeros(1 << BITS, dtype=np.float32)
     full[docs.used] = table @ lean * scale
-    return Model(full, float((bias[1] - bias[0] - cut) * scale + np.log(CUT / (1 - CUT))))
+    start = float((bias[1] - bias[0] - cut) * scale + np.log(CUT / (1 - CUT)))
+    usual = min(max(prior, 1e-6), CUT / 2)  # a text that says nothing is not called toxic, whatever the share
+    return Model(full, start, min(start, float(np.log(usual / (1 - usual)))))
 
 
 def _place(logits, labels, mass) -> tuple[float, float]:

@@ -345,7 +345,8 @@ def test_toxicity_on_held_out_texts():
     texts = [make(y) for y in labels]
     model = toxicity.train(texts[:600], labels[:600], 0.2)
     score = 1 / (1 + np.exp(-model.logits([*texts[600:], ""])))
-    assert np.mean((score[:-1] >= toxicity.CUT) == labels[600:]) > 0.95 and 0 <= score[-1] <= 1
+    assert np.mean((score[:-1] >= toxicity.CUT) == labels[600:]) > 0.95 and 0 <= score[-1] < toxicity.CUT
+    assert model.logits([""])[0] == model.logits([" \t.,"])[0] == model.base
     assert toxicity.train([], np.zeros(0), 0.0).logits(["x"]).shape == (1,)
 
 
@@ -414,11 +415,9 @@ def test_mixing_quotas_equal_brute_force_on_random_trees(spark):
         assert got == deal_tree({p: n * epochs for p, n in tokens.items()}, weights, int(sum(tokens.values()) * share // 1))
 
 
-def test_mixing_takes_the_same_rows_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BIN", 8)
-    r = random.Random(5)
-    docs = docs_of(spark, [" ".join(["w"] * r.randint(0, 40)) for _ in range(240)] + [None, "", "same text", "same text"])
-    weights, share, epochs = {("books",): 4.0, ("web", "en", "src0"): 2.0}, 1.3, 2
+def mixed(docs, weights, share, epochs):
+    """The (doc_id, epoch) that a mix takes, leaf by leaf in the seeded order, and the ids of rows without tokens."""
+    spark = docs.sparkSession
     rows = [x.asDict() for x in docs.select("doc_id", "source", "lang", row_key().alias("row_key"), mixing.domain_of(F.col("source")).alias("domain"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")).collect()]
     leaf_of = lambda x: (x["domain"], x["lang"], x["source"])
     tokens: dict = {}
@@ -433,11 +432,80 @@ def test_mixing_takes_the_same_rows_as_brute_force(spark, monkeypatch):
         for x in sorted((x for x in rows if leaf_of(x) == leaf), key=lambda x: place[x["doc_id"]] % 2**64):
             want += [(x["doc_id"], e) for e in range(1, whole + (before < rest) + 1)]
             before += x["n"]
-    free = {x["doc_id"] for x in rows if x["n"] == 0}  # rows without tokens go with their bin
+    return want, {x["doc_id"] for x in rows if x["n"] == 0}  # rows without tokens go with their bin
+
+
+def test_mixing_takes_the_same_rows_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN", 8)
+    r = random.Random(5)
+    docs = docs_of(spark, [" ".join(["w"] * r.randint(0, 40)) for _ in range(240)] + [None, "", "same text", "same text"])
+    weights, share, epochs = {("books",): 4.0, ("web", "en", "src0"): 2.0}, 1.3, 2
+    want, free = mixed(docs, weights, share, epochs)
     got = [(x.doc_id, x.epoch) for x in mixing.mix(docs, weights, share, epochs).collect()]
     assert sorted(x for x in got if x[0] not in free) == sorted(x for x in want if x[0] not in free)
 
 
+def test_pipeline_equals_brute_force_stage_by_stage(spark, monkeypatch):
+    """Each stage of a whole run against brute force on all that its predecessor kept."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import corpus_pipeline
+    from quarryflow.llm import common
+
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioust") + r.choice("nlrmk") for _ in range(r.randint(1, 4))) for _ in range(600)]
+    bad = ["grobzwix", "vlaxnurf", "pizquog"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(20, 120))) for _ in range(260)]
+    for k in range(0, 260, 4):
+        w = texts[k].split(" ")
+        for _ in range(2 + len(w) // 15):
+            w[r.randrange(len(w))] = r.choice(bad)
+        texts[k] = " ".join(w)
+    toxic = set(range(0, 260, 4))
+    for k in range(1, 200, 4):
+        near = texts[k].split(" ")
+        near[-1] = "changed"
+        texts += [texts[k].replace(" ", "  ", k % 3), texts[k], " ".join(near)]
+    texts += ["", None, " ", "one two"]
+    folder = scratch(spark, "sf")
+    docs_of(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(260)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages, write = {}, common.materialise
+
+    def note(df, name):
+        stages[name] = write(df, name)
+        return stages[name]
+
+    monkeypatch.setattr(common, "materialise", note)
+    out = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert list(stages) == [name for name, _ in corpus_pipeline.STAGES[:-1]] and all(x.columns == docs.columns for x in stages.values())
+    rows = {name: {x.doc_id: x.text for x in df.collect()} for name, df in stages.items()}
+    assert all(df.count() == len(rows[name]) for name, df in stages.items())
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    cut = np.log(toxicity.CUT / (1 - toxicity.CUT))
+    clean = {i for i, t in enumerate(texts) if model.logits([t or ""])[0] < cut}
+    assert set(rows["toxicity"]) == clean and len(clean & toxic) <= 3 and len(clean) >= len(texts) - len(toxic) - 3
+
+    groups: dict = {}
+    for i, t in rows["toxicity"].items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append(i)
+    assert set(rows["exact_dedup"]) == {min(ids, key=lambda i: (-len(texts[i] or ""), i)) for ids in groups.values()}
+
+    ids = sorted(rows["exact_dedup"])
+    found = components_of([rows["exact_dedup"][i] for i in ids])
+    assert set(rows["near_dedup"]) == {ids[k] for k, (n, c) in found.items() if n == 0 or c == k} and len(rows["near_dedup"]) < len(ids) - 20
+
+    want, free = mixed(stages["near_dedup"], mixing.WEIGHTS, mixing.SHARE, 1)
+    assert set(rows["mixing"]) - free == {i for i, _ in want} - free and len(rows["mixing"]) < len(rows["near_dedup"])
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted(x.doc_id for x in out) == sorted(rows["mixing"])
+    for x in out:
+        ids = library.encode(texts[x.doc_id] or "", add_special_tokens=False).ids
+        assert list(x.ids) == ids and x.decoded == library.decode(ids, skip_special_tokens=False)
+
+
 def test_rollups_commit_once(spark):
     root = scratch(spark, "rollups")
     rows = spark.createDataFrame([(1, "s", None, "v", 5), (2, "s", None, "v", 7), (3, None, "en", "v", None)], "doc_id long, source string, lang string, version string, n long")
