@@ -217,26 +217,27 @@ def train_classifier(spark, d):
 
 
 # --- 2.15 streams: each runs to the end of its files, so its rows are those of the batch twin
-def _events(spark, d, files: int = 4):
+def _events(spark, d, slices: int = 4):
     path = io.scratch(spark, "incoming")
     e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    _arrive(e, path, files)
-    return T.stream_source(spark, path, e.schema, max_files=1)
+    return T.stream_source(spark, path, e.schema, max_files=_arrive(e, path, slices))
 
 
 #: Rows of one file that arrives, on average.
 FILE_ROWS = 1_000_000
 
 
-def _arrive(e, path: str, files: int = 4) -> None:
-    """Write files of a bounded number of rows that come in order of time: the stream takes them by their age.  Rows without a time are in the first."""
-    files = max(files, -(-e.count() // FILE_ROWS))
-    cuts = [F.timestamp_seconds(F.lit(x)) for x in e.select(F.unix_timestamp("ts").alias("s")).stat.approxQuantile("s", [i / files for i in range(1, files)], 0.01)]
+def _arrive(e, path: str, slices: int = 4) -> int:
+    """Write slices that come in order of time, each as so many files of a bounded number of rows; gives that number, so that a batch can take a slice.  Rows without a time are in the first."""
+    files = max(1, -(-e.count() // (slices * FILE_ROWS)))
+    ends = e.select(F.unix_timestamp("ts").alias("s")).stat.approxQuantile("s", [i / slices for i in range(1, slices)], 0.01)
+    cuts = [F.timestamp_seconds(F.lit(x)) for x in sorted(set(ends))]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = e if low is None else e.where(F.col("ts") >= low)
         if high is not None:
             part = part.where((F.col("ts") < high) | F.col("ts").isNull()) if low is None else part.where(F.col("ts") < high)
-        part.coalesce(1).write.mode("append").json(path)
+        part.repartition(files).write.mode("append").json(path)
+    return files
 
 
 def _run(spark, stream, schema=None):
@@ -299,10 +300,10 @@ def stream_upsert_sink(spark, d):
 
 @q(f"SELECT * FROM ({_WINDOW}) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def late_data_policy(spark, d):
-    """Rows that come a day or more late, in the last file, are dropped once their window is closed."""
+    """Rows that come a day or more late, in the last files, are dropped once their window is closed."""
     path = io.scratch(spark, "late")
     e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    _arrive(e, path)
+    files = _arrive(e, path)
     late = e.where("event_type = 'error'").withColumn("ts", F.col("ts") - F.expr("interval 20 days"))
-    late.coalesce(1).write.mode("append").json(path)
-    return _run(spark, _windows(T.stream_source(spark, path, e.schema, max_files=1), "1 hour").drop("window_end")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    late.repartition(files).write.mode("append").json(path)
+    return _run(spark, _windows(T.stream_source(spark, path, e.schema, max_files=files), "1 hour").drop("window_end")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -30,6 +30,12 @@ def duck():
     return con
 
 
+@pytest.mark.parametrize("name", ["late_data_policy", "stream_tumbling_agg"])
+def test_streams_over_slices_of_several_files(spark, duck, name, monkeypatch):
+    monkeypatch.setattr("quarryflow.queries.products.FILE_ROWS", 60)
+    test_query_equals_sql(spark, duck, name)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
     got = queries.queries()[name](spark, D)
