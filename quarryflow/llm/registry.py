@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .bpe_lexicon import op6_bpe
+from .conversation_repair import op12_conversation_repair
 from .exact_dedup import op9_exact_dedup
 from .fingerprints import op4_fingerprints
 from .mixing import op3_mixing
 from .ngram_join import op5_ngram_jaccard
+from .spelling import op13_spelling_variants
 from .substring_dedup import op2_substring_dedup
 from .tag_paths import op1_html_extraction
 from .token_rollups import op10_token_rollups
+from .token_shards import op11_token_ids
 from .toxicity import op8_toxicity
 from .warc import op7_warc
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_rollups": op10_token_rollups,
+    "op11_token_ids": op11_token_ids,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
