@@ -43,7 +43,9 @@ def win_ntile(spark, d):
     return W.ntile_band(load(spark, d, "customer"), ["c_mktsegment"], ["c_acctbal", "c_custkey"], ["low", "mid", "high", "top"]).select("c_custkey", "band")
 
 
-q.sql("win_pct_rank", "SELECT c_custkey, percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS pr, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS cd FROM customer")
+@q("SELECT c_custkey, percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS pr, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS cd FROM customer")
+def win_pct_rank(spark, d):
+    return W.rank_share(load(spark, d, "customer"), ["c_mktsegment"], ["c_acctbal"]).select("c_custkey", F.col("percent_rank").alias("pr"), F.col("cume_dist").alias("cd"))
 
 
 @q("SELECT o_orderkey, (rank() OVER w + (count(*) OVER (PARTITION BY o_custkey, o_orderstatus) - 1) / 2.0) / count(*) OVER (PARTITION BY o_custkey) AS pct FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus)")
@@ -91,6 +93,46 @@ def win_conditional_reset(spark, d):
     return W.running_with_reset(events(spark, d), ["user_id"], ["ts", "event_id"], "value", F.col("event_type") == "error").select("event_id", F.round("running", 3).alias("running"))
 
 
+# keys that hold a large share of all rows: two-pass scans
+@q("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 1) AS running, count(o_totalprice) OVER w AS n, max(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def win_running_hot_key(spark, d):
+    x = orders(spark, d)
+    for fn, name in (("sum", "running"), ("count", "n"), ("max", "top")):
+        x = W.running(x, ["o_orderstatus"], ORDER, "o_totalprice", fn, name)
+    return x.select("o_orderkey", F.round("running", 1).alias("running"), "n", "top")
+
+
+@q("SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice) OVER w AS next, o_totalprice - lag(o_totalprice) OVER w AS delta FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)")
+def win_lag_lead_hot_key(spark, d):
+    return W.lag_delta(orders(spark, d), ["o_orderpriority"], ORDER, "o_totalprice").select("o_orderkey", "prev", "next", "delta")
+
+
+@q("""WITH g AS (SELECT *, sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM events)
+SELECT event_id, round(sum(value) OVER (PARTITION BY event_type, grp ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS running FROM g""")
+def win_reset_hot_key(spark, d):
+    return W.running_with_reset(events(spark, d), ["event_type"], ["ts", "event_id"], "value", F.col("value") > 90).select("event_id", F.round("running", 3).alias("running"))
+
+
+@q("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS row_number, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS rank, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS dense_rank FROM orders")
+def win_rank_hot_key(spark, d):
+    return W.rank_all(orders(spark, d), ["o_orderstatus"], ["o_orderdate"], ["o_orderkey"]).select("o_orderkey", "row_number", "rank", "dense_rank")
+
+
+@q("""WITH e AS (SELECT event_id, event_type, ts, CASE WHEN user_id % 5 = 0 THEN value END AS v FROM events)
+SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS before, first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM e""")
+def ffill_bfill_hot_key(spark, d):
+    e = events(spark, d).withColumn("before", F.when(F.pmod("user_id", F.lit(5)) == 0, F.col("value"))).withColumn("after", F.col("before"))
+    for c in ("before", "after"):
+        e = W.fill_forward(e, ["event_type"], ["ts", "event_id"], c, backward=c == "after")
+    return e.select("event_id", "before", "after")
+
+
+@q("""WITH m AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS p FROM events), g AS (SELECT *, epoch(p)::BIGINT // 3600 - row_number() OVER (PARTITION BY event_type ORDER BY p) AS i FROM m)
+SELECT event_type, min(p)::TIMESTAMP AS island_start, max(p)::TIMESTAMP AS island_end, count(*) AS length FROM g GROUP BY event_type, i""")
+def win_gap_islands_hours(spark, d):
+    return W.islands(events(spark, d), ["event_type"], "ts", "hour")
+
+
 @q("""WITH m AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS p FROM orders), g AS (SELECT *, year(p) * 12 + month(p) - row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS i FROM m)
 SELECT o_custkey, min(p)::TIMESTAMP AS island_start, max(p)::TIMESTAMP AS island_end, count(*) AS length FROM g GROUP BY o_custkey, i""")
 def win_gap_islands(spark, d):
