@@ -69,9 +69,9 @@ def cdc_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cdc_apply(target: DataFrame, log: DataFrame, keys: list[str], seq: str, op: str = "op") -> DataFrame:
-    """Replay a change log; the last change of a key wins."""
+    """Replay a change log; the last change of a key wins.  A null key is a key like others."""
     last = log.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in log.columns if c not in keys)), seq).alias("_r")).select(*keys, "_r.*")
-    kept = target.join(last.select(*keys), keys, "left_anti")
+    kept = target.alias("t").join(last.select(*keys).alias("s"), _aligned(keys), "left_anti")
     return kept.unionByName(last.where(F.col(op) != "DELETE").select(*target.columns))
 
 
@@ -125,25 +125,32 @@ def append_evolve(target: DataFrame, new: DataFrame) -> DataFrame:
     return target.unionByName(new, allowMissingColumns=True)
 
 
-def incremental(source: DataFrame, root: str, name: str, ts: str) -> int:
-    """Append rows newer than the stored watermark and advance it to the largest loaded; returns the rows loaded.
+def incremental(source: DataFrame, root: str, name: str, ts: str, keys: list[str] | None = None, overlap: str = "0 seconds") -> int:
+    """Append the rows that were not loaded yet and advance the watermark to the largest time loaded; returns the rows loaded.
 
-    The load and its watermark are one numbered batch; the watermark is written last, and a
-    batch that failed before is overwritten, so a rerun loads nothing twice.
+    Read again are the rows from ``overlap`` before the watermark on, the watermark's own time
+    included, and those without a time; of these, the ones whose keys (all columns, if none are
+    given) were loaded in that stretch are left out.  So rows that tie with the watermark, come late
+    by up to ``overlap``, or have no time are loaded once, whenever they come; rows that are later
+    than that are not.  The load and its watermark are one numbered batch; the watermark is written
+    last, and a batch that failed before is overwritten, so a rerun loads nothing twice.
     """
     spark = source.sparkSession
     done = versions(spark, f"{root}/{name}")
+    keys = keys or source.columns
     fresh = source
     if done:
         mark = json.loads(spark.read.parquet(f"{root}/{name}/manifest/version={done[-1]}").first()["operation"])["mark"]
-        if mark is not None:
-            fresh = source.where(F.col(ts) > F.lit(mark).cast("timestamp"))
+        recent = F.lit(True) if mark is None else F.col(ts).isNull() | (F.col(ts) >= F.lit(mark).cast("timestamp") - F.expr(f"interval {overlap}"))
+        known = read_incremental(spark, root, name, source.schema).where(recent).select(*keys).distinct()
+        fresh = source.where(recent).alias("t").join(known.alias("s"), _aligned(keys), "left_anti")
     number = max(done, default=-1) + 1
     fresh.write.mode("overwrite").parquet(f"{root}/{name}/data/version={number}")
     loaded = spark.read.schema(source.schema).parquet(f"{root}/{name}/data/version={number}").agg(F.count("*").alias("n"), F.max(ts).cast("string").alias("mark")).first()
     if not loaded["n"]:
         return 0
-    spark.range(1).select(F.lit(number).cast("long").alias("version"), F.current_timestamp().alias("saved_at"), F.lit(json.dumps({"mark": loaded["mark"]})).alias("operation")).write.mode("overwrite").parquet(f"{root}/{name}/manifest/version={number}")
+    highest = max((x for x in (loaded["mark"], mark if done else None) if x is not None), default=None)
+    spark.range(1).select(F.lit(number).cast("long").alias("version"), F.current_timestamp().alias("saved_at"), F.lit(json.dumps({"mark": highest})).alias("operation")).write.mode("overwrite").parquet(f"{root}/{name}/manifest/version={number}")
     return loaded["n"]
 
 

@@ -54,6 +54,67 @@ def walk_hierarchy(spark: SparkSession, df: DataFrame, node: str, parent: str, r
     return spark.read.schema(schema).parquet(f"{root}/level=*")
 
 
+def _links(df: DataFrame, node: str, parent: str) -> DataFrame:
+    return df.where(F.col(node).isNotNull() & F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up")).dropDuplicates(["node"])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tree_roots(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth) of every node: the end of its chain of parents.
+
+    Pointer doubling: each round joins the paths with themselves, so paths of length 2^k take k
+    rounds, and a round has a row a node.  Nodes on a cycle, or below one, have no root: theirs is
+    null, with a null depth.  A parent that is no node itself is a root.
+    """
+    links = _links(df, node, parent)
+    nodes = df.where(F.col(node).isNotNull()).select(F.col(node).alias("node")).unionByName(links.select(F.col("up").alias("node"))).distinct()
+    at = _written(nodes.join(links, "node", "left").select("node", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "paths")
+    ends = nodes.join(links, "node", "left_anti")
+    rounds = max(1, math.ceil(math.log2(max(2, nodes.count()))) + 1)  # longer paths go round a cycle
+    for _ in range(rounds):
+        jump = at.select(F.col("node").alias("via"), F.col("root").alias("further"), F.col("depth").alias("more")).where("more > 0")
+        step = at.join(jump, F.col("root") == F.col("via"), "left")
+        at = _written(step.select("node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "paths")
+        moved = not at.where("moved").isEmpty()
+        at = at.drop("moved")
+        if not moved:
+            break
+    good = ends.select(F.col("node").alias("end"))
+    return at.join(good, F.col("root") == F.col("end"), "left").select("node", F.when(F.col("end").isNotNull(), F.col("root")).alias("root"), F.when(F.col("end").isNotNull(), F.col("depth")).alias("depth"))
+
+
+def ancestors(df: DataFrame, node: str, parent: str, of: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth): each node (or those in the column of ``of``) as ``root``, with itself and all its ancestors.
+
+    Pointer doubling: round k joins what is known up to 2^k levels with the jumps of 2^k levels, so
+    the rounds are as many as the depth has binary digits.  On a cycle a walk ends before it comes to
+    a node again.  The result has a row for each pair, which for a chain is quadratic in its length.
+    """
+    jump = _written(_links(df, node, parent).select("node", "up"), "jumps")
+    start = (df if of is None else of).where(F.col(node).isNotNull()).select(F.col(node).alias("root")).distinct()
+    known = _written(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "known")
+    looped = not tree_roots(df, node, parent).where("root is null").isEmpty()
+    length = 1
+    while not jump.isEmpty():
+        more = known.join(jump.withColumnRenamed("node", "via"), F.col("node") == F.col("via")).select("root", F.col("up").alias("node"), (F.col("depth") + length).alias("depth"))
+        both = known.unionByName(more)
+        if looped:  # a pair may be met again, further away
+            both = both.groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        grown = _written(both.select("root", "node", "depth"), "known")
+        if looped and grown.count() == known.count():
+            return grown
+        known = grown
+        further = jump.select(F.col("node").alias("via"), F.col("up").alias("next"))
+        jump = _written(jump.join(further, F.col("up") == F.col("via")).select("node", F.col("next").alias("up")), "jumps")
+        length *= 2
+    return known
+
+
 def hash_sample(df: DataFrame, keys: list[str], fraction: float, seed: int = 0) -> DataFrame:
     """Rows whose key hashes below a bound, about ``fraction`` of them: the same rows on every run and under retries, however the table is partitioned.  Null keys hash as empty text."""
     if fraction >= 1:

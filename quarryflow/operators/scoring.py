@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import band, col, count_if, rate_pct
 from ..streaming.streams import tumbling
 from .aggregates import medians
-from .joins import overlap_join
+from .joins import active_counts
+from .windows import with_previous
+
+#: Rows of a table of thresholds that meets every row.
+MOST_THRESHOLDS = 10_000
 
 
 def score_weighted(df: DataFrame, weights: dict[str, float], size_col: str, per_size: list[str], tiers: list[float], labels: list[str]) -> DataFrame:
@@ -51,8 +55,7 @@ def loss_ratio(losses: DataFrame, premiums: DataFrame, key: str, loss: str, prem
 
 def mrr(subs: DataFrame, periods: DataFrame, start: str, end: str, plan: str, price: str, account: str) -> DataFrame:
     """Recurring revenue per month and plan: accounts active in the month times the price."""
-    active = overlap_join(subs, periods, start, end, "month", "month_end")
-    x = active.groupBy("month", plan, price).agg(F.countDistinct(account).alias("accounts"))
+    x = active_counts(subs, periods, start, end, "month", "month_end", [plan, price], account, "accounts")
     return x.select("month", plan, "accounts", F.round(F.col("accounts") * F.col(price), 2).alias("mrr"))
 
 
@@ -63,8 +66,7 @@ def churn(df: DataFrame, segment: list, left: Column, base: Column) -> DataFrame
 
 def plan_changes(subs: DataFrame, account: str, order: list[str], price: str) -> DataFrame:
     """upgrade, downgrade or lateral against the account's plan before."""
-    before = F.lag(price).over(Window.partitionBy(account).orderBy(*order))
-    x = subs.withColumn("before", before).where("before is not null")
+    x = with_previous(subs, [account], order, price, "before").where("before is not null")
     return x.withColumn("change", band([(F.col(price) > F.col("before"), "upgrade"), (F.col(price) < F.col("before"), "downgrade")], "lateral"))
 
 
@@ -127,11 +129,21 @@ def restrict(df: DataFrame, entitlements: DataFrame, user: str, on: str) -> Data
 
 def what_if(df: DataFrame, score: str, thresholds: DataFrame) -> DataFrame:
     """Rows at or above each threshold of a small table."""
-    x = df.crossJoin(F.broadcast(thresholds))  # a parameter table of a few rows
+    if len(thresholds.limit(MOST_THRESHOLDS + 1).collect()) > MOST_THRESHOLDS:
+        raise ValueError(f"more than {MOST_THRESHOLDS} thresholds")
+    x = df.crossJoin(F.broadcast(thresholds))  # a parameter table of a checked size
     return x.groupBy("threshold").agg(count_if(F.col(score) >= F.col("threshold")).alias("hits"), F.count("*").alias("n"))
 
 
-def resample(df: DataFrame, ts: str, unit: str, aggs: list[Column], periods: DataFrame | None = None) -> DataFrame:
-    """Aggregates per period; with a calendar (column period) every period appears."""
+def resample(df: DataFrame, ts: str, unit: str, aggs: list[Column], periods: DataFrame | None = None, dense: bool = False) -> DataFrame:
+    """Aggregates per period; with a calendar (column period) every period of it appears, with ``dense`` every one from the first to the last of the data.
+
+    A calendar that lacks periods of the data would lose rows, so that is an error.
+    """
     x = df.groupBy(F.date_trunc(unit, F.col(ts)).cast("date").alias("period")).agg(*aggs)
+    if dense:
+        ends = df.agg(F.date_trunc(unit, F.min(ts)).cast("date").alias("low"), F.date_trunc(unit, F.max(ts)).cast("date").alias("high"))
+        periods = ends.where("low is not null").select(F.explode(F.expr(f"sequence(low, high, interval 1 {unit})")).alias("period"))
+    elif periods is not None and not x.where("period is not null").join(periods, "period", "left_anti").isEmpty():
+        raise ValueError("the calendar lacks periods of the data")
     return x if periods is None else periods.join(x, "period", "left")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_key, row_checksum
 
+#: Rows of a calendar that meets every entity.
+MOST_PERIODS = 10_000
+
 
 def changed(cols: list[str], left: str = "t", right: str = "s") -> Column:
     """Whether any column differs, null-safe."""
@@ -16,10 +19,10 @@ def changed(cols: list[str], left: str = "t", right: str = "s") -> Column:
 
 
 def scd1(target: DataFrame, source: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Overwrite attributes of known keys, add new ones."""
+    """Overwrite attributes of known keys, add new ones; a null key is a key like others."""
     t, s = target.alias("t"), source.withColumn("_hit", F.lit(True)).alias("s")
     pick = lambda c: F.when(F.col("s._hit"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-    j = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "outer")
+    j = t.join(s, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "outer")
     return j.select(*(F.coalesce(f"t.{k}", f"s.{k}").alias(k) for k in keys), *(pick(c) for c in cols))
 
 
@@ -30,12 +33,12 @@ def scd2_init(source: DataFrame, keys: list[str], attrs: list[str], as_of: Colum
 def scd2_apply(dim: DataFrame, source: DataFrame, keys: list[str], attrs: list[str], as_of: Column) -> DataFrame:
     """Expire changed current rows, add their new version and new keys.  Intervals are half-open; an open end is null.
 
-    Source keys must not repeat: that is checked, as a key would get two current rows.
+    Source keys must not repeat: that is checked, as a key would get two current rows.  A null key is a key like others.
     """
     if not source.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError(f"the source repeats keys of {keys}")
     current, old = dim.where("is_current"), dim.where("not is_current")
-    same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     j = current.alias("t").join(source.withColumn("_hit", F.lit(True)).alias("s"), same, "left")
     gone = F.coalesce(F.col("s._hit") & changed(attrs), F.lit(False))
     kept = j.select(*(F.col(f"t.{c}") for c in [*keys, *attrs, "valid_from"]), F.when(gone, as_of).otherwise(F.col("t.valid_to")).alias("valid_to"), (~gone).alias("is_current"))
@@ -49,8 +52,8 @@ def scd2_as_of(dim: DataFrame, date: Column) -> DataFrame:
 
 
 def scd3(target: DataFrame, source: DataFrame, key: str, attr: str) -> DataFrame:
-    """Keep the value before the last change in a column of its own."""
-    j = target.join(source.select(key, F.col(attr).alias("_new")), key, "left")
+    """Keep the value before the last change in a column of its own.  A null in the source is no change; a null key matches a null key."""
+    j = target.join(source.select(F.col(key).alias("_key"), F.col(attr).alias("_new")), F.col(key).eqNullSafe(F.col("_key")), "left")
     moved = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col(attr))
     return j.select(key, F.when(moved, F.col("_new")).otherwise(F.col(attr)).alias(attr), F.when(moved, F.col(attr)).alias(f"prev_{attr}"))
 
@@ -113,14 +116,22 @@ def star_fact(fact: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> D
 
 
 def periodic_snapshot(events: DataFrame, periods: DataFrame, key: str, at: str, value: str, period_end: str) -> DataFrame:
-    """One row per entity and period: the running total and count up to its end.
+    """One row per entity and period: the running total and count up to its end, events before the first period included.
 
-    Totals per entity and period are summed first, so the calendar meets entities, never events.
+    An event counts from the first period that ends on its day or later; events after the last
+    period and without a time count nowhere.  A null key is an entity like others.  Totals per
+    entity and period are summed first, so the calendar meets entities, never events.
     """
-    per = events.withColumn(period_end, F.last_day(F.col(at))).groupBy(key, period_end).agg(F.sum(value).alias("v"), F.count("*").alias("n"))
-    grid = events.select(key).distinct().crossJoin(F.broadcast(periods.select(period_end)))  # a calendar
+    ends = periods.select(F.col(period_end).cast("date").alias(period_end)).distinct()
+    if ends.count() > MOST_PERIODS:
+        raise ValueError(f"a calendar has at most {MOST_PERIODS} periods")
+    days = events.groupBy(F.col(key).alias("_key"), F.to_date(at).alias("_day")).agg(F.sum(value).alias("v"), F.count("*").alias("n"))
+    # each day's first period end: the calendar is an ordered list in one row
+    listed = ends.agg(F.array_sort(F.collect_list(period_end)).alias("_ends"))
+    per = days.crossJoin(F.broadcast(listed)).withColumn("_end", F.get(F.filter("_ends", lambda e: e >= F.col("_day")), F.lit(0))).groupBy("_key", "_end").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))  # one row of a checked size
+    grid = events.select(key).distinct().crossJoin(F.broadcast(ends))  # a calendar of a checked size
     w = Window.partitionBy(key).orderBy(period_end).rowsBetween(Window.unboundedPreceding, 0)
-    x = grid.join(per, [key, period_end], "left").withColumns({"total": F.coalesce(F.sum("v").over(w), F.lit(0.0)), "events": F.coalesce(F.sum("n").over(w), F.lit(0))})
+    x = grid.join(per, F.col(key).eqNullSafe(F.col("_key")) & (F.col(period_end) == F.col("_end")), "left").withColumns({"total": F.coalesce(F.sum("v").over(w), F.lit(0.0)), "events": F.coalesce(F.sum("n").over(w), F.lit(0))})
     return x.select(key, period_end, "total", "events")
 
 
@@ -141,7 +152,17 @@ def slice_dice(df: DataFrame, where: dict, group: list[str], measures: list[Colu
     return df.groupBy(*group).agg(*measures)
 
 
-def refresh_mart(mart: DataFrame, facts: DataFrame, touched: DataFrame, period: str, build) -> DataFrame:
-    """Rebuild only the touched periods: the others come from the mart."""
+def refresh_mart(mart: DataFrame, facts: DataFrame, period: str, build, touched: DataFrame | None = None, since=None) -> DataFrame:
+    """Rebuild only some periods, the others come from the mart: the ``touched`` ones (a table of them), or all from the date ``since`` on."""
+    if (touched is None) == (since is None):
+        raise ValueError("give either touched periods or a date")
+    if touched is None:
+        late = F.col(period) >= F.lit(since).cast("date")
+        return delete_late(mart, late).unionByName(build(facts.where(late)))
     fresh = build(facts.join(touched, period, "left_semi"))
     return mart.join(touched, period, "left_anti").unionByName(fresh)
+
+
+def delete_late(df: DataFrame, late: Column) -> DataFrame:
+    """Rows where the condition is not true; a null period stays."""
+    return df.where(~F.coalesce(late, F.lit(False)))

@@ -236,7 +236,7 @@ FROM s JOIN m ON a <= last_day(p) AND (b IS NULL OR b > p) GROUP BY 1""")
 def join_interval_overlap(spark, d):
     s = load(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.make_dt_interval(F.pmod("o_orderkey", F.lit(90)).cast("int"))).alias("b"))
     m = X.calendar_of(load(spark, d, "orders"), "o_orderdate", "1 month").select(F.col("d").alias("month"), F.last_day("d").alias("to"))
-    return J.overlap_join(s, m, "a", "b", "month", "to").groupBy("month").agg(F.count("*").alias("active"))
+    return J.active_counts(s, m, "a", "b", "month", "to")
 
 
 @q("""WITH v AS (SELECT o_custkey, o_orderdate AS f, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS t, o_orderkey FROM (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2)),
@@ -262,6 +262,13 @@ def join_salted(spark, d):
     return J.salted_join(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k")), s, "k", 8).drop("k")
 
 
+@q("SELECT event_id, name FROM events JOIN (SELECT DISTINCT event_type, upper(event_type) AS name FROM events WHERE event_type <> 'view') USING (event_type)")
+def join_salted_hot_keys(spark, d):
+    e = load(spark, d, "events").select("event_id", "event_type")
+    names = e.where("event_type <> 'view'").select("event_type", F.upper("event_type").alias("name")).distinct()
+    return J.salted_join(e, names, "event_type", 8).select("event_id", "name")
+
+
 @q("SELECT c_custkey AS id, c_nationkey AS nation_x, c_name AS name, s_nationkey AS nation_y FROM customer JOIN supplier ON c_custkey = s_suppkey")
 def join_renamed_keys(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))
@@ -370,19 +377,17 @@ def _tree(spark, d):
 _TREE = "t AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer)"
 
 
-@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0 AS depth FROM t WHERE id IN (37, 100) UNION ALL SELECT root, t.parent, depth + 1 FROM w JOIN t ON t.id = w.node WHERE t.parent IS NOT NULL) SELECT root, node, depth FROM w")
+@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0 AS depth FROM t UNION ALL SELECT root, t.parent, depth + 1 FROM w JOIN t ON t.id = w.node WHERE t.parent IS NOT NULL) SELECT root, node, depth FROM w")
 def hierarchy_up(spark, d):
-    t = _tree(spark, d)
-    return R.walk_hierarchy(spark, t, "id", "parent", t.where("id in (37, 100)"), "up")
+    return R.ancestors(_tree(spark, d), "id", "parent")
 
 
-@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0 AS depth FROM t WHERE id = 5 UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent = w.node) SELECT root, node, depth FROM w")
+@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0::BIGINT AS depth FROM t WHERE parent IS NULL UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent = w.node) SELECT root, node, depth FROM w")
 def hierarchy_down(spark, d):
-    t = _tree(spark, d)
-    return R.walk_hierarchy(spark, t, "id", "parent", t.where("id = 5"), "down")
+    return R.tree_roots(_tree(spark, d), "id", "parent").select("root", "node", "depth")
 
 
-@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0 AS depth FROM t WHERE id = 1 UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent = w.node WHERE depth < 3) SELECT root, node, depth FROM w")
+@q(f"WITH RECURSIVE {_TREE}, w AS (SELECT id AS root, id AS node, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT root, t.id, depth + 1 FROM w JOIN t ON t.parent = w.node WHERE depth < 3) SELECT root, node, depth FROM w")
 def hierarchy_bounded(spark, d):
     t = _tree(spark, d)
-    return R.walk_hierarchy(spark, t, "id", "parent", t.where("id = 1"), "down", 3)
+    return R.walk_hierarchy(spark, t, "id", "parent", t.where("parent is null"), "down", 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..operators import incremental as I
 from ..operators import quality as Q
+from ..operators import snapshots as B
 from ..operators import warehouse as H
 from ..sources import io
 from .base import Section, load
@@ -180,8 +181,7 @@ def agg_table_compliance(spark, d):
 def mart_incremental_refresh(spark, d):
     o = load(spark, d, "orders").withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
     late = o.withColumn("o_totalprice", F.when(F.col("o_orderdate") >= "1997-01-01", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    touched = o.where("o_orderdate >= '1997-01-01'").select("month").distinct()
-    return H.refresh_mart(_mart(o), late, touched, "month", lambda x: _mart(x))
+    return H.refresh_mart(_mart(o), late, "month", _mart, since="1997-01-01")
 
 
 # --- 2.11 quality
@@ -291,7 +291,7 @@ def watermark_incremental(spark, d):
     root, e = io.scratch(spark, "loads"), load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     half = e.where("ts <= timestamp'2024-01-15 00:00:00'")
     for source in (half, e, e):  # the last run finds nothing new
-        I.incremental(source, root, "events", "ts")
+        I.incremental(source, root, "events", "ts", ["event_id"])
     return I.read_incremental(spark, root, "events", e.schema)
 
 
@@ -309,7 +309,28 @@ def insert_ignore(spark, d):
 
 @q(f"WITH {OLD}, {NEW} SELECT coalesce(old.k, new.k) AS k, coalesce(new.bal, old.bal) AS bal, coalesce(old.seg, new.seg) AS seg FROM old FULL JOIN new ON old.k = new.k")
 def merge_upsert(spark, d):
-    return I.upsert(old(spark, d), new(spark, d), ["k"], update=["bal"])
+    root = io.scratch(spark, "merged")
+    B.create(old(spark, d), root, ["k"], 16)
+    B.merge(spark, root, new(spark, d), update=["bal"])
+    return B.read(spark, root)
+
+
+@q(f"""WITH {OLD}, {NEW}, b AS (SELECT * FROM new WHERE k % 100 = 7) SELECT coalesce(old.k, b.k) AS k, CASE WHEN b.k IS NULL THEN old.bal ELSE b.bal END AS bal, CASE WHEN b.k IS NULL THEN old.seg ELSE b.seg END AS seg FROM old FULL JOIN b ON old.k = b.k WHERE coalesce(old.k, b.k) % 100 <> 11""")
+def merge_buckets(spark, d):
+    """A small batch and a few deletions: only the buckets of their keys are written again."""
+    root = io.scratch(spark, "buckets")
+    B.create(old(spark, d), root, ["k"], 16)
+    B.merge(spark, root, new(spark, d).where("k % 100 = 7"))
+    B.delete_keys(spark, root, old(spark, d).where("k % 100 = 11").select("k"))
+    return B.read(spark, root)
+
+
+@q(f"WITH {SCD2} SELECT * FROM dim")
+def scd2_buckets(spark, d):
+    root = io.scratch(spark, "dimension")
+    B.create(_dim(spark, d), root, ["k"], 16)
+    B.change(spark, root, new(spark, d), lambda dim, batch: H.scd2_apply(dim, batch, ["k"], ["bal", "seg"], F.lit("2024-02-01").cast("date")))
+    return B.read(spark, root)
 
 
 @q(f"WITH {NEW} SELECT * FROM new")
@@ -349,24 +370,26 @@ def cdc_apply(spark, d):
 
 def _versions(spark, d):
     root = io.scratch(spark, "versions")
-    I.save_version(old(spark, d), root, "CREATE", "2024-01-01 00:00:00")
-    I.save_version(new(spark, d), root, "MERGE", "2024-02-01 00:00:00")
+    B.create(old(spark, d), root, ["k"], 16, saved_at="2024-01-01 00:00:00")
+    B.create(new(spark, d), root, ["k"], 16, operation="REPLACE", saved_at="2024-02-01 00:00:00")
     return root
 
 
 @q(f"WITH {NEW} SELECT * FROM new")
 def version_snapshot(spark, d):
-    return I.read_version(spark, _versions(spark, d))
+    return B.read(spark, _versions(spark, d))
 
 
 @q(f"WITH {OLD} SELECT * FROM old")
 def time_travel(spark, d):
-    return I.read_version(spark, _versions(spark, d), at="2024-01-15 00:00:00")
+    return B.read(spark, _versions(spark, d), at="2024-01-15 00:00:00")
 
 
 @q(f"WITH {OLD}, {NEW} SELECT seg, count(*) AS n, 0 AS version FROM old GROUP BY 1 UNION ALL SELECT seg, count(*), 1 FROM new GROUP BY 1")
 def version_compare(spark, d):
-    return I.compare_versions(spark, _versions(spark, d), ["seg"])
+    root = _versions(spark, d)
+    each = [B.read(spark, root, v).groupBy("seg").agg(F.count("*").alias("n")).withColumn("version", F.lit(v)) for v in (0, 1)]
+    return each[0].unionByName(each[1])
 
 
 @q(f"WITH {OLD}, {NEW} SELECT *, NULL AS origin FROM old UNION ALL SELECT *, 'batch' FROM new")
@@ -382,6 +405,6 @@ def backfill_partition(spark, d):
     return io.read_table(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@q("SELECT * FROM (VALUES (0::BIGINT, 'CREATE'), (1, 'MERGE')) t(version, operation)")
+@q(f"WITH {OLD}, {NEW} SELECT 0::BIGINT AS version, TIMESTAMP '2024-01-01' AS saved_at, 'CREATE' AS operation, count(*) AS rows FROM old UNION ALL SELECT 1, TIMESTAMP '2024-02-01', 'REPLACE', count(*) FROM new")
 def history_log(spark, d):
-    return I.history(spark, _versions(spark, d)).select("version", "operation")
+    return B.history(spark, _versions(spark, d)).select("version", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"), "operation", "rows")

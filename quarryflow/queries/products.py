@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..operators import incremental, scoring as S
+from ..operators import scoring as S
+from ..operators import snapshots
 from ..operators.ml import score_rows, train_variants
 from ..plans import medallion as M
 from ..plans.dataset import build_dataset
@@ -201,10 +202,9 @@ def what_if_thresholds(spark, d):
     return S.what_if(load(spark, d, "customer"), "c_acctbal", spark.createDataFrame([(0.0,), (5000.0,), (9000.0,)], "threshold double"))
 
 
-@q("SELECT d::DATE AS period, count(event_id) AS n FROM (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS d) LEFT JOIN events ON ts::DATE = d::DATE GROUP BY 1")
+@q("SELECT d::DATE AS period, count(event_id) AS n FROM (SELECT unnest(generate_series(low, high, INTERVAL 1 DAY)) AS d FROM (SELECT date_trunc('day', min(ts))::TIMESTAMP AS low, max(ts)::TIMESTAMP AS high FROM events)) LEFT JOIN events ON ts::DATE = d::DATE GROUP BY 1")
 def resample_period(spark, d):
-    days = X.calendar(spark, "2023-12-25", "2024-02-05").select(F.col("d").alias("period"))
-    return S.resample(load(spark, d, "events"), "ts", "day", [F.count("*").alias("n")], days).na.fill(0)
+    return S.resample(load(spark, d, "events"), "ts", "day", [F.count("*").alias("n")], dense=True).na.fill(0)
 
 
 @q()
@@ -295,7 +295,7 @@ def stream_scorecard(spark, d):
 def stream_upsert_sink(spark, d):
     root = io.scratch(spark, "upserts")
     T.stream_upsert(_events(spark, d).select("user_id", "event_id"), f"{root}/table", ["user_id"], "event_id", f"{root}/checkpoint").awaitTermination()
-    return incremental.read_version(spark, f"{root}/table")
+    return snapshots.read(spark, f"{root}/table")
 
 
 @q(f"SELECT * FROM ({_WINDOW}) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

@@ -94,12 +94,12 @@ def win_conditional_reset(spark, d):
 
 
 # keys that hold a large share of all rows: two-pass scans
-@q("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 1) AS running, count(o_totalprice) OVER w AS n, max(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+@q("SELECT o_orderkey, (sum(o_totalprice::DECIMAL(18, 2)) OVER w)::DOUBLE AS running, count(o_totalprice) OVER w AS n, max(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def win_running_hot_key(spark, d):
-    x = orders(spark, d)
+    x = orders(spark, d).withColumn("price", F.col("o_totalprice").cast("decimal(18, 2)"))  # exact, in whatever order parts are added up
     for fn, name in (("sum", "running"), ("count", "n"), ("max", "top")):
-        x = W.running(x, ["o_orderstatus"], ORDER, "o_totalprice", fn, name)
-    return x.select("o_orderkey", F.round("running", 1).alias("running"), "n", "top")
+        x = W.running(x, ["o_orderstatus"], ORDER, "price", fn, name)
+    return x.select("o_orderkey", F.col("running").cast("double").alias("running"), "n", F.col("top").cast("double").alias("top"))
 
 
 @q("SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice) OVER w AS next, o_totalprice - lag(o_totalprice) OVER w AS delta FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental
+from ..operators import incremental, snapshots
 
 
 def stream_source(spark: SparkSession, path: str, schema, max_files: int = 100, fmt: str = "json") -> DataFrame:
@@ -31,22 +29,27 @@ def enrich(stream: DataFrame, static: DataFrame, key: str, how: str = "inner") -
     return stream.join(static, key, how)
 
 
-def stream_upsert(df: DataFrame, root: str, keys: list[str], order: str, checkpoint: str):
-    """Upsert each micro-batch into a versioned snapshot, saved at the time it is applied.
+def stream_upsert(df: DataFrame, root: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64):
+    """Upsert each micro-batch into a table of buckets, saved at the time it is applied; a batch rewrites the buckets of its keys.
 
     A batch that comes again is recognised by its number and skipped; a row that comes later but
     is older, by ``order``, than what the table has of its key changes nothing.
     """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = incremental.versions(spark, root)
-        if done and max(done) >= number:
+        started = bool(incremental.versions(spark, root))
+        if started and snapshots.manifest(spark, root).batch >= number:
             return
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in batch.columns if c not in keys)), order).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
-        target = incremental.read_version(spark, root) if done else last.limit(0)
-        before = target.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(order).alias("_before"))
-        newer = last.join(before, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").where(F.col("_before").isNull() | (F.col(order) >= F.col("_before"))).select(*batch.columns)
-        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f+00:00")
-        incremental.save_version(incremental.upsert(target, newer, keys), root, f"BATCH {number}", now)
+        if not started:
+            snapshots.create(last, root, keys, buckets, f"BATCH {number}", batch=number)
+            return
+
+        def newer(current: DataFrame, rows: DataFrame) -> DataFrame:
+            before = current.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(order).alias("_before"))
+            late = rows.join(before, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+            return incremental.upsert(current, late.where(F.col("_before").isNull() | (F.col(order) >= F.col("_before"))).select(*rows.columns), keys)
+
+        snapshots.change(spark, root, last, newer, f"BATCH {number}", number=number)
 
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

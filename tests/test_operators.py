@@ -2,12 +2,13 @@
 
 import datetime
 import inspect
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarryflow.functions import columns as X
-from quarryflow.operators import aggregates, incremental, joins, quality, reshape, scoring, warehouse, windows
+from quarryflow.operators import aggregates, incremental, joins, quality, reshape, scoring, snapshots, warehouse, windows
 from quarryflow.plans import medallion
 from quarryflow.plans.dataset import build_dataset
 from quarryflow.sources import io
@@ -189,11 +190,131 @@ def test_surrogate_keys_are_dense_after_one_shuffle(spark, capsys):
     assert "hashpartitioning(k" not in capsys.readouterr().out
 
 
-def test_overlap_join_starts_with_the_first_period(spark):
+def test_active_counts_equal_a_comparison_of_all_pairs(spark):
     day = datetime.date
-    facts = spark.createDataFrame([(1, day(1990, 1, 1), None), (2, day(2024, 1, 20), day(2024, 2, 10)), (3, day(1990, 1, 1), day(1991, 1, 1))], "id int, a date, b date")
-    periods = spark.createDataFrame([(day(2024, 1, 1), day(2024, 1, 31)), (day(2024, 2, 1), day(2024, 2, 29))], "p date, q date")
-    assert sorted((r.id, r.p.month) for r in joins.overlap_join(facts, periods, "a", "b", "p", "q").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    facts = [(1, "x", "p", day(1990, 1, 1), None), (2, "y", "p", day(2024, 1, 20), day(2024, 2, 10)), (3, "x", "p", day(1990, 1, 1), day(1991, 1, 1)), (4, "y", "p", day(2024, 2, 20), day(2024, 3, 2)), (5, None, "q", day(2024, 3, 1), None), (6, "z", None, day(2024, 5, 1), None), (7, "z", "q", None, None), (8, "z", "q", day(2024, 1, 31), day(2024, 2, 1))]
+    periods = [(day(2024, 1, 1), day(2024, 1, 31)), (day(2024, 2, 1), day(2024, 2, 29)), (day(2024, 3, 1), day(2024, 3, 31))]
+    f = spark.createDataFrame(facts, "id int, account string, plan string, a date, b date")
+    p = spark.createDataFrame(periods, "p date, q date")
+    expected = {}
+    for _, account, plan, a, b in facts:
+        for low, high in periods:
+            if a is not None and a <= high and (b is None or b > low):
+                expected.setdefault((plan, low), []).append(account)
+    got = {(r.plan, r.p): r.active for r in joins.active_counts(f, p, "a", "b", "p", "q", ["plan"]).collect()}
+    assert got == {k: len(v) for k, v in expected.items()}
+    got = {(r.plan, r.p): r.active for r in joins.active_counts(f, p, "a", "b", "p", "q", ["plan"], "account").collect()}
+    assert got == {k: len(set(v) - {None}) for k, v in expected.items() if set(v) - {None}}
+    assert joins.active_counts(f.limit(0), p, "a", "b", "p", "q").count() == 0 and joins.active_counts(f, p.limit(0), "a", "b", "p", "q").count() == 0
+    with pytest.raises(ValueError):
+        joins.active_counts(f, p.unionByName(spark.createDataFrame([(day(2024, 1, 2), day(2024, 1, 3))], "p date, q date")), "a", "b", "p", "q")
+
+
+def test_salted_join_repeats_hot_keys_alone(spark):
+    big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 300).cast("string"))).alias("k"), "id")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("k7", 4), (None, 5)], "k string, v int")
+    hot = {r.k: r.n for r in joins.heavy_hitters(big, "k", 0.1).collect()}
+    assert set(hot) == {"hot"} and hot["hot"] >= 2000
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain, salted = big.join(small, "k", how), joins.salted_join(big, small, "k", 8, how, share=0.1)
+        assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_change_writes_the_buckets_it_touches(spark):
+    root = io.scratch(spark, "buckets")
+    table = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("a" * 20).alias("v"))
+    assert snapshots.create(table, root, ["k"], 50, saved_at="2024-01-01 00:00:00") == 0
+    batch = spark.createDataFrame([(7, "new"), (99999, "more"), (None, "null")], "k int, v string")  # another type than the table's
+    assert snapshots.merge(spark, root, batch, saved_at="2024-02-01 00:00:00") == 1
+    assert snapshots.delete_keys(spark, root, spark.createDataFrame([(8,), (123456,)], "k long"), saved_at="2024-03-01 00:00:00") == 2
+    now = {r.k: r.v for r in snapshots.read(spark, root).collect()}
+    assert len(now) == 5000 and now[7] == "new" and now[99999] == "more" and now[None] == "null" and 8 not in now
+    assert {r.v for r in snapshots.read(spark, root, 0).collect()} == {"a" * 20} and snapshots.read(spark, root, at="2024-02-15 00:00:00").where("k = 8").count() == 1
+    log = [(r.version, r.operation, r.rows, r.buckets_written) for r in snapshots.history(spark, root).orderBy("version").collect()]
+    assert [x[:3] for x in log] == [(0, "CREATE", 5000), (1, "MERGE", 5001), (2, "DELETE", 5000)] and log[1][3] <= 3 and log[2][3] <= 2
+    size = lambda v: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(f"{root}/data/version={v}") for f in names)
+    assert size(1) < size(0) / 5
+    with pytest.raises(ValueError):
+        snapshots.change(spark, root, batch.where("k = 7"), lambda current, rows: current.unionByName(table))
+    empty = io.scratch(spark, "empty")
+    snapshots.create(table.limit(0), empty, ["k"], 4)
+    assert snapshots.read(spark, empty).count() == 0
+    snapshots.merge(spark, empty, batch)
+    assert snapshots.read(spark, empty).count() == 3
+
+
+def test_slowly_changing_dimension_in_buckets(spark):
+    root = io.scratch(spark, "dim")
+    date = lambda x: F.lit(x).cast("date")
+    first = spark.createDataFrame([(i, "a") for i in range(200)] + [(None, "n")], "k int, v string")
+    snapshots.create(warehouse.scd2_init(first, ["k"], ["v"], date("2024-01-01")), root, ["k"], 20)
+    batch = spark.createDataFrame([(5, "b"), (300, "c"), (None, "n")], "k int, v string")
+    snapshots.change(spark, root, batch, lambda dim, rows: warehouse.scd2_apply(dim, rows, ["k"], ["v"], date("2024-02-01")))
+    dim = snapshots.read(spark, root)
+    assert dim.count() == 203 and dim.where("is_current").count() == 202
+    assert sorted((r.v, r.is_current) for r in dim.where("k = 5").collect()) == [("a", False), ("b", True)] and dim.where("k is null").count() == 1
+
+
+def test_null_keys_are_keys(spark):
+    t = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(warehouse.scd1(t, t, ["k"], ["v"])) == same(t)
+    dim = warehouse.scd2_init(t, ["k"], ["v"], F.lit("2024-01-01").cast("date"))
+    assert same(warehouse.scd2_apply(dim, t, ["k"], ["v"], F.lit("2024-02-01").cast("date"))) == same(dim)
+    log = spark.createDataFrame([(None, 9, "UPDATE", 1), (2, 0, "DELETE", 2)], "k int, v int, op string, seq int")
+    assert [tuple(r) for r in incremental.cdc_apply(t, log, ["k"], "seq").collect()] == [(None, 9)]
+    assert {r.k: (r.v, r.prev_v) for r in warehouse.scd3(t, spark.createDataFrame([(None, 5), (2, None)], "k int, v int"), "k", "v").collect()} == {None: (5, 1), 2: (2, None)}
+
+
+def test_periodic_snapshot_counts_earlier_events_and_null_keys(spark):
+    day = datetime.date
+    events = spark.createDataFrame([("a", day(2023, 11, 5), 10.0), ("a", day(2024, 2, 3), 1.0), (None, day(2024, 1, 9), 4.0), ("b", day(2024, 9, 1), 7.0), ("b", None, 3.0)], "k string, at date, v double")
+    ends = spark.createDataFrame([(day(2024, 1, 31),), (day(2024, 2, 29),)], "e date")
+    got = {(r.k, r.e.month): (r.total, r.events) for r in warehouse.periodic_snapshot(events, ends, "k", "at", "v", "e").collect()}
+    assert got == {("a", 1): (10.0, 1), ("a", 2): (11.0, 2), (None, 1): (4.0, 1), (None, 2): (4.0, 1), ("b", 1): (0.0, 0), ("b", 2): (0.0, 0)}
+
+
+def test_loads_take_ties_late_rows_and_rows_without_time_once(spark):
+    root = io.scratch(spark, "ties")
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    days = [[(1, at(5)), (2, None)], [(3, at(5)), (4, None)], [(5, at(4)), (6, at(1)), (7, at(9))], []]
+    seen, loaded = [], []
+    for day in days:
+        seen += day
+        source = spark.createDataFrame(seen, "id int, ts timestamp")
+        loaded.append(incremental.incremental(source, root, "t", "ts", ["id"], "2 hours"))
+    assert loaded == [2, 2, 2, 0]
+    got = sorted(r.id for r in incremental.read_incremental(spark, root, "t", source.schema).collect())
+    assert got == [1, 2, 3, 4, 5, 7]  # 6 is later than the overlap
+
+
+def test_pointer_doubling(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(reshape, "_written", lambda df, name, real=reshape._written: written.append(name) or real(df, name))
+    chain = spark.range(3000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    got = reshape.tree_roots(chain, "id", "parent")
+    assert got.where("root = 0 and depth = node").count() == 3000 and len(written) <= 15
+    edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 99), (10, 11), (11, 12), (12, 10), (13, 12), (14, 14), (None, 1)]
+    t = spark.createDataFrame(edges, "id int, parent int")
+    assert {r.node: (r.root, r.depth) for r in reshape.tree_roots(t, "id", "parent").collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (99, 1), 99: (99, 0)} | {x: (None, None) for x in (10, 11, 12, 13, 14)}
+    parents = {a: b for a, b in edges if a is not None}
+    expected = set()
+    for a in parents:
+        node, depth, seen = a, 0, set()
+        while node is not None and node not in seen:
+            expected.add((a, node, depth))
+            seen.add(node)
+            node, depth = parents.get(node), depth + 1
+    assert {tuple(r) for r in reshape.ancestors(t, "id", "parent").collect()} == expected
+    assert {r.node for r in reshape.ancestors(t, "id", "parent", t.where("id = 4")).collect()} == {1, 2, 3, 4}
+
+
+def test_resample_from_first_to_last(spark):
+    e = spark.createDataFrame([("2024-01-30 10:00:00",), ("2024-02-02 09:00:00",)], "t string").select(F.col("t").cast("timestamp").alias("ts"))
+    got = {str(r.period): r.n for r in scoring.resample(e, "ts", "day", [F.count("*").alias("n")], dense=True).collect()}
+    assert got == {"2024-01-30": 1, "2024-01-31": None, "2024-02-01": None, "2024-02-02": 1}
+    with pytest.raises(ValueError):
+        scoring.resample(e, "ts", "day", [F.count("*").alias("n")], spark.createDataFrame([("2024-01-30",)], "d string").select(F.col("d").cast("date").alias("period")))
 
 
 def test_streamed_upsert_ignores_older_rows_and_keeps_times(spark):
@@ -202,8 +323,8 @@ def test_streamed_upsert_ignores_older_rows_and_keeps_times(spark):
         spark.createDataFrame([day], "k int, at int, v string").write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema("k int, at int, v string").parquet(f"{root}/in")
         streams.stream_upsert(source, f"{root}/table", ["k"], "at", f"{root}/checkpoint").awaitTermination()
-    assert rows(incremental.read_version(spark, f"{root}/table")) == [(1, 5, "new")]
-    times = [r.saved_at for r in incremental.history(spark, f"{root}/table").orderBy("version").collect()]
+    assert rows(snapshots.read(spark, f"{root}/table")) == [(1, 5, "new")]
+    times = [r.saved_at for r in snapshots.history(spark, f"{root}/table").orderBy("version").collect()]
     assert len(times) == 2 and times[0] < times[1]
 
 
