@@ -29,7 +29,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -45,24 +44,28 @@ from .textkernel import mix
 BLOCK, FILE_BLOCKS, BUCKET = 1 << 19, 16, 1024
 #: Bytes of text that a shard's task gets, on average, and the largest number of such tasks.
 SHARD_TEXT, MOST_SHARDS = 16 << 20, 100_000
-#: Bytes of pieces and ids that a worker keeps, and the longest piece among them.
-KEPT_BYTES, KEPT_PIECE = 48 << 20, 256
+#: Bytes that a worker keeps for pieces and their ids, and letters of the longest piece among them.
+KEPT_BYTES, KEPT_PIECE = 24 << 20, 256
+#: Bytes of text worked on at once, pieces that go to the library in one call.
+SLICE, CALL = 4 << 20, 128
 END = 0
 _LEVELS, _ROOM = 64, 2
 _HEAD = 16
 # A text may be cut before a blank or line feed that follows no white space (taken widely): no token spans such a place.
-_WIDE = "\\s\u180e\u200b\ufeff"
+_WHITE = "\u180e\u200b\ufeff"
+_WIDE = f"\\s{_WHITE}"
 _CUT = re.compile(f"(?<=[^{_WIDE}])(?=[ \n])")
-_ENDS_WIDE = re.compile(f"[{_WIDE}]$")
-# nor does one span the place between letters and these marks
-_STEM = re.compile("([ \n]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]+)")
 
 
 # --- encoding ---------------------------------------------------------------------------------
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece through the tokenizers library, each distinct piece once while it is kept."""
+    """Encodes texts piece by piece through the tokenizers library, each distinct piece once while it is kept.
+
+    No token spans a blank or line feed and what precedes it, so texts are cut there; Arrow splits
+    them and finds the pieces that are known, numpy puts the ids together.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,17 +78,25 @@ class PieceEncoder:
             special = json.load(f)["added_tokens"]
         self.between = special[0] if special else None
         self.kind = id_type(self.tokenizer.get_vocab_size())
-        self.kept: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """The pieces kept, as Arrow strings, whether each ends open to white space, and their ids in one array with the place of each."""
+        self.words = pa.array([], pa.large_string())
+        self.open_end = np.zeros(0, dtype=bool)
+        self.ids, self.sizes, self.starts = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece by itself; many go in one call, with a special token between them."""
-        code, mark = self.kind.char, self.between and self.between["content"]
-        alone = [p for p in pieces if mark is None or mark in p or len(p) > KEPT_PIECE]
-        found = dict(zip(alone, (array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
-        rest = [p for p in pieces if p not in found]
-        for at in range(0, len(rest), 64):
-            part = rest[at : at + 64]
+        mark = self.between and self.between["content"]
+        found = {"": b""}
+        for piece in pieces:
+            if piece and (mark is None or mark in piece or len(piece) > KEPT_PIECE) and piece not in found:
+                found[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        rest = [p for p in dict.fromkeys(pieces) if p not in found]
+        for at in range(0, len(rest), CALL):
+            part = rest[at : at + CALL]
             ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = [*np.flatnonzero(ids == self.between["id"]).tolist(), len(ids)]
             if len(ends) != len(part):
@@ -96,57 +107,77 @@ class PieceEncoder:
                 start = end + 1
         return [found[p] for p in pieces]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, as bytes."""
-        if self.held > KEPT_BYTES:
-            self.kept, self.held = {"": b""}, 0
-        get = self.kept.get
-        found = list(map(get, pieces))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        if not lacking:
-            return found
-        parts = [m.groups() if (m := _STEM.fullmatch(pieces[i])) else (pieces[i],) for i in lacking]
-        new = [p for p in dict.fromkeys(p for own in parts for p in own) if get(p) is None]
-        fresh = dict(zip(new, self._library(new)))
-        for i, own in zip(lacking, parts):
-            found[i] = b"".join([fresh[p] if p in fresh else get(p) for p in own])
-            fresh[pieces[i]] = found[i]
-        for piece, ids in fresh.items():
-            if len(piece) <= KEPT_PIECE:
-                self.kept[piece] = ids
-                self.held += len(piece) + len(ids)
-        return found
+    def _learn(self, words: list[str]) -> None:
+        """Encode later words of texts (each begins at a line feed or at the blank before it) and keep them."""
+        ids = self._library([w if w[:1] == "\n" else f" {w}" for w in words])
+        sizes = np.array([len(x) for x in ids], dtype=np.int32) // self.kind.itemsize
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.open_end = np.concatenate((self.open_end, np.array([not w or w[-1] in _WHITE or w[-1].isspace() for w in words], dtype=bool)))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), self.kind)))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int32)))
+
+    def _shrink(self) -> None:
+        """Beyond ``KEPT_BYTES`` the pieces that were met again stay, unless these are many, and no long ones."""
+        if self.words.nbytes + self.ids.nbytes + 13 * len(self.words) <= KEPT_BYTES:
+            return
+        stay = (self.used > 1) & (pc.utf8_length(self.words).to_numpy() <= KEPT_PIECE)
+        if self.sizes[stay].sum() > len(self.ids) // 2:
+            self.forget()
+            return
+        self.words, self.open_end, self.used = self.words.filter(pa.array(stay)), self.open_end[stay], self.used[stay] // 2
+        self.ids = self.ids[_ragged(self.starts[stay], self.sizes[stay])]
+        self.sizes = self.sizes[stay]
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
 
     def texts(self, text: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
+        self._shrink()
         text = text.cast(pa.large_string()).fill_null("")
         words = pc.split_pattern(pc.replace_substring(text, "\n", " \n"), " ")
         offsets = words.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        coded = words.flatten().dictionary_encode()
-        codes, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        words = words.flatten()
+        place = pc.index_in(words, value_set=self.words)
+        codes = place.fill_null(0).to_numpy().copy()
+        if place.null_count:
+            new = words.filter(place.is_null()).dictionary_encode()
+            codes[place.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + new.indices.to_numpy()
+            self._learn(new.dictionary.to_pylist())
+        self.used += np.bincount(codes, minlength=len(self.used)).astype(np.int32)
+        # a later word is no piece by itself if white space or nothing precedes the place where it begins
         first, last = offsets[:-1], offsets[1:] - 1
-        # each later word begins at a blank or line feed; that is no cut where white space or nothing precedes it
-        open_end = np.array([bool(not w or _ENDS_WIDE.search(w)) for w in unique], dtype=bool)[codes]
-        open_end[first] &= np.array([unique[c] != "" for c in codes[first]], dtype=bool)
-        open_end[last] = False
-        keys = [w if w[:1] == "\n" else " " + w for w in unique]
-        keys += [unique[c] for c in codes[first]]
-        codes[first] = np.arange(len(unique), len(keys))
-        found = self.pieces(keys)
-        sizes = np.array([len(x) for x in found], dtype=np.int64) // self.kind.itemsize
-        starts = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(found), self.kind)
-        count = sizes[codes]
-        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))
-        ids = ids[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], count)]
-        edges = upto[offsets].tolist()
+        joined = self.open_end[codes]
+        opening = [w.as_py() for w in words.take(pa.array(first))]
+        joined[first] &= np.array([w != "" for w in opening], dtype=bool)
+        joined[last] = False
+        # the first word of a text begins without a blank
+        openings = self._library(opening)
+        size = np.array([len(x) for x in openings], dtype=np.int32) // self.kind.itemsize
+        ids = np.concatenate((self.ids, np.frombuffer(b"".join(openings), self.kind)))
+        starts, sizes = self.starts[codes], self.sizes[codes]
+        starts[first], sizes[first] = len(self.ids) + np.cumsum(size) - size, size
+        ids = ids[_ragged(starts, sizes)]
+        edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))[offsets].tolist()
         out = [ids[a:b] for a, b in zip(edges, edges[1:])]
-        for row in np.unique(np.searchsorted(offsets, np.flatnonzero(open_end), side="right") - 1).tolist():
-            out[row] = np.frombuffer(b"".join(self.pieces(_CUT.split(text[row].as_py()))), self.kind)
+        for row in np.unique(np.searchsorted(offsets, np.flatnonzero(joined), side="right") - 1).tolist():
+            parts = _CUT.split(text[row].as_py())
+            known = dict.fromkeys(parts)
+            known.update(zip(known, self._library(list(known))))
+            out[row] = np.frombuffer(b"".join(map(known.__getitem__, parts)), self.kind)
         return out
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans of these starts and sizes, one after the other."""
+    upto = np.cumsum(sizes, dtype=np.int64)
+    kind = np.int32 if not len(upto) or max(upto[-1], starts.max()) < 1 << 31 else np.int64
+    places = np.repeat((starts - (upto - sizes)).astype(kind), sizes)
+    places += np.arange(len(places), dtype=kind)
+    return places
+
+
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
@@ -193,7 +224,7 @@ def _blocks(name: str, block: int):
         encoder = _encoder(name)
         doc_ids, texts, held = [], [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.texts(part.column("text"))):
                     if texts and held + len(ids) >= block:
                         yield pa.RecordBatch.from_arrays([pa.array([block_of(doc_ids, texts, encoder.kind)], pa.binary())], ["value"])
