@@ -9,11 +9,15 @@ of a ``div``, ``section``, ``article``, ``main`` or ``body`` that holds content,
 beside content in the same one of these, unless its block is made of links.  A part of the page
 without content of its own (a menu, a list of links, a line about rights) has no such leaf.
 
-Never content: elements whose tag says menu, footer, sidebar, form, script or style; a ``header``
-outside an article; hidden elements; anything outside ``body``; and prose that is not the
-article's, which no ratio can tell from it: elements whose class, id or role names comments,
-adverts, notices and the like.  Words that articles use as well (related, note, side) count as
-such names only by themselves or with a word like box, bar, list or posts.
+Never content: scripts, styles, controls and hidden elements, and anything outside ``body``.  Set
+aside: elements whose tag says menu, footer, sidebar or form, a ``header`` outside an article, and
+prose that is not the article's, which no ratio can tell from it: elements whose class, id or role
+names comments, adverts, notices and the like.  Words that articles use as well (related, note,
+side) count as such names only by themselves or with a word like box, bar, list or posts, and a
+name with a word like has, no or with says what is around or missing and counts for nothing.
+What was set aside by its tag alone is judged by what it leaves: if no sentence is left and a form,
+sidebar or dialog holds most of the page's text, it is a wrapper (a form around the page, say) and is
+opened, and so on with those within it, until there is prose.
 
 Text: character references decoded, white space within a block made one space, blocks trimmed,
 empty ones left out, joined in page order by one \\n.  Defined cases: null and empty html give
@@ -43,7 +47,10 @@ _BLOCK = frozenset(
 )
 #: Elements whose content is text up to their own end tag.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_NEVER = frozenset("script style head title noscript template nav footer aside form button select option textarea input label iframe object embed svg math canvas audio video menu dialog noembed noframes".split())
+_NEVER = frozenset("script style head title noscript template button select option textarea input label iframe object embed svg math canvas audio video noembed noframes".split())
+_ASIDE = frozenset("nav footer aside form menu dialog".split())
+#: Those that may be wrapped around a whole page.
+_WRAPS = frozenset("form aside dialog".split())
 #: Elements that a start tag of the given kind closes if open (without leaving the element's container).
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 _ENDS_P = _BLOCK - {"body", "html", "title", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -55,34 +62,44 @@ _BOUNDARY = frozenset("table td th ul ol dl div section article body html captio
 _NAMED = frozenset("ad ads advert adverts advertisement sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comment comments disqus cookie cookies consent popup modal newsletter subscribe signup share sharing pagination pager login search form toolbar contentinfo complementary hidden".split())
 _ALONE = frozenset("header foot side aside banner promo promos promotion notice notices note alert social related recommended widget respond replies reply skip".split())
 _WITH = frozenset("area articles bar block box buttons col column content inner items left link links list message news outer panel posts region right section site stories top widget wrap wrapper".split())
+_AROUND = frozenset("has have with without no not hide show".split())
 _PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=\D)(?=\d)")
 _PUNCT = re.compile(r"[.,;:!?…。、,¿¡]")
 _SPACES = re.compile(r"\s+")
+#: A block with so many letters and a mark that ends a sentence is prose.
+PROSE = 40
+_SENTENCE = re.compile(r"[.!?…。！？]")
 
 
 def _names_boilerplate(value: str) -> bool:
     for name in value.split():
         parts = {x.lower() for x in _PART.split(name) if x and not x.isdigit()}
+        if parts & _AROUND:
+            continue
         if parts & _NAMED or parts & _ALONE and not parts - _ALONE - _WITH:
             return True
     return False
 
 
-def _excluded(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _NEVER or tag == "header" and not in_article:
+def _never(tag: str, attrs: str) -> bool:
+    if tag in _NEVER:
         return True
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for name, value in _MARK.findall(attrs):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if name in ("class", "id", "role") and _names_boilerplate(value):
-                return True
+    for name, value in _MARK.findall(attrs) if attrs and tag not in ("html", "body", "article", "main") else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
     return False
 
 
+def _named(tag: str, attrs: str) -> bool:
+    """Whether class, id or role name what is not the article."""
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id", "role") and _names_boilerplate(value.strip("\"'")) for name, value in _MARK.findall(attrs))
+
+
 class Element(NamedTuple):
     """An open element; places are those in the list of elements, whose first is the page itself."""
 
@@ -92,6 +109,12 @@ class Element(NamedTuple):
     part: int
     within: int
     hidden: bool
+    #: Place of the element set aside that is nearest around it (itself, if it is one), or -1.
+    aside: int
+    #: Place of the one that is nearest around its parent, or -1.
+    outer: int
+    #: Set aside by its tag alone, which may stand around a whole page.
+    wraps: bool
     in_body: bool
     in_article: bool
     in_link: bool
@@ -105,8 +128,8 @@ class Leaf(NamedTuple):
 
 
 def leaves(page: str) -> tuple[list[Element], list[int], list[Leaf]]:
-    """The elements of a page, the parent of each tag path, and its text leaves outside the excluded elements."""
-    elements = [Element("", 0, 0, 0, False, False, False, False, False)]
+    """The elements of a page, the parent of each tag path, and its text leaves that may be content."""
+    elements = [Element("", 0, 0, 0, False, -1, -1, False, False, False, False, False)]
     paths: dict[tuple[int, str], int] = {}
     above = [0]
     stack = [0]  # places of the open elements
@@ -159,7 +182,7 @@ def leaves(page: str) -> tuple[list[Element], list[int], list[Leaf]]:
         if tag in _VOID:
             continue
         up = elements[stack[-1]]
-        hidden = up.hidden or _excluded(tag, attrs or "", up.in_article)
+        hidden = up.hidden or _never(tag, attrs or "")
         if tag in _RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if not hidden:
@@ -172,8 +195,10 @@ def leaves(page: str) -> tuple[list[Element], list[int], list[Leaf]]:
         if path == len(above):
             above.append(up.path)
         place, own = len(elements), tag in _PARTS or tag == "td" and not up.in_article
-        named = tag in ("article", "main")
-        elements.append(Element(tag, path, place if own else up.part, up.part, hidden, up.in_body or tag == "body", up.in_article or named, up.in_link or tag == "a", up.heading or tag in _HEADINGS))
+        is_article = tag in ("article", "main")
+        called = not hidden and _named(tag, attrs or "")
+        aside = place if not hidden and (called or tag in _ASIDE or tag == "header" and not up.in_article) else up.aside
+        elements.append(Element(tag, path, place if own else up.part, up.part, hidden, aside, up.aside, tag in _WRAPS and not called, up.in_body or tag == "body", up.in_article or is_article, up.in_link or tag == "a", up.heading or tag in _HEADINGS))
         depth[tag].append(len(stack))
         if tag in _BOUNDARY:
             walls.append(len(stack))
@@ -196,11 +221,55 @@ def path_scores(elements: list[Element], above: list[int], found: list[Leaf]) ->
     return {path: (0.75 * n + 0.25 * total[above[path]] / kinds[above[path]]) * (1 + marks[path]) / parts[path] ** 0.5 for path, n in size.items()}
 
 
+def opened(elements: list[Element], found: list[Leaf]) -> set[int]:
+    """The elements set aside that are opened: wrappers of the page's text, where no prose is left without them."""
+    size: dict[int, int] = defaultdict(int)  # letters outside links, by the nearest element set aside
+    prose: set[int] = set()
+    said: set[int] = set()
+    block, letters, ends, total = (-1, -1), 0, False, 0
+    for leaf in found:
+        element = elements[leaf.element]
+        if element.in_link:
+            continue
+        if (leaf.block, element.aside) != block:
+            block, letters, ends = (leaf.block, element.aside), 0, False
+        text = leaf.text.strip()
+        letters += len(text)
+        total += len(text)
+        ends = ends or bool(_SENTENCE.search(text))
+        if ends:
+            said.add(element.aside)
+        size[element.aside] += len(text)
+        if ends and letters >= PROSE:
+            prose.add(element.aside)
+    if not prose or -1 in said:
+        return set()
+    around: dict[int, int] = {}  # of an element set aside, the next one around it
+    below: dict[int, list[int]] = defaultdict(list)
+    for place in range(1, len(elements)):  # an element comes after those around it
+        if elements[place].aside == place:
+            around[place] = elements[place].outer
+            below[around[place]].append(place)
+    for place in sorted(around, reverse=True):
+        size[around[place]] += size[place]
+    free, at = set(), -1
+    while below[at]:
+        at = max(below[at], key=lambda place: size[place])
+        if not elements[at].wraps or 2 * size[at] < total:
+            return set()
+        free.add(at)
+        if at in prose:
+            return free
+    return set()
+
+
 def main_text(page: str | None, threshold: float = 0.1) -> str:
     """The main text of one page; ``threshold`` is the share of the best path's score that a content path needs."""
     elements, above, found = leaves(page or "")
     if any(elements[x.element].in_body for x in found):
         found = [x for x in found if elements[x.element].in_body]
+    free = opened(elements, found) | {-1}
+    found = [x for x in found if elements[x.element].aside in free]
     scores = path_scores(elements, above, found)
     best = max(scores.values(), default=0.0)
     if best <= 0:
