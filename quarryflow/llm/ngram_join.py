@@ -30,11 +30,12 @@ A key that several sets of one slice of rows hold is sent once under itself; the
 sets go elsewhere, marked as met.  So a key held by a third of all rows costs a row a slice, and
 keys are read in order and never gathered.
 
-Hashes are 64 bits; a class is known by set hash and size.  Defined cases: null, empty and blank
+Hashes are 64 bits, of words hashed from a seed that each call draws anew; a class is known by set
+hash and size.  Defined cases: null, empty and blank
 texts have empty sets and link with nothing; a text with fewer words than an n-gram is one
 n-gram; a null doc_id gets its size but a null component; rows that share a doc_id share a
 component; rows that are alike count once for links and each get a row; an empty table gives an
-empty result; other columns play no part.
+empty result; very long texts and words are taken whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, keep_rows, materialise, row_key, slices
-from .textkernel import WORD_BASE, mix, ngram_hashes, span_hashes, words_of
+from .textkernel import WORD_BASE, fresh_seed, mix, ngram_hashes, span_hashes, words_of
 
 GRAM, LEVEL = 4, 85
 #: Members of a set that one block of columns holds at most, on average, for the largest set.
@@ -69,9 +70,9 @@ def need(size, level: int = LEVEL):
     return -(-size * level // 100)
 
 
-def ngram_sets(text: pa.Array, gram: int):
+def ngram_sets(text: pa.Array, gram: int, seed: int = 0):
     """Distinct n-gram hashes of all rows, sorted by row and hash, with the row of each and the set sizes."""
-    words = words_of(text, lower=True)
+    words = words_of(text, lower=True, seed=seed)
     rows = len(words.offsets) - 1
     hashes, real = ngram_hashes(words, gram)
     owner = np.repeat(np.arange(rows), np.diff(words.offsets))[: len(hashes)]
@@ -97,11 +98,11 @@ def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix((total[edges[1:]] - total[edges[:-1]]) ^ sizes.astype(np.uint64))
 
 
-def _signatures(gram: int):
+def _signatures(gram: int, seed: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                hashes, _, sizes = ngram_sets(part.column("text"), gram)
+                hashes, _, sizes = ngram_sets(part.column("text"), gram, seed)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(sizes.astype(np.int64)), pa.array(set_keys(hashes, sizes).view(np.int64))], ["doc_id", "row_key", "n", "sig"])
 
     return run
@@ -162,13 +163,13 @@ def _sent(keys: np.ndarray, sigs: np.ndarray, cls: np.ndarray, odd: np.ndarray)
     )
 
 
-def _parts(gram: int, level: int, halved: int = 0, between: tuple[int, int] | None = None):
+def _parts(gram: int, level: int, seed: int, halved: int = 0, between: tuple[int, int] | None = None):
     """Rows of the parts of each text's set; with ``between``, single members of the sets of these sizes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                hashes, owner, sizes = ngram_sets(part.column("text"), gram)
+                hashes, owner, sizes = ngram_sets(part.column("text"), gram, seed)
                 sigs = set_keys(hashes, sizes)
                 once = np.zeros(len(sizes), dtype=bool)  # equal sets of a slice count once
                 once[np.unique(sigs, return_index=True)[1]] = True
@@ -230,12 +231,12 @@ def meetings(texts: DataFrame, rows) -> DataFrame:
     return sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "sig").mapInArrow(_meeting, "key long, sig long, cls int, odd boolean")
 
 
-def _chosen_sets(flags, gram: int):
+def _chosen_sets(flags, gram: int, seed: int):
     def run(batches):
         bitmap = flags.value
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                hashes, _, sizes = ngram_sets(part.column("text"), gram)
+                hashes, _, sizes = ngram_sets(part.column("text"), gram, seed)
                 keys = set_keys(hashes, sizes)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 take = np.flatnonzero(in_bitmap(bitmap, _pair_key(keys, ids)) & (sizes > 0))
@@ -360,23 +361,23 @@ def components(docs: DataFrame, gram: int = GRAM, level: int = LEVEL, halved: in
 
     ``halved`` says how often the number of parts is halved: larger parts meet less, but more sets have too few.
     """
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, fresh_seed()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
-    each = materialise(base.mapInArrow(_signatures(gram), "doc_id long, row_key long, n long, sig long"), "signatures")
+    each = materialise(base.mapInArrow(_signatures(gram, seed), "doc_id long, row_key long, n long, sig long"), "signatures")
     known = base.where("doc_id is not null").select("doc_id", "text")
     classes = each.where("doc_id is not null and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc"))
-    met = materialise(meetings(known.select("text"), _parts(gram, level, halved)), "meetings")
+    met = materialise(meetings(known.select("text"), _parts(gram, level, seed, halved)), "meetings")
     odd = met.where("odd").join(classes, "sig").agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
     if odd["low"] is not None:  # sets whose members fall into too few parts: all sets of about their sizes meet by single members
         between = (need(int(odd["low"]), level), int(odd["high"]) * 100 // level)
-        met = met.unionByName(materialise(meetings(known.select("text"), _parts(gram, level, halved, between)), "meetings"))
+        met = met.unionByName(materialise(meetings(known.select("text"), _parts(gram, level, seed, halved, between)), "meetings"))
     met = met.where("not odd")
     spared = F.when((F.col("cls") >= SMALL) & (F.col("cls") < SINGLE), F.expr("shiftleft(1L, cls - 5)")).otherwise(0)
     counts = met.groupBy("sig", "cls").agg(F.count("*").alias("k")).where(F.col("k") > spared).select("sig").distinct()
     alive = materialise(classes.join(counts, "sig").select("sig", "n", "doc"), "alive")
     flags = spark.sparkContext.broadcast(bitmap_of(alive.select("sig", "doc").mapInArrow(_with_pair_key, "key long"), "key"))
     # the bitmap may let sets in that are not alive, and a set twice: neither loses a link
-    sets = materialise(known.mapInArrow(_chosen_sets(flags, gram), "doc long, n long, tokens array<long>"), "sets")
+    sets = materialise(known.mapInArrow(_chosen_sets(flags, gram, seed), "doc long, n long, tokens array<long>"), "sets")
     linked = _link(sets, level).select(F.col("doc").alias("sig"), "component").join(alive.select("sig", "doc"), "sig")
     named = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
     linked = materialise(linked.join(named, "component").select("sig", "component_id"), "linked")

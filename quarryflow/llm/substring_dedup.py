@@ -14,11 +14,12 @@ joined to the documents and merged into maximal intervals.
 
 Within a slice of rows a window is sent once, under its smallest doc_id, so a passage that a
 third of all documents hold costs one row a slice.  Keys are the 64-bit anchor and the 64-bit
-window hash together.
+window hash together, of words hashed from a seed that each call draws anew.
 
 Defined cases: null text has no words; rows with a null doc_id stay whole and remove nothing;
 rows that share a doc_id never remove from each other; a repeated window inside one document
-stays; texts shorter than a window stay; an empty table gives an empty result.
+stays; texts shorter than a window stay; very long texts and words are taken whole; other columns
+play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, scratch, slices
-from .textkernel import mix, ngram_hashes, sliding_min, words_of
+from .textkernel import fresh_seed, mix, ngram_hashes, sliding_min, words_of
 
 WIDTH, GRAM = 50, 12
 _TOP = np.iinfo(np.uint64).max
@@ -52,11 +53,11 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _anchor_rows(width: int, gram: int):
+def _anchor_rows(width: int, gram: int, seed: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                anchors, real, rows = _windows(words_of(part.column("text")), width, gram)
+                anchors, real, rows = _windows(words_of(part.column("text"), seed=seed), width, gram)
                 starts = np.flatnonzero(real)
                 if not len(starts):
                     continue
@@ -86,12 +87,12 @@ def _runs(anchors, rows, at):
 _RUN = "anchor long, doc_id long, row_key long, pos long, size long, hashes binary"
 
 
-def _run_rows(bitmap, width: int, gram: int):
+def _run_rows(bitmap, width: int, gram: int, seed: int):
     def run(batches):
         flags = bitmap.value
         for batch in batches:
             for part in slices(batch):
-                words = words_of(part.column("text"))
+                words = words_of(part.column("text"), seed=seed)
                 anchors, real, rows = _windows(words, width, gram)
                 at = np.flatnonzero(real)
                 at = at[in_bitmap(flags, anchors[at])]
@@ -173,12 +174,12 @@ def _resolve_rows(batches):
 
 def removal_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, row_key, first, last): word ranges to remove, one row each; they may overlap."""
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, fresh_seed()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key")).where("doc_id is not null and text is not null")
-    seen = base.select("doc_id", "text").mapInArrow(_anchor_rows(width, gram), "anchor long, low long, high long")
+    seen = base.select("doc_id", "text").mapInArrow(_anchor_rows(width, gram, seed), "anchor long, low long, high long")
     again = seen.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     bitmap = spark.sparkContext.broadcast(bitmap_of(again, "anchor"))
-    runs = base.mapInArrow(_run_rows(bitmap, width, gram), _RUN).repartition("anchor").sortWithinPartitions("anchor")
+    runs = base.mapInArrow(_run_rows(bitmap, width, gram, seed), _RUN).repartition("anchor").sortWithinPartitions("anchor")
     gone = runs.mapInArrow(_resolve_rows, "doc_id long, row_key long, pos long, size long")
     return gone.select("doc_id", "row_key", F.col("pos").alias("first"), (F.col("pos") + F.col("size") + width - 1).alias("last"))
 

@@ -1,11 +1,15 @@
 """Vectorised word and n-gram hashes of an Arrow text column.
 
-Everything is polynomial hashing modulo 2**64 over numpy arrays that span all rows of a batch,
-so the cost per word is a few array passes and never a Python step.
+A word's hash is made of its bytes, eight at a time, each mixed in by a bijection that no
+polynomial identity fits, from a seed that a job draws anew: whoever writes a text can not know
+which words would clash.  Spans of words are polynomials modulo 2**64 over these hashes.  All runs
+over numpy arrays that span the rows of a batch, so a word costs a few array passes and no Python step.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from typing import NamedTuple
 
 import numpy as np
@@ -13,10 +17,10 @@ import pyarrow as pa
 
 from .common import text_bytes
 
-#: Odd multipliers, hence invertible modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bytes hashed at once.
-PIECE = 1 << 20
+#: An odd multiplier, hence invertible modulo 2**64.
+WORD_BASE = 0xD6E8FEB86659FD93
+#: Words hashed at once; bytes up to which a word is hashed with the others.
+PIECE, LONG_WORD = 1 << 17, 256
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -47,6 +51,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fresh_seed() -> int:
+    """A seed for the hashes of one job: every pass of the job must use the same."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end], with its length."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    lane = np.arange(8)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+    for low in range(0, len(starts), PIECE):
+        at, size = starts[low : low + PIECE], (ends - starts)[low : low + PIECE]
+        h = mix(size.astype(np.uint64) * np.uint64(WORD_BASE) + np.uint64(seed))
+        active = np.flatnonzero(size <= LONG_WORD)
+        done = 0
+        while len(active):
+            chunk = np.ascontiguousarray(padded[(at[active] + done)[:, None] + lane]).view("<u8").ravel()
+            h[active] = mix((h[active] ^ (chunk & masks[np.minimum(size[active] - done, 8)])) + np.uint64(WORD_BASE))
+            done += 8
+            active = active[size[active] > done]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(data[at[i] : at[i] + size[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+            h[i] = int.from_bytes(digest, "little")
+        out[low : low + PIECE] = h
+    return out
+
+
 class Words(NamedTuple):
     #: 64-bit hash of each word of all rows.
     hashes: np.ndarray
@@ -67,7 +99,7 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (prefix[ends] - prefix[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts]
 
 
-def words_of(text: pa.Array, lower: bool = False) -> Words:
+def words_of(text: pa.Array, lower: bool = False, seed: int = 0) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every row, hashed; ``lower`` maps A-Z to a-z first."""
     data, rows = text_bytes(text)
     if lower:
@@ -84,14 +116,7 @@ def words_of(text: pa.Array, lower: bool = False) -> Words:
         last[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):  # pieces of whole words, so that no array spans a very long text
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
-        low, high = starts[at], ends[to - 1]
-        hashes[at:to] = span_hashes(data[low:high].astype(np.uint64) + np.uint64(1), starts[at:to] - low, ends[at:to] - low, BYTE_BASE)
-        at = to
-    hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(WORD_BASE))
+    hashes = word_hashes(data, starts, ends, seed)
     return Words(hashes, np.searchsorted(starts, rows), starts, ends, data)
 
 

@@ -570,3 +570,47 @@ def test_null_ids_and_extra_columns(spark):
     labels = spark.createDataFrame([(2, 1, 1), (3, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 5
     assert zlib.crc32(b"2") % 4 in range(4)
+
+
+ARTICLE = "<h1>Title</h1><p>Prose of the article, which is long enough. It has several sentences, and they go on.</p><p>More of it follows here, and then it ends.</p>"
+ARTICLE_TEXT = "Title\nProse of the article, which is long enough. It has several sentences, and they go on.\nMore of it follows here, and then it ends."
+OTHER = "<p>Something else that somebody wrote below, at some length. It is no part of the article.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=f><div><nav><a href=x>Menu</a></nav>{ARTICLE}<div class='comments'>{OTHER}</div></div></form></body>",
+        f"<body><div class='content has-sidebar'>{ARTICLE}</div><div class=sidebar>{OTHER}</div></body>",
+        f"<body><div class='post no-comments'>{ARTICLE}</div><footer>{OTHER}</footer></body>",
+        f"<body><div id=page-with-menu>{ARTICLE}</div></body>",
+        f"<body><aside><form><section>{ARTICLE}</section><form class=search>{OTHER}</form></form></aside></body>",
+        f"<body><article>{ARTICLE}</article><form>{OTHER * 4}</form><div class='reader-comments'>{OTHER * 4}</div></body>",
+    ],
+)
+def test_wrappers_keep_their_article(page):
+    assert tag_paths.main_text(page) == ARTICLE_TEXT
+
+
+def test_what_is_set_aside_stays_out_of_short_pages():
+    assert tag_paths.main_text(f"<body><p>Short.</p><div class=comments>{OTHER * 9}</div><form>{OTHER * 9}</form></body>") == "Short."
+    assert tag_paths.main_text(f"<body><h1>Title</h1><footer>{OTHER * 3}</footer></body>") == "Title"
+
+
+def alternating(k):
+    """Two words of 2**k letters that every polynomial hash modulo a power of two takes for equal, from k = 10 or so on."""
+    x, y = "a", "b"
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("k", [10, 12])
+def test_words_built_to_clash_differ(spark, k):
+    x, y = alternating(k)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join([x, *common[:49]]), " ".join([y, *common[:49]]), " ".join(common[:49] + [x]), " ".join(common[:49] + [y]), x, y, " ".join([x] * 60), " ".join([y] * 60)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert not any(got.values())
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}
+    assert got == components_of(texts) and got[5][1] == 5 and got[7][1] == 7
