@@ -10,7 +10,7 @@ A word is frequent if it makes up at least 1 / ``LEXICON`` of all words, so the
 ``LEXICON`` words at most, whatever the input.  Which words it holds changes only the speed.
 
 Text is cut at white space first; each distinct piece is encoded once per task and kept in a
-bounded table.  A text is never held as a list of all its ids unless ``ids`` is asked for.
+table of bounded bytes.  A text is never held as a list of all its ids unless ``ids`` is asked for.
 
 Defined cases: null text is empty and has no tokens; a special token's string in a text is that
 token; white space is dropped, so decoding gives the tokens joined by one blank, as the public
@@ -44,6 +44,8 @@ from .common import materialise
 LEXICON = 1 << 16
 #: Pieces a task keeps before it starts a new table; and pieces that it counts before it sends their counts on.
 KEEP, COUNTED = 3 << 18, 1 << 19
+#: Letters of the longest piece that is kept or counted, and bytes of pieces and ids that are kept.
+KEPT_PIECE, KEPT_BYTES = 256, 64 << 20
 #: Letters from which on a word is merged by a heap.
 LONG = 64
 _WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -273,22 +275,26 @@ class Encoder:
 
 
 class Kept(dict):
-    """piece -> its ids as bytes, each encoded when it is first asked for; starts anew beyond ``KEEP`` pieces."""
+    """piece -> its ids as bytes, each encoded when it is first asked for; starts anew beyond ``KEEP`` pieces or ``KEPT_BYTES``.  Long pieces are encoded each time."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > KEEP:
+        if len(self) > KEEP or self.held > KEPT_BYTES:
             self.clear()
+            self.held = 0
         encoder = self.encoder
         if "<" in piece:
             found = _raw(encoder.piece(piece))
         else:
             # words are kept like pieces, so that one is merged once however it is written and whatever mark follows it
             found = b"".join([self[w] if w != piece and w.isascii() else _raw(encoder.word(w)) for w in pretokens(piece)])
-        self[piece] = found
+        if len(piece) <= KEPT_PIECE:
+            self[piece] = found
+            self.held += len(piece) + len(found)
         return found
 
 
@@ -316,8 +322,11 @@ def _count_pieces(batches):
     seen: Counter = Counter()
     for batch in _then_none(batches):
         if batch is not None:
-            for text in batch.column("text").to_pylist():
-                seen.update(pieces_of(text or ""))
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                pieces = pieces_of(text)
+                # long pieces have no place in the lexicon; a text that could hold many has few pieces for its length
+                seen.update([p for p in pieces if len(p) <= KEPT_PIECE] if len(text) > 32 * len(pieces) else pieces)
         if seen and (batch is None or len(seen) > COUNTED):
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
             seen.clear()
