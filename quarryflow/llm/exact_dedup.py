@@ -11,8 +11,8 @@ Texts are equal when the same after deleting white space [\\x20\\x09-\\x0D].  Of
 row with the most code points stays, then the one with the smallest doc_id.
 
 Defined cases: null text is empty, and all empty texts are equal; a null doc_id loses to any
-other of the same length; of rows alike in doc_id and text one stays; other columns play no part;
-an empty table gives an empty result.
+other of the same length; of rows alike in doc_id and text one stays; texts may be of any length; other
+columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ _STORE = {
 
 
 _ARRIVAL = "doc_id long, row_key long, n_chars long, text_sha256 string, digest string, copies long"
-#: Digests of more than one row in HOT are joined by a broadcast; there are fewer than HOT of them.
-HOT = 1000
+#: Digests of more than one row in HOT are joined by a broadcast; there are fewer than HOT of them.  Contents are broadcast up to so many bytes.
+HOT, BROADCAST_BYTES = 1000, 32 << 20
+#: Parts that a digest of many rows is cut into where the contents are too large to broadcast.
+PARTS = 64
 
 
 def normalised():
@@ -97,11 +99,23 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with the group of its digest.  Digests of more than one row in ``HOT`` - so fewer than ``HOT`` digests - are broadcast, so that no task gets all rows of one."""
+    """Each row with the group of its digest.  Digests of more than one row in ``HOT`` - so fewer than ``HOT`` digests - are broadcast, so that no task gets all rows of one.
+
+    Groups with contents are broadcast only if these are small together; else the rows of such a
+    digest are cut into parts, and its group has a row for each.
+    """
     total = groups.agg(F.sum("rows")).first()[0] or 0
     hot = F.col("rows") * HOT > total
-    often = F.broadcast(groups.where(hot))
-    return rows.join(often, "digest").unionByName(rows.join(F.broadcast(groups.where(hot).select("digest")), "digest", "left_anti").join(groups.where(~hot), "digest"))
+    keys = F.broadcast(groups.where(hot).select("digest"))
+    cold = rows.join(keys, "digest", "left_anti").join(groups.where(~hot), "digest")
+    often = groups.where(hot)
+    if "head_content" in groups.columns and (often.agg(F.sum(F.octet_length("head_content"))).first()[0] or 0) > BROADCAST_BYTES:
+        cut = rows.join(keys, "digest", "left_semi").withColumn("part", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)).cast("int"))
+        each = often.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        warm = cut.hint("merge").join(each, ["digest", "part"]).drop("part")
+    else:
+        warm = rows.join(F.broadcast(often), "digest")
+    return warm.unionByName(cold)
 
 
 def assign(docs: DataFrame, digest=digest_of, max_files: int = 1000, state: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
