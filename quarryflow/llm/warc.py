@@ -5,7 +5,8 @@ payload), the request and a metadata record.  The last two name the first by WAR
 
 Writing needs no local file: a record is one string and Spark's text sink, with the record
 terminator CR LF CR LF as its line separator, writes gzip archives to any store with its usual
-commit protocol.  An archive ends after as many records as hold about ``ARCHIVE_BYTES`` of payload.
+commit protocol.  Records are put together to pieces of bounded bytes, and an archive has so many
+pieces, so its size does not depend on how the sizes of pages are spread.
 
 Reading takes whole archives as binary rows (their size is bounded by the writer) and parses by
 Content-Length, so payloads may hold any bytes.  ``assemble`` joins the records of a transaction
@@ -20,7 +21,8 @@ readers seek by archive, not by record.
 
 Defined cases: null html is an empty payload; controls in a url are percent-encoded; a null page_id sorts below all others; rows alike
 in page_id, url and html are captures of their own (of these one is the response); null urls
-become an empty target; extra columns play no part; an empty table gives an empty result.
+become an empty target; pages may be of any length; extra columns play no part; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import bitmap_of, in_bitmap, materialise, scratch
 
-REVISIT_FROM, ARCHIVE_BYTES = 1000, 16 << 20
+REVISIT_FROM = 1000
+#: Bytes of an archive before compression, and of the pieces that it is made of.
+ARCHIVE_BYTES, PIECE = 16 << 20, 1 << 20
 END = "\r\n\r\n"
 #: Date of captures where pages carry none.
 DATE = "2020-01-01T00:00:00Z"
@@ -112,11 +116,33 @@ def records(caught: DataFrame) -> DataFrame:
     return caught.select(F.explode(F.array(answer, request, note)).alias("value"))
 
 
+def _packed(most: int):
+    """Records in, pieces of about ``most`` bytes out: whole records, with the separator between them."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column("value"):
+                more = record.as_buffer().size
+                if held and size + more > most:
+                    yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.string())], ["value"])
+                    held, size = [], 0
+                held.append(record.as_py())
+                size += more
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.string())], ["value"])
+
+    return run
+
+
 def write_archives(pages: DataFrame, path: str) -> str:
-    """Write the captures of ``pages`` as .warc.gz archives below ``path`` (a folder that must not exist)."""
-    size = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("rows")).first()
-    each = max(1, int(3 * ARCHIVE_BYTES * size["rows"] // max(1, size["bytes"] or 0)))
-    records(captures(pages)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    """Write the captures of ``pages`` as .warc.gz archives below ``path`` (a folder that must not exist).
+
+    An archive has about ``ARCHIVE_BYTES`` before compression, whatever the sizes of its pages: it is
+    cut by pieces of ``PIECE`` bytes, and a record longer than that is a piece of its own.
+    """
+    pieces = records(captures(pages)).mapInArrow(_packed(PIECE), "value string")
+    pieces.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // PIECE)).text(path)
     return path
 
 

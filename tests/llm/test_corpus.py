@@ -614,3 +614,40 @@ def test_words_built_to_clash_differ(spark, k):
     assert not any(got.values())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}
     assert got == components_of(texts) and got[5][1] == 5 and got[7][1] == 7
+
+
+def test_archives_are_bounded_whatever_the_sizes_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200_000)
+    monkeypatch.setattr(warc, "PIECE", 20_000)
+    rows = [(i, f"http://a/{i}", f"{i} " * 5) for i in range(3000)] + [(10_000 + i, f"http://b/{i}", chr(97 + i % 26) * 50_000 + str(i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, scratch(spark, "archives"))
+    sizes = [len(warc._gunzip(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()]
+    assert len(sizes) > 10 and max(sizes) < 10 * 60_000
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.capture_table(warc.assemble(warc.read_archives(spark, path))).collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_exact_dedup_of_long_hot_texts_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    texts = ["x " * 500] * 40 + ["x" * 500] * 20 + ["y", "y ", None, ""] + [f"own {i}" for i in range(30)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.assign(docs_of(spark, texts)).collect()}
+    assert got[45] == (0, 60) and got[60] == (61, 2) and got[62] == (62, 2) and len(got) == len(texts)
+    clash = {r.doc_id: r.group_size for r in exact_dedup.assign(docs_of(spark, texts), lambda t: F.lit("same")).collect()}
+    assert clash[45] == 60 and clash[70] == 1
+
+
+def test_bpe_of_long_pieces_keeps_little():
+    encoder = bpe_lexicon.Encoder(bpe_lexicon.Merges(public_tokenizers.path("word_bpe_49k.json")), None)
+    kept = bpe_lexicon.Kept(encoder)
+    r = random.Random(4)
+    piece = lambda n: "".join(r.choice("abcdefghij0123456789+/") for _ in range(n))
+    for _ in range(20):
+        p = piece(4000)
+        assert kept[p] == bpe_lexicon._raw(encoder.piece(p))
+    assert all(len(x) <= bpe_lexicon.KEPT_PIECE for x in kept)
+
+
+def test_frequent_words_leave_long_pieces_out(spark):
+    texts = ["common " * 50 + "rest"] * 3 + ["z" * 3000] * 30
+    assert bpe_lexicon.frequent_words(docs_of(spark, texts), most=20) == {"common"}
