@@ -106,3 +106,33 @@ def latest_per_group(df: DataFrame, keys: list[str], order: str, columns: list[s
     """The columns of the row with the largest ``order`` per group, by a partial aggregate."""
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(order)).alias("_b"))
     return best.select(*keys, "_b.*")
+
+
+# --- distinct counts that can be kept and rolled up
+
+
+def distinct_state(df: DataFrame, by: list[str], c: str) -> DataFrame:
+    """(by, bucket, bits): the distinct values of an integer column as bitmaps of 4 kB, each for a range of 32,768 values; nulls do not count."""
+    rows = df.where(F.col(c).isNotNull())
+    return rows.groupBy(*by, F.bitmap_bucket_number(F.col(c)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(c))).alias("bits"))
+
+
+def merge_distinct(one: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """The state of both parts' rows together."""
+    return one.unionByName(other).groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def distinct_counts(state: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """Exact distinct counts by columns of a kept state, coarser ones too, without the facts."""
+    merged = state.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(out))
+
+
+def distinct_sketch(df: DataFrame, by: list[str], c: str, bits: int = 12) -> DataFrame:
+    """(by, sketch): HyperLogLog sketches of 2**bits slots, for columns of any kind; the standard error of their counts is about 1.04 / 2**(bits / 2), so 1.6 % for 12."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(c, bits).alias("sketch"))
+
+
+def sketch_counts(state: DataFrame, by: list[str], out: str = "n") -> DataFrame:
+    """Estimated distinct counts from sketches, by their columns or coarser ones."""
+    return state.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(out))

@@ -162,3 +162,17 @@ def read_incremental(spark: SparkSession, root: str, name: str, schema) -> DataF
 def backfill(df: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def rerun(source: DataFrame, path: str, partition: str, values: list, build) -> None:
+    """Run a job again for some values of a partition column (ingest dates, say): their rows are built from the source anew and replace what the table has of them; one for which nothing is built is emptied."""
+    spark = source.sparkSession
+    fresh = build(source.where(F.col(partition).isin(values)))
+    if not fresh.where(~F.coalesce(F.col(partition).isin(values), F.lit(False))).isEmpty():
+        raise ValueError("the job made rows of other partitions")
+    backfill(fresh, path, partition)
+    built = {str(r[0]) for r in fresh.select(partition).distinct().collect()}  # at most as many as values
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for value in values:
+        if str(value) not in built:
+            store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}"), True)

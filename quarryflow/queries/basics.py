@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -89,6 +91,11 @@ def _database(spark) -> str:
 _CUSTOMERS = "SELECT c_custkey, c_nationkey, c_acctbal FROM customer"
 
 
+def _fresh(name: str) -> str:
+    """A table name that no other run uses."""
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
 def _customers(spark, d, table):
     rows = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     io.write_jdbc(rows, _database(spark), table, "overwrite")
@@ -97,24 +104,26 @@ def _customers(spark, d, table):
 
 @q(_CUSTOMERS)
 def read_jdbc(spark, d):
-    _customers(spark, d, "plain_customer")
-    return io.read_jdbc(spark, _database(spark), "plain_customer")
+    table = _fresh("plain_customer")
+    _customers(spark, d, table)
+    return io.read_jdbc(spark, _database(spark), table)
 
 
 @q(_CUSTOMERS)
 def read_jdbc_partitioned(spark, d):
-    ends = _customers(spark, d, "split_customer").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
-    return io.read_jdbc(spark, _database(spark), "split_customer", "c_custkey", ends.low, ends.high, 4)
+    table = _fresh("split_customer")
+    ends = _customers(spark, d, table).agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
+    return io.read_jdbc(spark, _database(spark), table, "c_custkey", ends.low, ends.high, 4)
 
 
 @q("SELECT s_suppkey, s_acctbal FROM supplier")
 def write_jdbc_batch(spark, d):
     rows = load(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    io.write_jdbc(rows.limit(0), _database(spark), "batch_supplier", "overwrite")
-    write = io.foreach_batch_jdbc(_database(spark), "batch_supplier")
-    for number in (0, 1):
+    table = _fresh("batch_supplier")
+    write = io.foreach_batch_jdbc(_database(spark), table)
+    for number in (0, 1, 1, 0):  # batches that come again change nothing
         write(rows.where(F.pmod("s_suppkey", F.lit(2)) == number), number)
-    return io.read_jdbc(spark, _database(spark), "batch_supplier")
+    return io.read_jdbc(spark, _database(spark), table)
 
 
 @q("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -306,6 +315,19 @@ def agg_rate_pct(spark, d):
 
 
 q.sql("agg_distinct", "SELECT l_shipdate, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_shipdate")
+
+
+@q("SELECT year(o_orderdate)::INT AS year, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def distinct_rollup(spark, d):
+    """Months kept as bitmaps, a late part merged in, then rolled up to years without the orders."""
+    o = load(spark, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), "o_custkey", "o_orderkey")
+    early, late = (A.distinct_state(o.where(F.pmod("o_orderkey", F.lit(3)) == 0 if one else F.pmod("o_orderkey", F.lit(3)) != 0), ["month"], "o_custkey") for one in (True, False))
+    path = io.scratch(spark, "distinct")
+    io.write_table(A.merge_distinct(early, late, ["month"]), path)
+    state = io.read_table(spark, path).withColumn("year", F.year("month"))
+    return A.distinct_counts(state, ["year"], "customers")
+
+
 q.sql("agg_rollup", "SELECT n_regionkey, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)")
 q.sql("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 q.sql("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")

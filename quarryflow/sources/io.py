@@ -40,10 +40,49 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", props:
     df.write.format("jdbc").options(**jdbc_options(url, table, props=props)).mode(mode).save()
 
 
+def _sql(spark: SparkSession, url: str, statements: list[str], props: dict | None = None) -> int:
+    """Run statements in one transaction of the database; returns the rows that the last one changed."""
+    jvm = spark._jvm
+    info = jvm.java.util.Properties()
+    for k, v in (props or {}).items():
+        info.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, info)
+    try:
+        connection.setAutoCommit(False)
+        changed = 0
+        for text in statements:
+            statement = connection.createStatement()
+            changed = statement.executeUpdate(text)
+            statement.close()
+        connection.commit()
+        return changed
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def foreach_batch_jdbc(url: str, table: str, props: dict | None = None):
-    """A foreachBatch function that appends each micro-batch to a table."""
+    """A foreachBatch function that appends each micro-batch to a table once, however often it comes.
+
+    The batch goes to a staging table first, which a failed attempt may leave and the next one
+    replaces.  One transaction then moves it to the table and puts its number into the ledger
+    ``<table>_batches``; a number that is there already is skipped.
+    """
+    ledger, stage = f"{table}_batches", f"{table}_stage"
+
     def write(batch: DataFrame, number: int) -> None:
-        write_jdbc(batch, url, table, props=props)
+        spark = batch.sparkSession
+        write_jdbc(batch.limit(0), url, table, props=props)  # makes the table if it is not there
+        write_jdbc(spark.createDataFrame([], "batch long"), url, ledger, props=props)
+        if not read_jdbc(spark, url, ledger, props=props).where(F.col("batch") == number).isEmpty():
+            return
+        write_jdbc(batch, url, stage, "overwrite", props)
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+        columns = ", ".join(quoted(c) for c in batch.columns)
+        _sql(spark, url, [f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {stage}", f"INSERT INTO {ledger} ({quoted('batch')}) VALUES ({int(number)})"], props)
+        _sql(spark, url, [f"DROP TABLE {stage}"], props)
 
     return write
 

@@ -3,6 +3,7 @@
 import datetime
 import inspect
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -408,3 +409,54 @@ def test_forest_scores_new_rows(spark):
     new = spark.createDataFrame([(1.0, 2.0, "own"), (99.0, 2.0, "own"), (None, 1.0, "own")], "a double, b double, features string")
     assert [(r.prediction, r.features) for r in score_rows(best, new, ["a", "b"]).orderBy(F.asc_nulls_last("a")).collect()] == [(0.0, "own"), (1.0, "own"), (None, "own")]
     assert runs.count() == 1
+
+
+def test_a_batch_goes_to_the_database_once(spark):
+    url, table = "jdbc:derby:memory:once;create=true", "t" + uuid.uuid4().hex[:8]
+    write = io.foreach_batch_jdbc(url, table)
+    one = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    for number, batch in ((0, one), (0, one), (1, one.limit(0)), (2, one.where("k = 1")), (0, one)):
+        write(batch, number)
+    assert sorted(str(tuple(r)) for r in io.read_jdbc(spark, url, table).collect()) == ["(1, 'a')", "(1, 'a')", "(None, 'b')"]
+    assert [r[0] for r in rows(io.read_jdbc(spark, url, f"{table}_batches"))] == [0, 1, 2]
+    # an attempt that fails before its transaction ends leaves nothing but a staging table
+    io.write_jdbc(one, url, f"{table}_stage", "overwrite")
+    with pytest.raises(Exception):
+        io._sql(spark, url, [f"INSERT INTO {table} SELECT * FROM {table}_stage", "INSERT INTO no_such_table VALUES (1)"])
+    assert io.read_jdbc(spark, url, table).count() == 3
+    write(one.where("k = 1"), 3)
+    assert io.read_jdbc(spark, url, table).count() == 4
+
+
+def test_kept_distinct_counts_roll_up(spark):
+    df = spark.range(30000).select((F.col("id") % 12).alias("month"), F.when(F.col("id") % 50 > 0, (F.col("id") * 7919) % 9001 * 1000 - 4_000_000).alias("k"))
+    exact = {r.half: r.n for r in df.groupBy((F.col("month") % 2).alias("half")).agg(F.countDistinct("k").alias("n")).collect()}
+    parts = [aggregates.distinct_state(df.where(c), ["month"], "k") for c in ("k % 3 = 0", "k % 3 != 0")]
+    state = aggregates.merge_distinct(*parts, ["month"]).withColumn("half", F.col("month") % 2)
+    assert {r.half: r.n for r in aggregates.distinct_counts(state, ["half"]).collect()} == exact
+    assert {r.month: r.n for r in aggregates.distinct_counts(state, ["month"]).collect()} == {r.month: r.n for r in df.groupBy("month").agg(F.countDistinct("k").alias("n")).collect()}
+    sketches = aggregates.distinct_sketch(df, ["month"], "k").withColumn("half", F.col("month") % 2)
+    for r in aggregates.sketch_counts(sketches, ["half"]).collect():
+        assert abs(r.n / exact[r.half] - 1) < 4 * 0.016
+    assert aggregates.distinct_counts(aggregates.distinct_state(df.limit(0), ["month"], "k"), ["month"]).count() == 0
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    from quarryflow.operators import ml
+
+    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 > 3).cast("double").alias("label"))
+    runs = [[tuple(r) for r in ml.train_variants(df.repartition(n), ["a", "b"], "label", [{"numTrees": 3, "maxDepth": 3}], ["id"])[1].collect()] for n in (1, 5)]
+    assert runs[0] == runs[1] and runs[0][0][5] == runs[0][0][7] > 0.9
+    train, test = ml.split_by_key(df, ["id"])
+    assert train.count() + test.count() == 600 and train.join(test, "id").count() == 0
+
+
+def test_rerun_replaces_the_partitions_it_builds(spark):
+    path = io.scratch(spark, "rerun")
+    job = lambda x: x.groupBy("day").agg(F.count("*").alias("n"))
+    source = spark.createDataFrame([("1",), ("2",), ("2",), ("3",)], "day string")
+    io.write_table(job(source), path, partition_by=["day"])
+    incremental.rerun(source.where("day != '3'").unionByName(source.where("day = '2'")), path, "day", ["2", "3"], job)
+    assert sorted((r.day, r.n) for r in io.read_table(spark, path, schema="n long, day string").collect()) == [("1", 1), ("2", 4)]
+    with pytest.raises(ValueError):
+        incremental.rerun(source, path, "day", ["2"], lambda x: job(source))
