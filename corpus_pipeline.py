@@ -3,11 +3,17 @@
 Each stage takes all documents that its predecessor kept and returns the columns of documents,
 the last one the encoded form of each text: its token ids, the text decoded from them, their
 number and the digests of both.
+
+Defined cases, stage by stage: a null text counts as empty; empty texts are not toxic, are copies of
+one another, of which one stays, and are never near copies; a null doc_id is an id like others for
+copies and takes no part in near copies, so such rows stay; rows that are alike stay once; ties are
+settled by the smallest doc_id, and in mixing by a seeded order; texts of any length are taken
+whole; columns beyond those of documents pass through all stages but the last; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import quarryflow
@@ -35,6 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # its files are needed here alone
+
     quarryflow.ship(spark)
     return bpe_lexicon.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, carry=["doc_id", "lang", "source"])
 
