@@ -6,9 +6,10 @@ reading them, and the longest common extension of two positions is found by bina
 
 A document's fingerprint is a string of fixed length: the hash of the whole text (16 hex
 digits), then the smallest span hash in each of ``BINS`` bins (4 hex digits a bin), first over all
-spans of five consecutive words, then over all spans of five code points.  The bins of words are
-empty in a text with fewer than 16 of their spans.  The likeness of two fingerprints is the share
-of equal bins among those that either fills: by words if both have bins of these, else by code points.
+spans of five consecutive words, then over all spans of five code points.  Of either kind the share
+of equal bins among those that one of two fingerprints fills is a likeness; the two are weighed by
+how many of the bins of words are filled.  So a long text is compared by words, one of a few words
+by code points, and nothing changes at once between.
 Beside the likeness stand ``same_edited`` and ``same_next``, the lengths of the longest common
 beginnings of the two texts, found by binary search over the prefix arrays.
 
@@ -18,8 +19,8 @@ partition, are all that the driver sees.
 
 Defined cases: null text is empty; an empty text has an empty set of spans and is like another
 empty text only; null doc_ids come first; rows that share a doc_id are ordered by text; one row
-alone is its own next; rows that are alike follow each other and each get a row; other columns
-play no part; an empty table gives an empty result.
+alone is its own next; rows that are alike follow each other and each get a row; texts may
+be of any length; other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from .textkernel import mix
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1220703125)
 BINS, SPAN = 64, 5
-#: A text with fewer word spans than SHORT is compared by spans of LETTERS code points.
-SHORT, LETTERS = 16, 5
+#: Code points of a span of letters.
+LETTERS = 5
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -109,10 +110,7 @@ def fingerprint(symbols: np.ndarray, hashes: PrefixHash | None = None) -> str:
     space = (symbols == 32) | ((symbols >= 9) & (symbols <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    if len(starts) >= SPAN:
-        starts, ends = starts[: len(starts) - SPAN + 1], ends[SPAN - 1 :]
-    if len(starts) < SHORT:
-        starts = ends = starts[:0]
+    starts, ends = starts[: max(0, len(starts) - SPAN + 1)], ends[SPAN - 1 :]
     width = min(n, LETTERS)
     letters = np.arange(n - width + 1 if n else 0)
     return f"{int(whole[0]):016x}" + _bins(hashes, starts, ends) + _bins(hashes, letters, letters + width)
@@ -135,11 +133,11 @@ def likeness(one: str, other: str) -> float:
     """0 to 1 from two fingerprints alone; 1 for equal ones."""
     if one == other:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x[16:]), dtype=">u2") for x in (one, other))
-    kind = slice(BINS) if a[:BINS].any() and b[:BINS].any() else slice(BINS, None)
-    a, b = a[kind], b[kind]
-    filled = (a != 0) | (b != 0)
-    return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 0.0
+    a, b = (np.frombuffer(bytes.fromhex(x[16:]), dtype=">u2").reshape(2, BINS) for x in (one, other))
+    filled = ((a != 0) | (b != 0)).sum(axis=1)
+    words, letters = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1)
+    weight = filled[0] / BINS
+    return float(weight * words + (1 - weight) * letters)
 
 
 def edited(symbols: np.ndarray, following: np.ndarray) -> np.ndarray:

@@ -192,6 +192,8 @@ def test_likeness_across_the_limit_of_short_texts():
         assert fingerprints.likeness(mark(words[:n]), mark(words[30 : 30 + n])) < 0.1
         own, long = (fingerprints.code_points(" ".join(x)) for x in (words[:n], ["x" * 400]))
         assert fingerprints.likeness(fingerprints.fingerprint(own), fingerprints.fingerprint(fingerprints.edited(own, long))) > 0.4
+    near = [fingerprints.likeness(mark(words[:n]), mark([*words[: n - 2], "other", "words"])) for n in range(8, 40)]
+    assert all(abs(x - y) < 0.2 for x, y in zip(near, near[1:]))  # no step at any size
 
 
 def test_warc_round_trip(spark):
