@@ -13,6 +13,7 @@ agg_rollup agg_median agg_describe agg_group_filter leave_one_out_avg hierarchy_
 pivot_wide melt_long cast_safe ffill_bfill date_parse_multi tz_convert bin_quantile hash_key udf_pandas scd2_apply surrogate_key vault_current_view fact_periodic_snapshot mart_incremental_refresh
 null_profile outlier_iqr validate_split assert_rules constraint_check watermark_incremental merge_upsert cdc_diff cdc_apply time_travel backfill_partition silver_events gold_entity_risk run_medallion
 score_composite mrr_by_plan plan_changes time_intel read_jdbc_partitioned write_jdbc_batch write_coalesced sample_rows null_drop_fill_flag partition_profile udf_native_parity scd4_split analytical_dataset score_weighted_gold
+win_running_hot_key win_lag_lead_hot_key win_reset_hot_key win_rank_hot_key ffill_bfill_hot_key win_gap_islands_hours win_ntile win_pct_rank join_salted_hot_keys hierarchy_up merge_buckets scd2_buckets history_log distinct_rollup backfill_rerun resample_period train_classifier
 resolution_time stream_scorecard late_data_policy stream_tumbling_agg stream_upsert_sink""".split()
 
 
