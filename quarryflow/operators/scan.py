@@ -39,12 +39,11 @@ def same_keys(keys: list[str], prefix: str) -> Column:
 def large_keys(df: DataFrame, keys: list[str], large: int | None = None) -> DataFrame | None:
     """(_k0, ..., _rows) of the keys with many rows, or None if there are none; null is a key like others."""
     counts = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_rows"))
+    size = counts.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("most")).first()  # one pass over the keys
     if large is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        total = df.count()
-        large = max(LARGE, total // (2 * tasks))
-    found = counts.where(F.col("_rows") > large)
-    return None if found.isEmpty() else found
+        large = max(LARGE, (size["total"] or 0) // (2 * tasks))
+    return counts.where(F.col("_rows") > large) if (size["most"] or 0) > large else None
 
 
 def by_size(df: DataFrame, keys: list[str], order: list[str], plain: Callable[[DataFrame], DataFrame], spread: Callable[[Layout], DataFrame], large: int | None = None) -> DataFrame:
