@@ -25,6 +25,9 @@ the product is taken over fewer rows and columns without losing a link:
    elsewhere) is compared with those of the bucket not yet in its component, and leaves the
    bucket.  When few pairs across components are left they are all compared.  So a group of n near
    copies takes about n comparisons, and no pair that could join two components is left out.
+   Buckets whose sets stay apart (texts made of common passages) would take a round for every few
+   of them: after ``ROUNDS`` rounds they are cut into tiles of sets, and each pair of tiles is one
+   dense product that gives all its overlaps; buckets with the same sets are multiplied once.
 
 A key that several sets of one slice of rows hold is sent once under itself; the slice's other
 sets go elsewhere, marked as met.  So a key held by a third of all rows costs a row a slice, and
@@ -55,6 +58,10 @@ BLOCK = 16384
 SLICE = 2 << 20
 #: Components of a bucket whose heads are compared with all its sets in one round.
 LEADS = 8
+#: Rounds after which buckets of sets that stay apart are multiplied out; sets of a tile, columns of a product.
+ROUNDS, TILE, COLUMNS = 4, 256, 4096
+#: Share of the pairs of a bucket that must be across components for that.
+APART = 0.25
 #: Comparisons of two rows of a bucket, for each row of all buckets, up to which the pairs that are left are counted.
 COMPARED = 1000
 #: Sets of fewer than 2**SMALL members, and all where the least similarity is below GROUPED, send single members.
@@ -282,6 +289,68 @@ def _overlapping(pairs: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
     return total.where(F.col("overlap") * (100 + level) >= (F.col("na") + F.col("nb")) * level).select("a", "b")
 
 
+def _product(level: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The rows of one pair of tiles in; links that join components out, as few as do."""
+        doc, n, component, part = (table.column(c).to_numpy() for c in ("doc", "n", "component", "part"))
+        tokens = table.column("tokens").combine_chunks()
+        sizes = np.diff(tokens.offsets.to_numpy())
+        _, column, often = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        row, column = np.repeat(np.arange(len(doc)), sizes)[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        overlap = np.zeros((len(doc), len(doc)), dtype=np.float32)  # counts below 2**24, so exact
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [low, low + COLUMNS])
+            block = np.zeros((len(doc), COLUMNS), dtype=np.float32)
+            block[row[a:b], column[a:b] - low] = 1
+            overlap += block @ block.T
+        linked = overlap.astype(np.float64) * (100 + level) >= (n[:, None] + n[None, :]) * float(level)
+        linked &= component[:, None] < component[None, :]
+        if (part != part[0]).any():  # of two tiles; each by itself is a product of its own
+            linked &= part[:, None] != part[None, :]
+        above = {}
+
+        def top(x):
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = top(component[i]), top(component[j])
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                links.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _multiplied(placed: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """(a, b): links of sets that share a bucket, enough of them to join all components that links join."""
+    marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(1 << 31))).alias("y")]
+    buckets = placed.groupBy("token").agg(*marks).groupBy("m", "x", "y").agg(F.min("token").alias("token"))
+    rows = placed.select("token", "doc", "n", "component").join(buckets.select("token", F.ceil(F.col("m") / TILE).alias("g")), "token")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("g")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "n", "component")
+    filled = rows.join(sets.select(F.col("doc").alias("d"), "tokens"), F.col("doc") == F.col("d")).drop("d")
+    return filled.groupBy("token", "i", "j").applyInArrow(_product(level), "a long, b long").distinct()
+
+
+def _across(links: DataFrame, component: DataFrame) -> DataFrame:
+    """(x, y): the components that links join."""
+    ends = component.select(F.col("doc").alias("d"), F.col("component").alias("c"))
+    return links.join(ends, F.col("a") == F.col("d")).select("b", F.col("c").alias("x")).join(ends, F.col("b") == F.col("d")).select("x", F.col("c").alias("y")).where("x != y")
+
+
+def _merged(component: DataFrame, edges: DataFrame) -> DataFrame:
+    merged = connect(edges)
+    return materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", F.coalesce("label", "component").alias("component")), "components")
+
+
 def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
     """(doc, component) of the sets (doc, n, tokens) that link with another, and of some that do not."""
     spark = sets.sparkSession
@@ -328,12 +397,15 @@ def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
         placed = materialise(placed.join(live, "token"), "live")
         per = placed.groupBy("token", "component").agg(F.count("*").alias("k"), F.sum(F.col("open").cast("long")).alias("opens"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc", "n", "pos")).alias("head"))
         size = per.groupBy("token").agg(F.sum("k").alias("rows"), F.sum("opens").alias("opens"), F.sum(F.col("k") * F.col("opens")).alias("inside"))
-        size = size.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("opens") - F.col("inside")).alias("pairs")).first()
+        size = size.agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("opens") - F.col("inside")).alias("pairs"), F.sum(F.col("rows") * F.col("rows")).alias("all")).first()
         if not size["rows"]:
             return component
         last = size["pairs"] <= few * size["rows"]
         if not last and rounds and size["pairs"] <= COMPARED * size["rows"]:
             last = across(placed).count() <= few * size["rows"]
+        if not last and rounds >= ROUNDS and size["pairs"] >= APART * size["all"]:
+            edges = _across(_multiplied(placed, sets, level), component)
+            return _merged(component, edges)
         rounds += 1
         if last:
             pairs = across(placed).distinct()
@@ -346,10 +418,7 @@ def _link(sets: DataFrame, level: int, few: float = 8.0) -> DataFrame:
             pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b"), F.when(less, F.col("np")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("np")).alias("nb")).distinct()
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _overlapping(pairs, blocks, level)
-        ends = component.select(F.col("doc").alias("d"), F.col("component").alias("c"))
-        edges = links.join(ends, F.col("a") == F.col("d")).select("b", F.col("c").alias("x")).join(ends, F.col("b") == F.col("d")).select("x", F.col("c").alias("y")).where("x != y")
-        merged = connect(edges)
-        component = materialise(component.join(merged, F.col("component") == F.col("node"), "left").select("doc", F.coalesce("label", "component").alias("component")), "components")
+        component = _merged(component, _across(links, component))
         if last:
             return component
         tested = tested.unionByName(pairs.select("a", "b"))

@@ -653,3 +653,28 @@ def test_bpe_of_long_pieces_keeps_little():
 def test_frequent_words_leave_long_pieces_out(spark):
     texts = ["common " * 50 + "rest"] * 3 + ["z" * 3000] * 30
     assert bpe_lexicon.frequent_words(docs_of(spark, texts), most=20) == {"common"}
+
+
+@pytest.mark.parametrize("tile", [256, 4])
+def test_ngram_join_multiplies_buckets_out(spark, tile, monkeypatch):
+    """The dense products alone find every component."""
+    for name, value in (("ROUNDS", 0), ("APART", 0.0), ("TILE", tile), ("COMPARED", 0), ("COLUMNS", 4096 if tile > 4 else 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join._link, "__defaults__", (0.0,))
+    used = []
+    monkeypatch.setattr(ngram_join, "_multiplied", lambda *a, real=ngram_join._multiplied: used.append(1) or real(*a))
+    texts = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs_of(spark, texts)).collect()}
+    assert got == components_of(texts) and used
+
+
+def test_ngram_join_of_texts_of_common_passages_ends(spark, monkeypatch):
+    """Many texts made of few passages, none linked, need few rounds."""
+    r = random.Random(7)
+    passages = [" ".join(f"w{r.randrange(3000)}" for _ in range(30)) for _ in range(20)]
+    texts = sorted({" ".join(passages[i] for i in sorted(r.sample(range(20), 4))) for _ in range(1500)})
+    rounds = []
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name, real=ngram_join.materialise: rounds.append(name) or real(df, name))
+    monkeypatch.setattr(ngram_join, "COMPARED", 0)
+    got = ngram_join.components(docs_of(spark, texts)).collect()
+    assert rounds.count("placed") <= 10 and len({x.component_id for x in got}) == len(texts)
