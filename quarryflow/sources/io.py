@@ -46,6 +46,8 @@ def _sql(spark: SparkSession, url: str, statements: list[str], props: dict | Non
     info = jvm.java.util.Properties()
     for k, v in (props or {}).items():
         info.setProperty(k, v)
+    if "driver" in (props or {}):
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(props["driver"])
     connection = jvm.java.sql.DriverManager.getConnection(url, info)
     try:
         connection.setAutoCommit(False)
