@@ -90,11 +90,11 @@ def foreach_batch_jdbc(url: str, table: str, props: dict | None = None):
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", partition_by: list[str] | None = None, files: int | None = None, sort_by: list[str] | None = None, **options) -> None:
-    """Write a table; ``files`` bounds the files, ``partition_by`` lays out folders (rows of one folder meet first, so it has few files)."""
+    """Write a table; ``files`` bounds the files, ``partition_by`` lays out folders (rows of one folder meet first, so it has few files; a folder of many rows is cut at the size that adaptive execution advises)."""
     if files is not None:
         df = df.coalesce(files)
     elif partition_by:
-        df = df.repartition(*partition_by)  # adaptive execution splits what is too large
+        df = df.hint("rebalance", *(F.col(c) for c in partition_by))  # a repartition by key would leave a folder's rows to one task
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.format(fmt).mode(mode).options(**options)

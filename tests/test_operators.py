@@ -460,3 +460,16 @@ def test_rerun_replaces_the_partitions_it_builds(spark):
     assert sorted((r.day, r.n) for r in io.read_table(spark, path, schema="n long, day string").collect()) == [("1", 1), ("2", 4)]
     with pytest.raises(ValueError):
         incremental.rerun(source, path, "day", ["2"], lambda x: job(source))
+
+
+def test_a_folder_of_many_rows_is_written_by_several_tasks(spark):
+    path, advised = io.scratch(spark, "one_day"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    spark.conf.set(advised, "64k")
+    try:
+        medallion.land(medallion.bronze(spark.range(0, 200_000, 1, 8), "erp", 7, "2024-03-01 06:00:00"), path)
+    finally:
+        spark.conf.set(advised, before)
+    back = io.read_table(spark, path)
+    assert back.agg(F.count("*"), F.countDistinct("id"), F.countDistinct("_ingestion_date")).first()[:] == (200_000, 200_000, 1)
+    assert back.select(F.input_file_name()).distinct().count() > 2
