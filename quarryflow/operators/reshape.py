@@ -73,19 +73,19 @@ def tree_roots(df: DataFrame, node: str, parent: str) -> DataFrame:
     """
     links = _links(df, node, parent)
     nodes = df.where(F.col(node).isNotNull()).select(F.col(node).alias("node")).unionByName(links.select(F.col("up").alias("node"))).distinct()
-    at = _written(nodes.join(links, "node", "left").select("node", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "paths")
-    ends = nodes.join(links, "node", "left_anti")
+    at = _written(nodes.join(links.hint("merge"), "node", "left").select("node", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "paths")
+    ends = nodes.join(links.hint("merge"), "node", "left_anti")
     rounds = max(1, math.ceil(math.log2(max(2, nodes.count()))) + 1)  # longer paths go round a cycle
     for _ in range(rounds):
         jump = at.select(F.col("node").alias("via"), F.col("root").alias("further"), F.col("depth").alias("more")).where("more > 0")
-        step = at.join(jump, F.col("root") == F.col("via"), "left")
+        step = at.join(jump.hint("merge"), F.col("root") == F.col("via"), "left")
         at = _written(step.select("node", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "paths")
         moved = not at.where("moved").isEmpty()
         at = at.drop("moved")
         if not moved:
             break
     good = ends.select(F.col("node").alias("end"))
-    return at.join(good, F.col("root") == F.col("end"), "left").select("node", F.when(F.col("end").isNotNull(), F.col("root")).alias("root"), F.when(F.col("end").isNotNull(), F.col("depth")).alias("depth"))
+    return at.join(good.hint("merge"), F.col("root") == F.col("end"), "left").select("node", F.when(F.col("end").isNotNull(), F.col("root")).alias("root"), F.when(F.col("end").isNotNull(), F.col("depth")).alias("depth"))
 
 
 def ancestors(df: DataFrame, node: str, parent: str, of: DataFrame | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def ancestors(df: DataFrame, node: str, parent: str, of: DataFrame | None = None
     looped = not tree_roots(df, node, parent).where("root is null").isEmpty()
     length = 1
     while not jump.isEmpty():
-        more = known.join(jump.withColumnRenamed("node", "via"), F.col("node") == F.col("via")).select("root", F.col("up").alias("node"), (F.col("depth") + length).alias("depth"))
+        more = known.join(jump.withColumnRenamed("node", "via").hint("merge"), F.col("node") == F.col("via")).select("root", F.col("up").alias("node"), (F.col("depth") + length).alias("depth"))
         both = known.unionByName(more)
         if looped:  # a pair may be met again, further away
             both = both.groupBy("root", "node").agg(F.min("depth").alias("depth"))
@@ -110,7 +110,7 @@ def ancestors(df: DataFrame, node: str, parent: str, of: DataFrame | None = None
             return grown
         known = grown
         further = jump.select(F.col("node").alias("via"), F.col("up").alias("next"))
-        jump = _written(jump.join(further, F.col("up") == F.col("via")).select("node", F.col("next").alias("up")), "jumps")
+        jump = _written(jump.join(further.hint("merge"), F.col("up") == F.col("via")).select("node", F.col("next").alias("up")), "jumps")
         length *= 2
     return known
 

@@ -473,3 +473,19 @@ def test_a_folder_of_many_rows_is_written_by_several_tasks(spark):
     back = io.read_table(spark, path)
     assert back.agg(F.count("*"), F.countDistinct("id"), F.countDistinct("_ingestion_date")).first()[:] == (200_000, 200_000, 1)
     assert back.select(F.input_file_name()).distinct().count() > 2
+
+
+def test_hierarchies_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, own = [], reshape._written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, name)
+
+    monkeypatch.setattr(reshape, "_written", written)
+    tree = spark.range(1, 40).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
+    up = reshape.ancestors(tree, "id", "parent")
+    roots = reshape.tree_roots(tree, "id", "parent")
+    plans.append(roots._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+    assert up.count() == sum(i.bit_length() for i in range(1, 40)) and roots.where("root = 1").count() == 39
