@@ -105,15 +105,22 @@ class Layout:
 
     def running(self, df: DataFrame, value: Column, out: str, kind: str = "sum") -> DataFrame:
         """Cumulative sum, count, min or max up to each row; nulls do not count."""
-        within, over, put = {
+        return self.running_all(df, {out: (value, kind)})
+
+    def running_all(self, df: DataFrame, wanted: dict[str, tuple[Column, str]]) -> DataFrame:
+        """Several of them, each (value, kind) by its name, in one pass over the rows."""
+        kinds = {
             "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
             "count": (F.count, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
             "min": (F.min, F.min, lambda a, b: F.least(a, b)),
             "max": (F.max, F.max, lambda a, b: F.greatest(a, b)),
-        }[kind]
-        df = df.withColumn(out, within(value).over(self.within().rowsBetween(Window.unboundedPreceding, 0)))
-        df = self.carry(df, {"v": F.col(out)}, {"v": lambda v, run: over(v).over(run)})
-        return df.withColumn(out, put(F.col(out), F.col("_prior_v"))).drop("_prior_v", "_goes_on")
+        }
+        upto = self.within().rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({out: kinds[kind][0](value).over(upto) for out, (value, kind) in wanted.items()})
+        folds = {out: (lambda v, run, over=kinds[kind][1]: over(v).over(run)) for out, (_, kind) in wanted.items()}
+        df = self.carry(df, {out: F.col(out) for out in wanted}, folds)
+        df = df.withColumns({out: kinds[kind][2](F.col(out), F.col(f"_prior_{out}")) for out, (_, kind) in wanted.items()})
+        return df.drop("_goes_on", *(f"_prior_{out}" for out in wanted))
 
     def neighbour(self, df: DataFrame, value: Column, out: str, following: bool = False) -> DataFrame:
         """The value of the row before (or after), null at the end of the key."""

@@ -107,16 +107,23 @@ def pct_change(df: DataFrame, keys: list, order: list, c: str, out: str = "pct_c
 
 def running(df: DataFrame, keys: list, order: list, c: str, fn: str = "sum", out: str = "running", large: int | None = None) -> DataFrame:
     """Cumulative sum, count, min, max or avg over rows up to the current one."""
-    one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}[fn]
-    plain = lambda x: x.withColumn(out, one(c).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_all(df, keys, order, {out: (c, fn)}, large)
+
+
+def running_all(df: DataFrame, keys: list, order: list, wanted: dict[str, tuple[str, str]], large: int | None = None) -> DataFrame:
+    """Several of them, each (column, function) by its name; the rows are put in order once."""
+    one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
+    upto = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    plain = lambda x: x.withColumns({out: one[fn](c).over(upto) for out, (c, fn) in wanted.items()})
 
     def spread(layout):
-        if fn != "avg":
-            return layout.running(layout.df, F.col(c), out, fn)
-        x = layout.running(layout.running(layout.df, F.col(c).cast("double"), out), F.col(c), "_known", "count")
-        return x.withColumn(out, F.try_divide(out, "_known"))
+        parts = {}
+        for out, (c, fn) in wanted.items():
+            parts |= {out: (F.col(c), fn)} if fn != "avg" else {out: (F.col(c).cast("double"), "sum"), f"_known_{out}": (F.col(c), "count")}
+        x = layout.running_all(layout.df, parts)
+        return x.withColumns({out: F.try_divide(out, f"_known_{out}") for out, (_, fn) in wanted.items() if fn == "avg"})
 
-    return by_size(df, keys, order, plain, spread, large).select(*df.columns, out)
+    return by_size(df, keys, order, plain, spread, large).select(*df.columns, *wanted)
 
 
 def moving_avg(df: DataFrame, keys: list, order: list, c: str, n: int, min_periods: int = 1, out: str = "moving_avg") -> DataFrame:

@@ -96,9 +96,9 @@ def win_conditional_reset(spark, d):
 # keys that hold a large share of all rows: two-pass scans
 @q("SELECT o_orderkey, (sum(o_totalprice::DECIMAL(18, 2)) OVER w)::DOUBLE AS running, count(o_totalprice) OVER w AS n, max(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def win_running_hot_key(spark, d):
-    x = orders(spark, d).withColumn("price", F.col("o_totalprice").cast("decimal(18, 2)"))  # exact, in whatever order parts are added up
-    for fn, name in (("sum", "running"), ("count", "n"), ("max", "top")):
-        x = W.running(x, ["o_orderstatus"], ORDER, "price", fn, name)
+    price = F.col("o_totalprice").cast("decimal(18, 2)").alias("price")  # exact, in whatever order parts are added up
+    x = orders(spark, d).select("o_orderkey", "o_orderstatus", "o_orderdate", price)
+    x = W.running_all(x, ["o_orderstatus"], ORDER, {"running": ("price", "sum"), "n": ("price", "count"), "top": ("price", "max")})
     return x.select("o_orderkey", F.col("running").cast("double").alias("running"), "n", F.col("top").cast("double").alias("top"))
 
 

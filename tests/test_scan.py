@@ -86,3 +86,18 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, t int, id int, v double, reset boolean")
     for name in ("sum", "lag", "reset", "ranks", "tiles"):
         assert CASES[name](df, NEVER).count() == 0 and CASES[name](df, 0).count() == 0
+
+
+def test_several_running_values_place_the_rows_once(spark, rows, monkeypatch):
+    from quarryflow import queries
+
+    placed, own = [], S.Layout.__init__
+    monkeypatch.setattr(S.Layout, "__init__", lambda self, *a: (placed.append(1), own(self, *a))[1])
+    queries.queries()["win_running_hot_key"](spark, "/root/testdata/sf0.01")
+    assert len(placed) == 1
+    wanted = {fn: ("v", fn) for fn in ("sum", "count", "min", "max", "avg")}
+    got = [W.running_all(rows, ["k"], ["t", "id"], wanted, large=n).select("id", *wanted) for n in (5, NEVER)]
+    one, other = ({r[0]: r[1:] for r in x.collect()} for x in got)
+    assert len(placed) == 2 and len(one) == rows.count() and one.keys() == other.keys()
+    for i in one:
+        assert all(a == b or abs(a - b) < 1e-9 for a, b in zip(one[i], other[i], strict=True))
