@@ -489,3 +489,23 @@ def test_hierarchies_send_no_table_to_the_driver(spark, monkeypatch):
     plans.append(roots._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
     assert up.count() == sum(i.bit_length() for i in range(1, 40)) and roots.where("root = 1").count() == 39
+
+
+def test_training_reads_its_rows_as_often_for_one_variant_as_for_three(spark, monkeypatch):
+    from quarryflow.operators import ml
+
+    monkeypatch.setattr(ml, "PART_ROWS", 10)  # and more partitions for more rows, whatever the table's
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return float(x % 7)
+
+    one, found = {"numTrees": 3, "maxDepth": 3}, []
+    for n, variants in ((1, [one]), (5, [one] * 3)):
+        df = spark.range(0, 600, 1, n).select("id", F.udf(seen, "double").asNondeterministic()("id").alias("a"), (F.col("id") % 7 > 3).cast("double").alias("label"))
+        before = read.value
+        runs = ml.train_variants(df, ["a"], "label", variants, ["id"])[1]
+        found.append((read.value - before, {tuple(r)[2:] for r in runs.collect()}))
+    assert found[0] == found[1] and len(found[0][1]) == 1
+    assert 0 < found[0][0] <= 3 * 600
