@@ -43,15 +43,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: Slots of a bitmap made by ``bitmap_of``: 2**27 bits, so 16 MB to send, whatever the input size.
-BITMAP_BITS = 27
+#: Slots of a bitmap made by ``bitmap_of``: 2**27 bits at most, so 16 MB to send, whatever the input size; for few keys, some SLOTS for each.
+BITMAP_BITS, SLOTS = 27, 256
 
 
 def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """One bit for each of 2**bits slots, set where a key falls: a one-hash Bloom filter of fixed size.
+    """One bit for each of 2**bits slots, set where a key falls: a one-hash Bloom filter of bounded size.
 
     The driver gets at most 2**(bits - 6) rows of 16 bytes, so the size does not grow with the
-    input.  A lookup never misses a key; it may accept others, so callers use it only to skip
+    input.  Each executor keeps a copy on its disk, so a bitmap of few keys is folded to fewer
+    slots.  A lookup never misses a key; it may accept others, so callers use it only to skip
     work, never to decide.
     """
     words = (
@@ -60,8 +61,10 @@ def bitmap_of(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarr
         .groupBy("at")
         .agg(F.bit_or("bit").alias("bits"))
     ).toArrow()
+    at, found = words["at"].to_numpy(), words["bits"].to_numpy().view(np.uint64)
+    bits = min(bits, max(12, (SLOTS * int(np.bitwise_count(found).sum())).bit_length()))
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    np.bitwise_or.at(out, at & (len(out) - 1), found)
     return out
 
 

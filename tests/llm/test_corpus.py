@@ -678,3 +678,16 @@ def test_ngram_join_of_texts_of_common_passages_ends(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMPARED", 0)
     got = ngram_join.components(docs_of(spark, texts)).collect()
     assert rounds.count("placed") <= 10 and len({x.component_id for x in got}) == len(texts)
+
+
+def test_bitmaps_of_few_keys_are_small_and_miss_none(spark):
+    from quarryflow.llm.common import BITMAP_BITS, bitmap_of, in_bitmap
+
+    keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    bitmap, held = bitmap_of(keys, "key"), keys.toArrow()["key"].to_numpy()
+    assert len(bitmap) * 64 <= 1 << 19 < 1 << BITMAP_BITS and in_bitmap(bitmap, held).all()
+    others = spark.range(1000, 21000).select(F.xxhash64("id").alias("key")).toArrow()["key"].to_numpy()
+    assert in_bitmap(bitmap, others).mean() < 0.02
+    assert not in_bitmap(bitmap_of(keys.limit(0), "key"), held).any()
+    few = bitmap_of(keys, "key", 14)  # never more slots than asked for
+    assert len(few) * 64 == 1 << 14 and in_bitmap(few, held).all()
