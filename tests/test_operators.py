@@ -4,6 +4,7 @@ import datetime
 import inspect
 import os
 import uuid
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quarryflow.functions import columns as X
 from quarryflow.operators import aggregates, incremental, joins, quality, reshape, scoring, snapshots, warehouse, windows
 from quarryflow.plans import medallion
 from quarryflow.plans.dataset import build_dataset
+from quarryflow.queries import basics
 from quarryflow.sources import io
 from quarryflow.streaming import streams
 
@@ -121,6 +123,16 @@ def test_jdbc_options():
         io.jdbc_options("jdbc:x", "t", "id")
 
 
+def test_a_database_in_memory_is_for_one_process_only():
+    session = lambda master, url=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: url or default), sparkContext=SimpleNamespace(master=master))
+    for master in ("local", "local[*]", "local[4, 2]"):
+        assert basics._database(session(master)).startswith("jdbc:derby:memory:")
+    for master in ("local-cluster[3,4,10240]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError, match="quarryflow.jdbc.url"):
+            basics._database(session(master))
+        assert basics._database(session(master, "jdbc:x")) == "jdbc:x"
+
+
 def test_incremental_runs_are_idempotent(spark):
     root = io.scratch(spark, "inc")
     df = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2024, 1, 2))], "id int, ts timestamp")
